@@ -20,8 +20,10 @@ from .common import partitions
 
 CHUNK_BYTES = 2 << 20
 SENT = "bucket int, chunk long, keys binary, flags binary, ids binary, places binary"
-ANSWER = "chunk long, keys binary"
-_ANSWER = pa.schema([("chunk", pa.int64()), ("keys", pa.binary())])
+ANSWER = "chunk long, kind int, keys binary"
+_ANSWER = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary())])
+#: What an answer says of its keys: their places are decided, or they have to be looked at further.
+DECIDED, OPEN = 0, 1
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64())] + [(c, pa.binary()) for c in ("keys", "flags", "ids", "places")])
 
 
@@ -58,41 +60,50 @@ def pack(chunk: int, n_buckets: int, keys: np.ndarray, flags: np.ndarray, ids: n
 
 def repeated_anywhere(table: pa.Table) -> pa.Table:
     """Of one bucket: the keys that several chunks hold, or one chunk more than once."""
-    return _answer(table, lambda keys, flags, _, __, which: _sum(flags, which) >= 2, extra=1)
+    keys, flags, _, _ = _columns(table)
+    _, which = np.unique(keys, return_inverse=True)
+    return _answer(table, {DECIDED: np.bincount(which, weights=flags + 1.0)[which] >= 2})
 
 
 def repeated_later(table: pa.Table) -> pa.Table:
     """Of one bucket: for each chunk, the keys whose first place there isn't the first of all."""
-
-    def later(keys, flags, ids, places, which):
-        order = np.lexsort((places, ids, which))
-        first = np.empty(len(keys), bool)
-        first[order] = np.diff(which[order], prepend=-1) != 0
-        return ~first
-
-    return _answer(table, later, each=True)
-
-
-def _sum(values: np.ndarray, which: np.ndarray) -> np.ndarray:
-    return np.bincount(which, weights=values)
-
-
-def _answer(table: pa.Table, decide: Callable, extra: int = 0, each: bool = False) -> pa.Table:
-    parts = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-    keys = np.concatenate(parts)
-    flags = np.frombuffer(b"".join(table["flags"].to_pylist()), np.uint8).astype(np.int64) + extra
-    ids = np.frombuffer(b"".join(table["ids"].to_pylist()), np.int64)
-    places = np.frombuffer(b"".join(table["places"].to_pylist()), np.int32)
-    _, which = np.unique(keys, return_inverse=True)
-    yes = decide(keys, flags, ids, places, which)
-    yes = yes if each else yes[which]
-    out, at = {"chunk": [], "keys": []}, 0
-    for chunk, part in zip(table["chunk"].to_pylist(), parts, strict=True):
-        found = part[yes[at : at + len(part)]]
+    keys, _, ids, places = _columns(table)
+    order = np.lexsort((places, ids, keys))
+    later = np.empty(len(keys), bool)
+    later[order] = np.diff(keys[order], prepend=~keys[order][:1]) == 0
+    return _answer(table, {DECIDED: later})
+
+
+def split_further(table: pa.Table) -> pa.Table:
+    """Of one bucket, where ids say what a key stands in: keys found again are decided if all stand in the same, else open."""
+    keys, flags, ids, _ = _columns(table)
+    order = np.lexsort((ids, keys))
+    k, i = keys[order], ids[order]
+    head = np.diff(k, prepend=~k[:1]) != 0
+    which = np.cumsum(head) - 1
+    kinds = np.bincount(which, weights=head | (np.diff(i, prepend=~i[:1]) != 0))
+    total = np.bincount(which, weights=flags[order] + 1.0)
+    decided, open_ = np.empty(len(keys), bool), np.empty(len(keys), bool)
+    decided[order] = ((total >= 2) & (kinds == 1))[which]
+    open_[order] = (kinds > 1)[which]
+    return _answer(table, {DECIDED: decided, OPEN: open_})
+
+
+def _columns(table: pa.Table) -> list[np.ndarray]:
+    kinds = (("keys", np.uint64), ("flags", np.uint8), ("ids", np.int64), ("places", np.int32))
+    return [np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in kinds]
+
+
+def _answer(table: pa.Table, said: dict[int, np.ndarray]) -> pa.Table:
+    out, at = {c: [] for c in _ANSWER.names}, 0
+    for chunk, part in zip(table["chunk"].to_pylist(), table["keys"].to_pylist(), strict=True):
+        part = np.frombuffer(part, np.uint64)
+        for kind, yes in said.items():
+            found = part[yes[at : at + len(part)]]
+            if len(found):
+                for c, x in zip(out, (chunk, kind, found.tobytes()), strict=True):
+                    out[c].append(x)
         at += len(part)
-        if len(found):
-            out["chunk"].append(chunk)
-            out["keys"].append(found.tobytes())
     return pa.table(out, schema=_ANSWER)
 
 
@@ -101,9 +112,10 @@ def ask(sent: DataFrame, judge: Callable[[pa.Table], pa.Table]) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(judge, ANSWER)
 
 
-def answered(answers: pa.Table) -> np.ndarray:
+def answered(answers: pa.Table, kind: int = DECIDED) -> np.ndarray:
     """The keys of one chunk that the buckets named, sorted."""
-    return np.sort(np.frombuffer(b"".join(answers["keys"].to_pylist()), np.uint64))
+    rows = zip(answers["kind"].to_pylist(), answers["keys"].to_pylist(), strict=True)
+    return np.sort(np.frombuffer(b"".join(keys for k, keys in rows if k == kind), np.uint64))
 
 
 def among(keys: np.ndarray, named: np.ndarray) -> np.ndarray:

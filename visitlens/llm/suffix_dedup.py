@@ -6,9 +6,12 @@ suffix that is alone in its group drops out, and the groups left at full depth a
 repeated windows. Groups live in buckets over the whole cluster (see repeats.py).
 
 * First digit, DIGIT bytes. Within any window, the place whose digit has the least code is the
-  same in all copies of the window, so it is enough to deal out the digits at these places (about
-  one in eighty) and drop every window whose least digit is found once.
-* Remaining digits, to THRESHOLD bytes: the surviving suffixes, each distinct one of a chunk once.
+  same in all copies of the window, so only the suffixes at these places (about one in seventy) are dealt
+  out by their digit, each with a code of the stretch of all windows that share it. A digit
+  found once rules its windows out. If it stands in one and the same stretch everywhere, the
+  group needs no further digit: all its windows are repeated.
+* Remaining digits, to THRESHOLD bytes, for the groups that hold different stretches: their
+  suffixes, each distinct one of a chunk once.
 
 Defined results: a null text is empty; a text under THRESHOLD bytes keeps all. Every row counts as a
 document of its own, so a row that repeats another loses whatever lies in a window. Columns beyond
@@ -22,12 +25,15 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import repeats as R
 from .common import BYTE_CODES, Runs, as_bytes, covered, joined, places_left, prepare
 
 THRESHOLD = 200
-DIGIT = 32
+DIGIT = 64
+#: A kind of answer beside those of repeats.py: windows found again in the last pass.
+AT_FULL_DEPTH = 2
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_text string, kept_sha256 string"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -50,6 +56,7 @@ class Suffixes:
     """The suffixes of a chunk that are at least a threshold long, with the least digit of each."""
 
     def __init__(self, table: pa.Table, threshold: int, digit: int):
+        self.threshold = threshold
         self.texts = as_bytes(table["text"])
         data, self.starts = joined(self.texts)
         self.runs = Runs(BYTE_CODES[data])
@@ -58,15 +65,22 @@ class Suffixes:
         width = threshold - digit + 1
         self.least = least(self.digits, width)[self.fits] if len(self.fits) else np.zeros(0, np.int32)
 
-    def depth(self, at: np.ndarray, n: int) -> np.ndarray:
-        return self.runs.between(at, at + n)
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each run of suffixes with the same least digit: that digit's code, and the code of all their windows together."""
+        first = np.flatnonzero(np.diff(self.least, prepend=-1) != 0)
+        last = np.r_[first[1:], len(self.least)] - 1 if len(first) else first
+        return self.digits[self.least[first]], self.runs.between(self.fits[first], self.fits[last] + self.threshold).view(np.int64)
 
 
 def _first_pass(n_buckets: int, threshold: int, digit: int):
     def send(key, table):
         s = Suffixes(table, threshold, digit)
-        keys, _, twice = R.distinct(s.digits[np.unique(s.least)])
-        return R.pack(key[0].as_py(), n_buckets, keys, twice)
+        keys, stretches = s.stretches()
+        order = np.lexsort((stretches, keys))
+        keys, stretches = keys[order], stretches[order]
+        first = np.flatnonzero((np.diff(keys, prepend=~keys[:1]) != 0) | (np.diff(stretches, prepend=~stretches[:1]) != 0))
+        twice = np.diff(np.r_[first, len(keys)]) > 1
+        return R.pack(key[0].as_py(), n_buckets, keys[first], twice, stretches[first])
 
     return send
 
@@ -74,20 +88,23 @@ def _first_pass(n_buckets: int, threshold: int, digit: int):
 def _last_pass(n_buckets: int, threshold: int, digit: int):
     def send(key, table, answers):
         s = Suffixes(table, threshold, digit)
-        alive = s.fits[R.among(s.digits[s.least], R.answered(answers))]
-        keys, _, twice = R.distinct(s.depth(alive, threshold))
+        alive = s.fits[R.among(s.digits[s.least], R.answered(answers, R.OPEN))]
+        keys, _, twice = R.distinct(s.runs.between(alive, alive + threshold))
         return R.pack(key[0].as_py(), n_buckets, keys, twice)
 
     return send
 
 
-def _remove(threshold: int):
+def _remove(threshold: int, digit: int):
     def remove(table, answers):
-        texts = as_bytes(table["text"])
-        data, starts = joined(texts)
-        fits = np.flatnonzero(places_left(starts) > threshold)
-        repeated = fits[R.among(Runs(BYTE_CODES[data]).of(threshold)[fits], R.answered(answers))] if len(fits) else fits
-        gone = covered(repeated, threshold, len(data))
+        s = Suffixes(table, threshold, digit)
+        texts, starts = s.texts, s.starts
+        digits = s.digits[s.least]
+        yes = R.among(digits, R.answered(answers))
+        rest = np.flatnonzero(R.among(digits, R.answered(answers, R.OPEN)))
+        yes[rest] = R.among(s.runs.between(s.fits[rest], s.fits[rest] + threshold), R.answered(answers, AT_FULL_DEPTH))
+        repeated = s.fits[yes]
+        gone = covered(repeated, threshold, int(starts[-1]))
         edges = np.flatnonzero(np.diff(gone.view(np.int8), prepend=0, append=0))
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept_text": [], "kept_sha256": []}
         cuts = np.searchsorted(edges, starts).tolist()
@@ -121,6 +138,7 @@ def dedup_suffixes(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     prepare(docs.sparkSession)
     n = R.buckets(docs)
     chunks = R.chunked(docs)
-    first = R.ask(chunks.groupBy("chunk").applyInArrow(_first_pass(n, threshold, digit), R.SENT), R.repeated_anywhere)
+    first = R.ask(chunks.groupBy("chunk").applyInArrow(_first_pass(n, threshold, digit), R.SENT), R.split_further)
     last = R.ask(chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(_last_pass(n, threshold, digit), R.SENT), R.repeated_anywhere)
-    return chunks.groupBy("chunk").cogroup(last.groupBy("chunk")).applyInArrow(_remove(threshold), RESULT)
+    answers = first.unionByName(last.withColumn("kind", F.lit(AT_FULL_DEPTH)))
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(threshold, digit), RESULT)
