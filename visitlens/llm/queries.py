@@ -6,11 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_and_decode
 from .common import read
+from .packing import pack_documents
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
 
 
+def op2_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op5_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_and_decode(read(spark, sf_dir, "documents"), digests_only=True)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -20,6 +31,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ffd_packing": op2_ffd_packing,
+    "op5_bpe_pair_index": op5_bpe_pair_index,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
 }
