@@ -27,11 +27,12 @@ DECIDED, OPEN = 0, 1
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64())] + [(c, pa.binary()) for c in ("keys", "flags", "ids", "places")])
 
 
-def chunked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(chunk, doc_id, text): as many chunks as the texts need at CHUNK_BYTES each."""
-    total = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+def chunked(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """(chunk, doc_id, text), and a struct of further columns if there are any: as many chunks as the texts need at CHUNK_BYTES each."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // CHUNK_BYTES))
-    return docs.select(F.pmod(F.xxhash64(F.col(id_column)), F.lit(n)).alias("chunk"), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
 
 
 def buckets(docs: DataFrame) -> int:

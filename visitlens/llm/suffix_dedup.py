@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import repeats as R
 from .common import BYTE_CODES, Runs, as_bytes, covered, joined, places_left, prepare
@@ -123,22 +124,25 @@ def _remove(threshold: int, digit: int):
             out["kept_text"].append(kept.decode(errors="ignore"))
             out["kept_sha256"].append(sha256(kept).hexdigest())
         kinds = {"spans": _SPANS, "kept_text": pa.string(), "kept_sha256": pa.string()}
-        return pa.table({"doc_id": table["doc_id"]} | {c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
+        rest = {"rest": table["rest"]} if "rest" in table.column_names else {}
+        return pa.table({"doc_id": table["doc_id"]} | {c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()} | rest)
 
     return remove
 
 
-def dedup_suffixes(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT, carry: bool = False) -> DataFrame:
     """One row per document: its bytes, the removed spans, the kept text and the digest of the kept bytes.
 
-    kept_text leaves out what remains of a character that a span cuts.
+    kept_text leaves out what remains of a character that a span cuts. With ``carry``, the struct ``rest``
+    holds the columns of the document other than its text.
     """
     if not 0 < digit <= threshold:
         raise ValueError("a digit is at least one byte and at most the threshold")
     prepare(docs.sparkSession)
     n = R.buckets(docs)
-    chunks = R.chunked(docs)
+    chunks = R.chunked(docs, carry=[c for c in docs.columns if c != "text"] if carry else [])
+    kind = T.StructType([*T.StructType.fromDDL(RESULT).fields, *chunks.schema.fields[3:]])
     first = R.ask(chunks.groupBy("chunk").applyInArrow(_first_pass(n, threshold, digit), R.SENT), R.split_further)
     last = R.ask(chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(_last_pass(n, threshold, digit), R.SENT), R.repeated_anywhere)
     answers = first.unionByName(last.withColumn("kind", F.lit(AT_FULL_DEPTH)))
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(threshold, digit), RESULT)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(threshold, digit), kind)
