@@ -1,4 +1,544 @@
-"""Every registered query and its DuckDB twin."""
+"""Every registered query with its DuckDB twin, over the tables of fixture.py."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from visitlens.operators import baseline, classify, enrich, exposure, grouping, hosts, overview, report, sessions, timeline
+from visitlens.operators.filters import Filters, Term
+from visitlens.plans import sql
+from visitlens.plans.fixture import HOST, Tables, tables
+from visitlens.sources import archive, logs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+SINCE, UNTIL, NOW = "2024-01-02", "2024-01-20", "2024-01-20 12:30:00"
+#: The reference tables are sparse: with these, sessions and incidents come out non-empty.
+CAMPAIGN = {"session_gap": 86_400, "paths": 2, "incident_gap": 7 * 86_400, "min_addresses": 3}
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(tables(spark, sf_dir))
+        text = oracle if oracle is not None else getattr(sql, f.__name__.upper(), None)
+        if text:
+            ORACLES[f.__name__] = text
+        return f
+
+    return add
+
+
+def rows(t: Tables, **how) -> DataFrame:
+    return Filters(**how).apply(t.visits, t.dim)
+
+
+def stamped(df: DataFrame) -> DataFrame:
+    """Clock columns as text."""
+    return df.withColumns({c: F.col(c).cast("string") for c, k in df.dtypes if k.startswith("timestamp")})
+
+
+# ---- groupings ------------------------------------------------------------------------------
+
+
+@query()
+def networks(t):
+    return grouping.networks(rows(t, since=SINCE, until=UNTIL))
+
+
+@query()
+def countries(t):
+    return grouping.countries(rows(t))
+
+
+@query()
+def clients(t):
+    return grouping.clients(rows(t, signals=("is_hosting", "has_tags")))
+
+
+@query()
+def paths(t):
+    return grouping.paths(rows(t, classes=("bots", "humans/browser-direct", "unknown")))
+
+
+@query()
+def paths_not_found(t):
+    return grouping.paths(rows(t), band=4)
+
+
+@query()
+def visitors(t):
+    return grouping.visitors(rows(t, since=SINCE, until=UNTIL, min_visits=20), t.values)
+
+
+@query()
+def visitor_detail(t):
+    return grouping.visitor_detail(rows(t))
+
+
+@query()
+def visitor_requests(t):
+    return stamped(grouping.requests_of(t.visits, "198.18.0.5", limit=40, offset=5).select("id", "ts", "method", "path", "status"))
+
+
+@query()
+def visit_page(t):
+    return stamped(grouping.visit_page(rows(t, country="CH"), limit=100).select("id", "ip", "ts", "path", "country_code", "visitor_class"))
+
+
+@query()
+def neighbourhood(t):
+    return grouping.neighbourhood(rows(t), t.dim)
+
+
+@query()
+def search_visitors(t):
+    found = rows(t, terms=(Term("path", "/.git", "prefix"), Term("country", "u", "substring")))
+    return found.groupBy("ip").agg(F.count("*").alias("visits"), F.countDistinct("path").alias("paths"))
+
+
+@query()
+def search_paths(t):
+    return grouping.paths(rows(t, row_terms=(Term("broad", "admin"),))).select("path", "unique_ips", "visits")
+
+
+# ---- overview -------------------------------------------------------------------------------
+
+
+@query()
+def overview_totals(t):
+    return overview.totals(rows(t, since=SINCE, until=UNTIL))
+
+
+@query()
+def bounce_two_days(t):
+    return overview.totals(rows(t, since="2024-01-05", until="2024-01-06")).select("visits", "unique_ips", "bounce_rate")
+
+
+@query()
+def top_countries(t):
+    return overview.top(rows(t), "country_code", ("country",))
+
+
+@query()
+def top_ips(t):
+    return overview.top(rows(t), "ip", ("visitor_class", "country_code"))
+
+
+@query()
+def top_pages(t):
+    return overview.top(rows(t), "path")
+
+
+@query()
+def top_browsers(t):
+    from visitlens.functions.needles import EXCLUDED_BROWSERS
+
+    return overview.top(rows(t), "browser", exclude=EXCLUDED_BROWSERS)
+
+
+@query()
+def top_systems(t):
+    from visitlens.functions.needles import EXCLUDED_OSES
+
+    return overview.top(rows(t), "os", exclude=EXCLUDED_OSES)
+
+
+@query()
+def top_referrers(t):
+    return overview.top_referrers(rows(t))
+
+
+@query()
+def class_counts(t):
+    return overview.class_counts(rows(t, since=SINCE, until=UNTIL))
+
+
+@query()
+def seen_groups(t):
+    return overview.seen_groups(t.visits.filter("ts >= '2024-01-10'"), t.dim)
+
+
+@query()
+def identity_signal_matrix(t):
+    return overview.signal_matrix(rows(t))
+
+
+@query()
+def analysis_bundle(t):
+    return overview.analysis(rows(t), "2024-01-29")
+
+
+@query()
+def http_versions(t):
+    return overview.http_versions(rows(t))
+
+
+@query()
+def unusual_methods(t):
+    return overview.unusual_methods(rows(t))
+
+
+@query()
+def rate_limited(t):
+    return overview.rate_limited(rows(t))
+
+
+# ---- time -----------------------------------------------------------------------------------
+
+
+@query()
+def activity_daily(t):
+    return timeline.filled(timeline.activity(rows(t, since=SINCE, until="2024-02-03")), SINCE, "2024-02-03")
+
+
+@query()
+def activity_hourly(t):
+    return timeline.filled(timeline.activity(rows(t, since="2024-01-05", until="2024-01-07"), "hour"), "2024-01-05", "2024-01-07", "hour")
+
+
+@query()
+def addresses_daily(t):
+    return timeline.addresses(rows(t))
+
+
+@query()
+def new_vs_all(t):
+    return timeline.overlay(timeline.activity(rows(t, since=SINCE)), timeline.activity(rows(t, since=SINCE, seen="new")))
+
+
+@query()
+def heatmap(t):
+    return timeline.heatmap_grid(timeline.heatmap(rows(t, since=SINCE, until=UNTIL)))
+
+
+@query()
+def rate_limit_timeline(t):
+    return timeline.rate_limits(rows(t))
+
+
+@query()
+def status_timeline(t):
+    return timeline.statuses(rows(t))
+
+
+@query()
+def daily_kpis(t):
+    return timeline.daily(rows(t))
+
+
+@query()
+def period_delta(t):
+    return timeline.delta(t.visits, "2024-01-16", "2024-01-22", 7)
+
+
+# ---- classes --------------------------------------------------------------------------------
+
+
+def judged(t: Tables) -> DataFrame:
+    return classify.evidence(t.visits, t.dim, HOST, ("/pages/cv",))
+
+
+@query()
+def evidence(t):
+    return judged(t)
+
+
+@query()
+def classified(t):
+    return classify.classify(judged(t)).select("ip", "visitor_class", "why", "source")
+
+
+@query()
+def class_explain(t):
+    return classify.explain(classify.classify(judged(t)))
+
+
+@query()
+def reclassify(t):
+    return classify.reclassify(t.visits, t.intel, t.dim, host=HOST, js_prefixes=("/pages/cv",)).select("ip", "visitor_class", "classified_visit_id", "reclassified", "changed")
+
+
+# ---- sessions and incidents -----------------------------------------------------------------
+
+
+@query()
+def session_list(t):
+    return stamped(sessions.session_facts(t.visits, 86_400, HOST))
+
+
+@query()
+def session_behaviour(t):
+    facts = sessions.session_facts(t.visits, 86_400, HOST).withColumn("behaviour", sessions.behaviour())
+    return facts.groupBy("behaviour").agg(F.count("*").alias("sessions"), F.sum("requests").cast("long").alias("requests"))
+
+
+@query()
+def incidents(t):
+    return stamped(sessions.incidents(t.visits, t.dim, **CAMPAIGN))
+
+
+@query()
+def incident_sessions(t):
+    return stamped(sessions.members(t.visits, t.dim, **CAMPAIGN).drop("signature"))
+
+
+@query()
+def incident_paths(t):
+    return sessions.incident_paths(t.visits, t.dim, **CAMPAIGN)
+
+
+@query()
+def incidents_against_normal(t):
+    found = sessions.against_normal(sessions.incidents(t.visits, t.dim, **CAMPAIGN), baseline.typical_hour(t.visits))
+    return found.select("digest", "incident_no", "addresses", "against_normal")
+
+
+@query()
+def hourly_baseline(t):
+    return baseline.hourly_baseline(t.visits, NOW)
+
+
+@query()
+def typical_hour(t):
+    return baseline.typical_hour(t.visits)
+
+
+# ---- exposure, hosts, places ------------------------------------------------------------------
+
+
+@query()
+def served_paths(t):
+    return exposure.served(t.visits, t.dim, SINCE, UNTIL)
+
+
+@query()
+def exposures(t):
+    return exposure.exposures(t.visits, t.dim, benign=60)
+
+
+@query()
+def exposure_detail(t):
+    return exposure.exposure_detail(t.visits, t.dim, exposure.served(t.visits, t.dim).filter("path like '/.%'"))
+
+
+@query()
+def probe_echo(t):
+    return exposure.probe_echo(t.visits, t.dim)
+
+
+@query()
+def exposure_families(t):
+    return exposure.families(exposure.served(t.visits, t.dim))
+
+
+@query()
+def host_table(t):
+    return hosts.hosts(t.visits, t.dim, t.values, {"port": "443", "tag": "scanner"})
+
+
+@query()
+def host_facets(t):
+    return hosts.facets(t.values)
+
+
+@query()
+def software_inventory(t):
+    return hosts.software(t.values)
+
+
+@query()
+def geo_markers(t):
+    return hosts.markers(rows(t))
+
+
+@query()
+def geo_stats(t):
+    return hosts.marker_stats(rows(t))
+
+
+@query()
+def geo_grid(t):
+    return hosts.grid(hosts.markers(rows(t)), 10.0)
+
+
+@query()
+def geo_selection(t):
+    return hosts.selection(hosts.markers(rows(t)), -40.0, -90.0, 50.0, 120.0)
+
+
+@query()
+def decisions(t):
+    return hosts.decisions(t.visits, t.dim, "2024-01-25 00:00:00", days=20)
+
+
+@query()
+def decision_text(t):
+    return hosts.decision_lines(hosts.decisions(t.visits, t.dim, "2024-01-25 00:00:00", days=20))
+
+
+@query()
+def attention(t):
+    return report.attention(t.visits, t.dim, t.values, NOW)
+
+
+@query()
+def monthly_report(t):
+    return report.monthly_report(t.visits, t.dim, "2024-01", **CAMPAIGN)
+
+
+# ---- storage and merges -----------------------------------------------------------------------
+
+
+@query()
+def month_inventory(t):
+    return archive.months(t.visits)
+
+
+@query()
+def earliest_day(t):
+    return archive.earliest_day(t.visits)
+
+
+@query()
+def retention_plan(t):
+    by_day = t.visits.select(F.expr("cast(concat('2023-', lpad(cast(id % 12 + 1 as string), 2, '0')) as string)").alias("month")).groupBy("month").agg(F.count("*").alias("visits"))
+    return archive.retention_plan(by_day, "2023-11-15", keep_months=2, pinned=["2023-03"], archive_months=8)
+
+
+@query()
+def export_page(t):
+    cells = t.visits.withColumn("referer", F.concat(F.when(F.col("id") % 3 == 0, "=1+").otherwise(""), "referer"))
+    return archive.export_rows(cells, ["id", "ip", "path", "referer"], "2024-01-10", "2024-01-11")
+
+
+@query()
+def restored_visits(t):
+    """What restoring a month would add back: archived rows whose id is gone."""
+    stored = t.visits.filter("id % 3 <> 0")
+    back = t.visits.filter("ts < '2024-01-15'").join(stored.select("id"), "id", "left_anti")
+    return stored.unionByName(back).groupBy("ip").agg(F.count("*").alias("visits"))
+
+
+@query()
+def purged_intel(t):
+    return archive.purge_orphans(t.intel, t.visits).select("ip", "country_code")
+
+
+@query()
+def dedupe_visits(t):
+    replayed = t.visits.withColumn("timestamp", F.col("ts").cast("string")).withColumn("timestamp", F.substring("timestamp", 1, 10))
+    same = F.concat_ws("|", "timestamp", F.col("connection").cast("string"), F.col("connection_requests").cast("string"))
+    keyed = replayed.withColumn("identity", F.when(F.col("connection") > 0, same).otherwise(F.concat(F.lit("id"), F.col("id").cast("string"))))
+    kept = logs.new_visits(keyed, keyed.filter("ts < '2024-01-05'"))
+    return kept.groupBy("ip").agg(F.count("*").alias("visits"), F.countDistinct("identity").alias("identities"))
+
+
+@query()
+def skip_reasons(t):
+    ips = F.when(F.col("id") % 10 == 0, "10.0.0.8").when(F.col("id") % 10 == 1, "not an ip").when(F.col("id") % 10 == 2, "172.31.255.255").otherwise(F.col("ip"))
+    path = F.when(F.col("id") % 7 == 0, "/style.CSS?v=1").when(F.col("id") % 7 == 1, "/api/data.json").otherwise(F.col("path"))
+    e = t.visits.select(ips.alias("remote_addr"), path.alias("path"), F.when(F.col("id") % 11 == 0, "UptimeRobot/2").otherwise(F.col("user_agent")).alias("http_user_agent"))
+    return logs.with_skip_reason(logs.with_address_facts(e)).groupBy("skip_reason").agg(F.count("*").alias("n"))
+
+
+def log_lines(t: Tables) -> DataFrame:
+    """Visits as JSON log lines; every 20th is broken, every 9th from a clock off UTC, every 13th without a valid address."""
+    zone = F.when(F.col("id") % 9 == 0, "+02:00").otherwise("+00:00")
+    e = t.visits.select(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone).alias("time"), F.when(F.col("id") % 13 == 0, "?").otherwise(F.col("ip")).alias("remote_addr"), F.concat("method", F.lit(" "), "path").alias("request"), "status", F.col("bytes_sent").alias("body_bytes_sent"), F.col("user_agent").alias("http_user_agent"), "connection", "connection_requests", "id")
+    line = F.to_json(F.struct([c for c in e.columns if c != "id"]))
+    return e.select(F.when(F.col("id") % 20 == 0, F.concat(F.lit("x"), line)).otherwise(line).alias("value"))
+
+
+@query()
+def ingest_quality(t):
+    return logs.quality(log_lines(t))
+
+
+@query()
+def ingested_visits(t):
+    v = logs.to_visits(log_lines(t))
+    return v.groupBy("ip", "method", "status").agg(F.count("*").alias("visits"), F.sum("bytes_sent").cast("long").alias("bytes_sent"))
+
+
+@query()
+def client_enrichment(t):
+    return logs.with_client(t.visits).groupBy("user_agent", "browser", "os", "device").agg(F.count("*").alias("visits"))
+
+
+@query()
+def intel_upsert(t):
+    answers = t.intel.filter("is_proxy").select("ip", F.when(F.col("is_tor"), F.lit(None)).otherwise(F.lower("country")).alias("country"), F.lit("new org").alias("org"))
+    fresh = t.visits.select("ip").distinct().join(t.intel.select("ip"), "ip", "left_anti").select("ip", F.lit("somewhere").alias("country"), F.lit(None).cast("string").alias("org"))
+    merged = enrich.upsert(t.intel, answers.unionByName(fresh), "2024-02-01 00:00:00")
+    return stamped(merged.select("ip", "country", "org", "city", "fetched_at"))
+
+
+@query()
+def child_replace(t):
+    answered = t.values.filter("kind = 'port'").select("ip", "kind").distinct().filter("ip like '%.1'")
+    new = answered.filter("ip like '198.18.1%'").select("ip", "kind", F.lit("9999").alias("value"))
+    return enrich.replace_values(t.values, answered, new)
+
+
+@query()
+def normal_values(t):
+    raw = t.intel.select("ip", F.concat(F.lit(" 22, ,"), F.length("org").cast("string"), F.lit(",x,443")).alias("ports"))
+    return enrich.normal_values(raw, "ports", "port")
+
+
+@query()
+def enrich_candidates(t):
+    return enrich.candidates(t.visits, t.intel, "2024-02-01 00:00:00", ttl_days=20)
+
+
+@query()
+def enrich_backlog(t):
+    return enrich.backlog(t.visits, t.intel, "2024-02-01 00:00:00", ttl_days=20)
+
+
+@query()
+def dnsbl_verdict(t):
+    answer = F.when(F.length("org") % 4 == 0, "127.255.255.254").when(F.col("dnsbl_listed"), "127.0.0.2").when(F.col("is_mobile"), F.lit(None)).otherwise("")
+    two = t.intel.select("ip", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("provider"), answer.alias("answer"), "is_tor")
+    return enrich.blocklist_verdicts(two.select("ip", "provider", F.when((F.col("provider") == "b") & F.col("is_tor"), "127.0.0.4").otherwise(F.col("answer")).alias("answer")))
+
+
+@query()
+def fcrdns(t):
+    ptr = t.intel.filter("reverse_dns <> ''").select("ip", F.col("reverse_dns").alias("name"))
+    forward = t.intel.filter("reverse_dns <> '' and not is_proxy").select(F.col("reverse_dns").alias("name"), "ip")
+    return enrich.confirmed_names(ptr, forward)
+
+
+@query()
+def geo_answers(t):
+    answers = t.intel.select("ip", "country", F.when(F.col("is_mobile"), "fail").otherwise("success").alias("status"))
+    return enrich.geo_answers(t.visits.select("ip"), answers)
+
+
+@query()
+def tor_flags(t):
+    return enrich.tor_flags(t.intel, t.intel.filter("is_hosting").select("ip")).select("ip", "is_tor")
+
+
+@query()
+def reopened_names(t):
+    return enrich.reopen_names(t.intel, t.values).select("ip", "reverse_dns")
+
+
+@query()
+def unchecked_names(t):
+    return enrich.unchecked_names(t.intel, 50)
+
+
+@query()
+def bulk_lookup(t):
+    return enrich.lookup(t.visits.select("ip"), t.intel).select("ip", "country_code", "asn")
+
+
+@query()
+def failed_enrichment(t):
+    return stamped(enrich.mark_failed(t.intel, t.visits.filter("status = 404").select("ip"), "2024-03-01 00:00:00").select("ip", "country", "fetched_at"))
