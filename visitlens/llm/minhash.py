@@ -7,8 +7,10 @@ with a probability of (1 - 0.75**3)**32, about 2e-8.
 
 Candidates never come as all pairs of a band group. Documents with equal sets are one class with
 one representative. In each band group one representative, the pivot, is compared with the others; what is
-already connected needs no comparison, and only groups that still hold several components go on,
-with more pivots, until every pair across components was compared. Comparisons use the full sets.
+already connected needs no comparison, and only groups that still hold several components go on:
+members outside the largest component become pivots, PIVOTS of them at first and four times as many in each
+further round, until every pair across components was compared. Comparisons use the full sets.
+Sets are named by 64-bit codes.
 
 Joins on keys that one group may dominate read checkpointed frames on both sides, so Spark can split
 a skewed partition of either.
@@ -33,8 +35,8 @@ from .common import FOLDED_CODES, Runs, as_bytes, cut, prepare, slices, word_cod
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 3
-PIVOTS = 8
-SETS = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+PIVOTS = 64
+SETS = "doc_id long, n_shingles long, set_key long, bands array<long>"
 
 
 def scattered(x: np.ndarray, keys: tuple[int, int, int]) -> np.ndarray:
@@ -79,8 +81,8 @@ def signature_bands(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def set_key(items: np.ndarray) -> bytes | None:
-    return md5(items.tobytes()).digest() if len(items) else None
+def set_key(items: np.ndarray) -> int | None:
+    return int.from_bytes(md5(items.tobytes()).digest()[:8], "little", signed=True) if len(items) else None
 
 
 def _signed(batches):
@@ -94,7 +96,7 @@ def _signed(batches):
                 for i, row in zip(full, signature_bands([sets[i] for i in full]), strict=True):
                     bands[i] = row
             yield pa.RecordBatch.from_arrays(
-                [ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                [ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_key", "bands"],
             )
 
@@ -104,18 +106,18 @@ def _sets(batches):
         texts = as_bytes(batch.column("text"))
         for a, b in slices(texts):
             found = shingle_sets(texts[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "items"])
 
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the least id that each node reaches over (a, b) links, by least labels and pointer jumps."""
-    labels = nodes.select("id", F.col("id").alias("component"))
     both = cut(links.select(F.col("a").alias("id"), F.col("b").alias("near")).union(links.select("b", "a")).distinct())
+    first = both.groupBy("id").agg(F.min("near").alias("near"))
+    labels = cut(nodes.join(first, "id", "left").select("id", F.least("id", "near").alias("component")))
     while True:
         near = both.join(labels.select(F.col("id").alias("near"), F.col("component").alias("seen")), "near").groupBy("id").agg(F.min("seen").alias("seen"))
         step = labels.join(near, "id", "left").select("id", "component", F.least("component", "seen").alias("next"))
-        step = cut(step)
-        up = step.select(F.col("id").alias("next"), F.col("next").alias("above"))
+        up = labels.select(F.col("id").alias("next"), F.col("component").alias("above"))
         jumped = cut(step.join(up, "next", "left").select("id", F.col("component").alias("was"), F.least("next", "above").alias("component")))
         labels = jumped.select("id", "component")
         if jumped.filter("component < was").isEmpty():
@@ -136,45 +138,57 @@ def class_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
     bands = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
     groups = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark")).filter("n > 1")
     # groups with the same members are one
-    groups = cut(groups.groupBy("n", "pivot", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "pivot"))
-    members = cut(bands.join(groups, "bucket"))
-    nodes = cut(members.select("id").distinct())
-    named = classes.join(nodes, "id").select("id", F.col("doc_id").alias("rep"))
+    groups = groups.groupBy("n", "pivot", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "pivot")
+    members = cut(bands.join(cut(groups), "bucket"))
+    nodes = members.select("id").distinct()
+    named = classes.join(nodes, "id").select(F.col("doc_id").alias("rep"))
     text = docs.join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text")
-    sets = cut(text.mapInArrow(_sets, "id binary, items array<long>").dropDuplicates(["id"]))
-    done = cut(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    links = cut(_linked(done, sets))
-    labels = connected(nodes, links)
+    sets = cut(text.mapInArrow(_sets, "id long, items array<long>").dropDuplicates(["id"]))
+    done = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    labels = connected(nodes, _linked(done, sets))
     members = members.select("bucket", "id", (F.col("id") == F.col("pivot")).alias("pivoted"))
-    order = Window.partitionBy("bucket").orderBy("id")
-    pivots = PIVOTS
+    order, pivots = Window.partitionBy("bucket").orderBy("id"), PIVOTS
     while True:
         now = cut(members.join(labels, "id"))
         sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        largest = cut(sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("parts > 1").select("bucket", "largest"))
-        split = now.join(largest, "bucket")
-        chosen = split.filter("not pivoted and component <> largest").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= pivots)
-        chosen = cut(chosen.select("bucket", F.col("id").alias("pivot"), F.col("component").alias("of")))
-        if chosen.isEmpty():
+        largest = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1")
+        largest = cut(largest.select("bucket", F.col("top.component").alias("largest")))
+        if largest.isEmpty():
             return labels
+        loose = now.join(largest, "bucket").filter("not pivoted and component <> largest")
+        chosen = cut(loose.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= pivots + 1).select("bucket", F.col("id").alias("pivot"), F.col("component").alias("of"), "nth"))
+        more = not chosen.filter(F.col("nth") > pivots).isEmpty()
+        chosen = chosen.filter(F.col("nth") <= pivots).drop("nth")
         pairs = now.select("bucket", "id", "component").join(chosen, "bucket").filter("component <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
         found = cut(_linked(pairs, sets))
-        done, links = cut(done.union(pairs)), links.union(found)
         if not found.isEmpty():
-            labels = connected(nodes, links)
-        members = cut(members.join(chosen.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("now")), ["bucket", "id"], "left").select("bucket", "id", (F.col("pivoted") | F.col("now").isNotNull()).alias("pivoted")))
+            labels = merged(labels, found)
+        if not more:
+            return labels
+        done = done.union(pairs)
+        members = now.join(chosen.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("now")), ["bucket", "id"], "left").select("bucket", "id", (F.col("pivoted") | F.col("now").isNotNull()).alias("pivoted"))
         pivots *= 4
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links between nodes: components are the nodes of a smaller graph."""
+    one = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    between = cut(one.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    nodes = between.select(F.col("a").alias("id")).union(between.select("b")).distinct()
+    up = connected(nodes, between).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    return cut(labels.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (the least id of each component stays)."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(docs.mapInArrow(_signed, SETS))
     classes = cut(signed.filter("n_shingles > 0").groupBy(F.col("set_key").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
-    labelled = cut(classes.select("id", "doc_id").join(class_labels(docs, classes), "id", "left").withColumn("component", F.coalesce("component", "id")))
-    least_id = cut(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    labelled = classes.select("id", "doc_id").join(class_labels(docs, classes), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # dealt anew, so that the join below has plain shuffles on both sides
+    least_id = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")).repartition("component_id")
     of_set = cut(labelled.join(least_id, "component").select(F.col("id").alias("set_key"), "component_id"))
     found = signed.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     least = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
