@@ -29,7 +29,7 @@ def op2_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = archive_pages(read(spark, sf_dir, "pages"))
+    found = archive_pages(read(spark, sf_dir, "pages"), payloads=False)
     c = F.col("capture")
     return found.select("page_id", c["payload_bytes"].alias("payload_bytes"), c["payload_digest"].alias("payload_digest"), c["record_type"].alias("record_type"), c["refers_to_page"].alias("refers_to"))
 

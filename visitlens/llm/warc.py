@@ -141,9 +141,13 @@ def transactions(records: DataFrame) -> DataFrame:
     )
 
 
-def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the pages' archives to a folder (a new one of the shared folder by default) and read them back as transactions."""
+def archive_pages(pages: DataFrame, path: str | None = None, payloads: bool = True) -> DataFrame:
+    """Write the pages' archives to a folder (a new one of the shared folder by default) and read them back as transactions.
+
+    Without ``payloads`` the captures carry digests and sizes alone, and no payload is shuffled after reading.
+    """
     spark = prepare(pages.sparkSession)
     path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4()}"
     write_captures(pages, path)
-    return transactions(read_records(spark, path))
+    records = read_records(spark, path)
+    return transactions(records if payloads else records.withColumn("payload", F.lit(None).cast("string")))
