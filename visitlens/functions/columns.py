@@ -9,6 +9,7 @@ from operator import or_
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import needles as N
 
@@ -134,7 +135,7 @@ def v4_in(ip: Column, networks: list[str]) -> Column:
     return F.coalesce(reduce(or_, map(inside, networks)), F.lit(False))
 
 
-@F.pandas_udf("struct<network:string,internal:boolean>")
+@F.pandas_udf(T.StructType([T.StructField("network", T.StringType()), T.StructField("internal", T.BooleanType())]))
 def v6_facts(ip: pd.Series) -> pd.DataFrame:
     """/64 key and internal flag of IPv6 addresses; null where the text isn't one. Meant for distinct addresses."""
     import ipaddress

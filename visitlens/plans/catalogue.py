@@ -12,6 +12,8 @@ from visitlens.operators.filters import Filters, Term
 from visitlens.plans import sql
 from visitlens.plans.fixture import HOST, Tables, tables
 from visitlens.sources import archive, logs
+from visitlens.sources.shared import new_folder
+from visitlens.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -542,3 +544,51 @@ def bulk_lookup(t):
 @query()
 def failed_enrichment(t):
     return stamped(enrich.mark_failed(t.intel, t.visits.filter("status = 404").select("ip"), "2024-03-01 00:00:00").select("ip", "country", "fetched_at"))
+
+
+# ---- streams ------------------------------------------------------------------------------------
+
+
+def streamed(t: Tables, frame: DataFrame, name: str, build: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
+    """Write a table as files, run a stream over all of them, and read what it wrote: the last state, or everything appended."""
+    spark = frame.sparkSession
+    source, sink = new_folder(spark, f"{name}-in"), new_folder(spark, f"{name}-out")
+    frame.write.parquet(source)
+    stream = build(spark.readStream.schema(frame.schema).parquet(source))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(sink if mode == "complete" else f"{sink}/batch={number}")
+
+    jobs.each_batch(stream, write, new_folder(spark, f"{name}-state"), {"availableNow": True}, mode).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@query()
+def stream_hourly(t):
+    grouped = rows(t).select("ts", "grp")
+    found = streamed(t, grouped, "hourly", lambda s: jobs.counts(jobs.clocked(s)))
+    return found.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:00"))
+
+
+@query()
+def stream_sessions(t):
+    return stamped(streamed(t, t.visits.select("ip", "ts", "status", "path"), "sessions", lambda s: jobs.session_spans(jobs.clocked(s), 86_400)))
+
+
+@query()
+def stream_ingest(t):
+    found = streamed(t, log_lines(t), "ingest", lambda s: jobs.ingest(s, "60 days"), "append")
+    return found.groupBy("ip", "method", "status").agg(F.count("*").alias("visits"), F.sum("bytes_sent").cast("long").alias("bytes_sent"))
+
+
+@query()
+def stream_newcomers(t):
+    sink = new_folder(t.visits.sparkSession, "newcomers")
+    known = t.visits.filter("ts < '2024-01-02'")
+    work = jobs.newcomers(lambda: known, lambda df, n: df.write.mode("overwrite").parquet(f"{sink}/batch={n}"))
+    later = t.visits.select("ip", "ts")
+    source = new_folder(t.visits.sparkSession, "newcomers-in")
+    later.write.parquet(source)
+    spark = t.visits.sparkSession
+    jobs.each_batch(spark.readStream.schema(later.schema).parquet(source), work, new_folder(spark, "newcomers-state"), {"availableNow": True}).awaitTermination()
+    return stamped(spark.read.parquet(sink).select("ip", "first_seen"))

@@ -333,3 +333,10 @@ REOPENED_NAMES = f"{SQL} SELECT ip, CASE WHEN rdns_checked_at IS NULL AND ip IN
 UNCHECKED_NAMES = f"{SQL} SELECT ip FROM intel WHERE rdns_checked_at IS NULL ORDER BY ip LIMIT 50"
 BULK_LOOKUP = f"{SQL} SELECT v.ip, country_code, asn FROM (SELECT DISTINCT ip FROM visits) v LEFT JOIN intel i ON i.ip = v.ip"
 FAILED_ENRICHMENT = f"""{SQL}, f AS (SELECT DISTINCT ip FROM visits WHERE status = 404) SELECT coalesce(i.ip, f.ip) AS ip, coalesce(i.country, '') AS country, CAST(CASE WHEN f.ip IS NOT NULL THEN TIMESTAMP '2024-03-01' ELSE fetched_at END AS VARCHAR) AS fetched_at FROM intel i FULL JOIN f ON f.ip = i.ip"""
+
+# ---- streams: what the stream over all rows must come to ------------------------------------------------
+
+STREAM_HOURLY = f"{SQL} SELECT strftime(ts, '%Y-%m-%d %H:00') AS bucket, {GROUP_COUNTS}, count(*) AS total FROM j GROUP BY 1"
+STREAM_SESSIONS = f"{SQL}, {marked('visits')} SELECT ip, CAST(min(ts) AS VARCHAR) AS started, CAST(max(ts) AS VARCHAR) AS ended, count(*) AS requests, {n_if(PROBE)} AS probe_404, {n_if('status BETWEEN 200 AND 299')} AS ok_requests FROM m GROUP BY ip, session_no"
+STREAM_INGEST = INGESTED_VISITS.replace("SELECT ip, CASE", "SELECT ip, CASE", 1)
+STREAM_NEWCOMERS = f"{SQL} SELECT ip, CAST(min(ts) AS VARCHAR) AS first_seen FROM visits WHERE ip NOT IN (SELECT ip FROM visits WHERE ts < TIMESTAMP '2024-01-02') GROUP BY ip"

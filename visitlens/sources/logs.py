@@ -7,7 +7,6 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from visitlens.functions import columns as C
 from visitlens.functions import needles as N
@@ -18,7 +17,7 @@ FIELDS = [
     "time", "remote_addr", "request", "status", "body_bytes_sent", "http_referer", "http_user_agent", "request_time", "ssl_protocol", "request_method", "request_uri", "server_port", "http_accept_language", "request_length",
     "http_x_forwarded_for", "ssl_cipher", "connection", "connection_requests", "limit_req_status", "http_version", "sec_fetch_dest", "sec_fetch_mode", "sec_fetch_site", "accept_encoding", "ssl_session_reused",
 ]
-LOG_SCHEMA = T.StructType.fromDDL(", ".join(f"{f} {_NUMBERS.get(f, 'string')}" for f in FIELDS) + ", corrupt string")
+LOG_SCHEMA = ", ".join(f"{f} {_NUMBERS.get(f, 'string')}" for f in FIELDS) + ", corrupt string"
 #: Longest stored values.
 CAPS = {"path": 2048, "user_agent": 1024, "referer": 2048, "accept_language": 256, "http_x_forwarded_for": 512}
 
