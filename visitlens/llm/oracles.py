@@ -1,6 +1,29 @@
-"""DuckDB SQL for those corpus queries that SQL can express."""
+"""DuckDB SQL for those corpus queries that SQL can express on whole tables. The others are held against brute-force versions in tests/llm."""
 
 from .quality import ORACLE
 
-#: Quality rules are plain measures. The rest are held against brute-force versions in tests/llm.
-ORACLES: dict[str, str] = {"op1_quality_cascade": ORACLE}
+SUBSTRINGS = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM (SELECT doc_id, unnest(list_transform(range(1, len(words) - 18), lambda i: array_to_string(words[i:i + 19], ' '))) AS g, unnest(range(1, len(words) - 18)) AS i FROM w)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM f WHERE nth > 1),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w) x ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+NEAR = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT r.doc_id, links.b FROM r JOIN links ON links.a = r.c)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+"""
+_FIVE_HEX = "('0x' || substr(sha1(p), {0}, 5))::INT"
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_BASE32 = " || ".join(f"substr({_LETTERS}, (({_FIVE_HEX.format(1 + 5 * i)} >> {shift}) & 31) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+CAPTURES = f"""
+WITH x AS (SELECT page_id, coalesce(html, '') AS p FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY p) AS first FROM x)
+SELECT page_id, octet_length(encode(p))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+ORACLES: dict[str, str] = {"op1_quality_cascade": ORACLE, "op3_warc_transactions": CAPTURES, "op6_substring_dedup": SUBSTRINGS, "op7_circulant_minhash": NEAR}
