@@ -3,8 +3,8 @@
 Two readings of a text are scanned. The base looks for phrases of whole words (consecutive, whatever
 stands between them). The signature rules are several hundred regular expressions in order of priority,
 made from families of licenses and their versions and the ways a license is named: an identifier line, a grant
-("licensed under ..."), a reference ("... license"), a link. They run only where their family's keyword stands in the text,
-and at all only where a text has any keyword. Where detections overlap, one that lies in
+("licensed under ..."), a reference ("... license"), a link. They run only where the words of the text hold their family's keyword
+and the cue of their kind, and at all only where there is any keyword. Where detections overlap, one that lies in
 another of a higher priority, or of the same priority and longer, is suppressed.
 
 score is the best confidence among what is left: identifier 1.0, grant 0.9, base phrase or link 0.8, reference 0.6;
@@ -16,6 +16,10 @@ doc_id and text are ignored. No row needs another, so nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +69,7 @@ FAMILIES = [
     ("open database", "odbl", r"open database", ["1.0"]),
     ("microsoft", "ms-pl", r"microsoft public", []),
     ("ms-pl", "ms-pl", r"ms-pl", []),
-    ("beerware", "beerware", r"beer-?ware", []),
+    ("beer", "beerware", r"beer-?ware", []),
 ]
 COMMONS = ["by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"]
 LONG_NAMES = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
@@ -135,16 +139,28 @@ def _places(words: Column, phrase: str) -> tuple[Column, Column, Column]:
     return count.cast("long"), first.cast("long"), last.cast("long")
 
 
-def _detections(flat: Column) -> Column:
-    """All signature matches in a text as structs (a, b, priority, label, confidence); b is exclusive."""
-    rules = signatures()
-    by_keyword: dict[str, list] = {}
-    for r in rules:
-        by_keyword.setdefault(r[1], []).append(r)
+def in_words(keyword: str) -> str:
+    """A keyword as it stands in words_only, at the start of a word."""
+    return " " + re.sub("[^a-z0-9]+", " ", keyword)
+
 
+def cue(pattern: str) -> str:
+    """What the words of any text hold that the pattern matches, by the kind of signature."""
+    if "license-identifier" in pattern or pattern.startswith(r"\blicense:"):
+        return " license"
+    if " under (?:the )?" in pattern:
+        return " under "
+    return " licen" if pattern.endswith(r" licen[sc]e\b") else " "
+
+
+def _detections(flat: Column, words: Column) -> Column:
+    """All signature matches in a text as structs (a, b, priority, label, confidence); b is exclusive."""
+    gated: dict[tuple[str, str], list] = {}
+    for rule in signatures():
+        gated.setdefault((in_words(rule[1]), cue(rule[3])), []).append(rule)
     # rules are data: one expression per rule would be far too long a plan
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(lab).alias("label"), F.lit(pat).alias("pattern"), F.lit(c).alias("confidence")) for p, _, lab, pat, c in own]).alias("rules")) for k, own in by_keyword.items()])
-    active = F.flatten(F.transform(F.filter(table, lambda k: F.contains(flat, k["keyword"])), lambda k: k["rules"]))
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("cue"), F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(lab).alias("label"), F.lit(pat).alias("pattern"), F.lit(x).alias("confidence")) for p, _, lab, pat, x in own]).alias("rules")) for (k, c), own in gated.items()])
+    active = F.flatten(F.transform(F.filter(table, lambda k: F.contains(words, k["keyword"]) & F.contains(words, k["cue"])), lambda k: k["rules"]))
     active = F.filter(active, lambda r: F.regexp_like(flat, r["pattern"]))
 
     def matches(r: Column) -> Column:
@@ -176,9 +192,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = text.withColumn("words", words_only(F.col("text")))
     places = {p: _places(F.col("words"), p) for p in PHRASES}
-    keywords = sorted({r[1] for r in signatures()})
-    # the gate: plain alternatives, and none of their short ones inside longer words
-    gate = "(?i)" + "|".join(rf"\b{k.replace('.', '[.]')}" for k in keywords)
+    gate = reduce(or_, [F.contains("words", F.lit(in_words(k))) for k in sorted({r[1] for r in signatures()})])
     flat = F.regexp_replace(F.translate(F.col("text"), UPPER, LOWER), r"[\x00-\x20]+", " ")
     none = F.expr("cast(array() as array<struct<a:int,b:int,priority:int,label:string,confidence:double>>)")
     rows = rows.select(
@@ -188,9 +202,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.least(*[a for _, a, _ in places.values()]).alias("first_word"),
         F.greatest(*[b for _, _, b in places.values()]).alias("last_word"),
         F.array_compact(F.array(*[F.when(places[p][0] > 0, F.lit(lab)) for p, lab in PHRASES.items()])).alias("base"),
-        F.when(F.regexp_like("text", F.lit(gate)), flat).alias("flat"),
+        F.when(gate, flat).alias("flat"),
+        "words",
     )
-    rows = rows.withColumn("found", F.when(F.col("flat").isNotNull(), _detections(F.col("flat"))).otherwise(none))
+    rows = rows.withColumn("found", F.when(F.col("flat").isNotNull(), _detections(F.col("flat"), F.col("words"))).otherwise(none))
     rows = rows.withColumn("detections", F.when(F.size("found") > 0, _standing(F.col("found"))).otherwise(none))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("detections", lambda d: d["label"]))))
     score = F.greatest(F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(BASE_CONFIDENCE)).otherwise(F.lit(0.0)))
