@@ -3,13 +3,15 @@
 Signatures use two permutations of the 32-bit integers. SIGMA scatters the shingles; coordinate k is
 the least value of PI after a circular shift by k, so one pass of PI per coordinate serves the whole
 signature. BANDS bands of ROWS coordinates each: at a similarity of 0.75 a pair shares no band
-with a probability of (1 - 0.75**3)**32, about 2e-8.
+with a probability of (1 - 0.75**6)**80, about 1.5e-7, while documents that share no more than a
+passage rarely meet.
 
 Candidates never come as all pairs of a band group. Documents with equal sets are one class with
 one representative. In each band group one representative, the pivot, is compared with the others; what is
-already connected needs no comparison, and only groups that still hold several components go on:
-members outside the largest component become pivots, PIVOTS of them at first and four times as many in each
-further round, until every pair across components was compared. Comparisons use the full sets.
+already connected needs no comparison, and only groups that still hold several components go on: their
+loose members, those outside the largest component, are compared with its HUBS members of the most links, four times as many in
+each further round. Where no more than LOOSE members are loose (eight times as many in each further
+round), each is compared with all others at last, so no pair across components is left out. Comparisons use the full sets.
 Sets are named by 64-bit codes.
 
 Joins on keys that one group may dominate read checkpointed frames on both sides, so Spark can split
@@ -34,8 +36,8 @@ from .common import FOLDED_CODES, Runs, as_bytes, cut, prepare, slices, word_cod
 
 SHINGLE = 5
 PERCENT = 75
-BANDS, ROWS = 32, 3
-PIVOTS = 64
+BANDS, ROWS = 80, 6
+HUBS, LOOSE = 8, 2
 SETS = "doc_id long, n_shingles long, set_key long, bands array<long>"
 
 
@@ -136,39 +138,46 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def class_labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, component) of the classes that share a band with another; classes are (id, doc_id, bands), one for each set."""
     bands = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
-    groups = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark")).filter("n > 1")
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket").repartition("bucket")
+    rows = cut(bands.join(shared, "bucket"))
+    groups = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark"))
     # groups with the same members are one
-    groups = groups.groupBy("n", "pivot", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "pivot")
-    members = cut(bands.join(cut(groups), "bucket"))
+    groups = cut(groups.groupBy("n", "pivot", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "pivot"))
+    members = cut(rows.join(groups, "bucket"))
     nodes = members.select("id").distinct()
     named = classes.join(nodes, "id").select(F.col("doc_id").alias("rep"))
     text = docs.join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text")
     sets = cut(text.mapInArrow(_sets, "id long, items array<long>").dropDuplicates(["id"]))
     done = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    labels = connected(nodes, _linked(done, sets))
+    links = cut(_linked(done, sets))
+    labels = connected(nodes, links)
     members = members.select("bucket", "id", (F.col("id") == F.col("pivot")).alias("pivoted"))
-    order, pivots = Window.partitionBy("bucket").orderBy("id"), PIVOTS
+    hubs, few = HUBS, LOOSE
     while True:
         now = cut(members.join(labels, "id"))
         sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1")
-        largest = cut(largest.select("bucket", F.col("top.component").alias("largest")))
-        if largest.isEmpty():
+        marked = cut(now.join(largest.select("bucket", F.col("top.component").alias("largest")).repartition("largest"), "bucket"))
+        loose = marked.filter("component <> largest and not pivoted").select("bucket", F.col("id").alias("loose"), F.col("component").alias("of"))
+        left = cut(loose.groupBy("bucket").agg(F.count("*").alias("n")))
+        if left.isEmpty():
             return labels
-        loose = now.join(largest, "bucket").filter("not pivoted and component <> largest")
-        chosen = cut(loose.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= pivots + 1).select("bucket", F.col("id").alias("pivot"), F.col("component").alias("of"), "nth"))
-        more = not chosen.filter(F.col("nth") > pivots).isEmpty()
-        chosen = chosen.filter(F.col("nth") <= pivots).drop("nth")
-        pairs = now.select("bucket", "id", "component").join(chosen, "bucket").filter("component <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
+        degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+        busy = marked.filter("component = largest").join(degrees, "id").withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("degree").desc(), "id")))
+        last = loose.join(left.filter(F.col("n") <= few).select("bucket"), "bucket")
+        pair = [F.least("id", "loose").alias("a"), F.greatest("id", "loose").alias("b")]
+        with_hubs = busy.filter(F.col("nth") <= hubs).select("bucket", "id").join(loose, "bucket").select(*pair)
+        with_all = marked.select("bucket", "id", "component").join(last, "bucket").filter("component <> of").select(*pair)
+        pairs = cut(with_hubs.union(with_all).distinct().join(done, ["a", "b"], "left_anti"))
         found = cut(_linked(pairs, sets))
         if not found.isEmpty():
             labels = merged(labels, found)
-        if not more:
+        if left.filter(F.col("n") > few).isEmpty():
             return labels
-        done = done.union(pairs)
-        members = now.join(chosen.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("now")), ["bucket", "id"], "left").select("bucket", "id", (F.col("pivoted") | F.col("now").isNotNull()).alias("pivoted"))
-        pivots *= 4
+        done, links = done.union(pairs), links.union(found)
+        compared = last.select("bucket", F.col("loose").alias("id"), F.lit(True).alias("now"))
+        members = marked.join(compared, ["bucket", "id"], "left").select("bucket", "id", (F.col("pivoted") | F.col("now").isNotNull()).alias("pivoted"))
+        hubs, few = 4 * hubs, 8 * few
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
