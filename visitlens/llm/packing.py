@@ -27,7 +27,7 @@ from .common import as_bytes, prepare
 CAPACITY = 4096
 END_ID = 2
 GROUP = 2048
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_200_000
 PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
 
 
