@@ -16,6 +16,7 @@ doc_id and text are ignored. No row needs another, so nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 from operator import or_
@@ -158,8 +159,9 @@ def _detections(flat: Column, words: Column) -> Column:
     gated: dict[tuple[str, str], list] = {}
     for rule in signatures():
         gated.setdefault((in_words(rule[1]), cue(rule[3])), []).append(rule)
-    # rules are data: one expression per rule would be far too long a plan
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("cue"), F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(lab).alias("label"), F.lit(pat).alias("pattern"), F.lit(x).alias("confidence")) for p, _, lab, pat, x in own]).alias("rules")) for (k, c), own in gated.items()])
+    # rules are data in one constant: an expression for each would make a plan of thousands of nodes
+    rows = [{"keyword": k, "cue": c, "rules": [{"priority": p, "label": lab, "pattern": pat, "confidence": x} for p, _, lab, pat, x in own]} for (k, c), own in gated.items()]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<keyword:string,cue:string,rules:array<struct<priority:int,label:string,pattern:string,confidence:double>>>>")
     active = F.flatten(F.transform(F.filter(table, lambda k: F.contains(words, k["keyword"]) & F.contains(words, k["cue"])), lambda k: k["rules"]))
     active = F.filter(active, lambda r: F.regexp_like(flat, r["pattern"]))
 
@@ -192,7 +194,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = text.withColumn("words", words_only(F.col("text")))
     places = {p: _places(F.col("words"), p) for p in PHRASES}
-    gate = reduce(or_, [F.contains("words", F.lit(in_words(k))) for k in sorted({r[1] for r in signatures()})])
+    rules = signatures()
+    free = {in_words(r[1]) for r in rules if cue(r[3]) == " "}
+    cued = {in_words(r[1]) for r in rules} - free  # of no use without a cue, and some are common words
+    holds = lambda keywords: reduce(or_, [F.contains("words", F.lit(k)) for k in sorted(keywords)])
+    gate = (holds({" licen", " under "}) & holds(cued)) | holds(free)
     flat = F.regexp_replace(F.translate(F.col("text"), UPPER, LOWER), r"[\x00-\x20]+", " ")
     none = F.expr("cast(array() as array<struct<a:int,b:int,priority:int,label:string,confidence:double>>)")
     rows = rows.select(
