@@ -48,6 +48,24 @@ def test_licenses_match_brute_force(spark):
     assert licenses.scan_licenses(corpora.frame(spark, [])).count() == 0
 
 
+def test_names_beside_other_characters_pass_the_gate(spark):
+    want = {
+        "\u201cMIT License\u201d": "mit",
+        "\u00abApache License 2.0\u00bb": "apache-2.0",
+        "\u00a9MIT License": "mit",
+        "\u201cLicense: GPL-3.0\u201d": "gpl-3.0",
+        "\u2014ISC license\u2014": "isc",
+        "\u00a0zlib license": "zlib",
+        "\u2022released under the BSD license": "bsd",
+        "\u201call rights reserved\u201d": "proprietary",
+        "see \u201chttp://mycreativecommons.org/licenses/by/4.0\u201d": "cc-by-4.0",
+    }
+    data = [(i, t, None, None, None) for i, t in enumerate(want)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(corpora.frame(spark, data)).collect()}
+    for i, (text, label) in enumerate(want.items()):
+        assert got[i].labels == label and brute_signatures(text) == {label} and got[i].score > 0, text
+
+
 def test_there_are_hundreds_of_signatures():
     assert len(licenses.signatures()) > 300
     for _, keyword, _, pattern, _ in licenses.signatures():

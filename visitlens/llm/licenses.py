@@ -3,8 +3,8 @@
 Two readings of a text are scanned. The base looks for phrases of whole words (consecutive, whatever
 stands between them). The signature rules are several hundred regular expressions in order of priority,
 made from families of licenses and their versions and the ways a license is named: an identifier line, a grant
-("licensed under ..."), a reference ("... license"), a link. They run only where the words of the text hold their family's keyword
-and the cue of their kind, and at all only where there is any keyword. Where detections overlap, one that lies in
+("licensed under ..."), a reference ("... license"), a link. They run only where the plain words of the text (letters and
+digits of ASCII; quotes, signs and letters of other scripts end a word) hold their family's keyword and the cue of their kind, and at all only where there is any keyword. Where detections overlap, one that lies in
 another of a higher priority, or of the same priority and longer, is suppressed.
 
 score is the best confidence among what is left: identifier 1.0, grant 0.9, base phrase or link 0.8, reference 0.6;
@@ -140,13 +140,18 @@ def _places(words: Column, phrase: str) -> tuple[Column, Column, Column]:
     return count.cast("long"), first.cast("long"), last.cast("long")
 
 
-def in_words(keyword: str) -> str:
-    """A keyword as it stands in words_only, at the start of a word."""
-    return " " + re.sub("[^a-z0-9]+", " ", keyword)
+def plain_words(words: Column) -> Column:
+    """What words_only gives, with a space for each run of other characters too: none of them is part of a name."""
+    return F.when(F.length(words) == F.octet_length(words), words).otherwise(F.regexp_replace(words, "[^a-z0-9]+", " "))
+
+
+def in_words(keyword: str, pattern: str) -> str:
+    """A keyword as it stands in plain_words; at the start of a word if the pattern asks for one."""
+    return (" " if pattern.startswith(r"\b") else "") + re.sub("[^a-z0-9]+", " ", keyword)
 
 
 def cue(pattern: str) -> str:
-    """What the words of any text hold that the pattern matches, by the kind of signature."""
+    """What the plain words of any text hold that the pattern matches, by the kind of signature."""
     if "license-identifier" in pattern or pattern.startswith(r"\blicense:"):
         return " license"
     if " under (?:the )?" in pattern:
@@ -158,7 +163,7 @@ def _detections(flat: Column, words: Column) -> Column:
     """All signature matches in a text as structs (a, b, priority, label, confidence); b is exclusive."""
     gated: dict[tuple[str, str], list] = {}
     for rule in signatures():
-        gated.setdefault((in_words(rule[1]), cue(rule[3])), []).append(rule)
+        gated.setdefault((in_words(rule[1], rule[3]), cue(rule[3])), []).append(rule)
     # rules are data in one constant: an expression for each would make a plan of thousands of nodes
     rows = [{"keyword": k, "cue": c, "rules": [{"priority": p, "label": lab, "pattern": pat, "confidence": x} for p, _, lab, pat, x in own]} for (k, c), own in gated.items()]
     table = F.from_json(F.lit(json.dumps(rows)), "array<struct<keyword:string,cue:string,rules:array<struct<priority:int,label:string,pattern:string,confidence:double>>>>")
@@ -192,12 +197,12 @@ def _standing(found: Column) -> Column:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = text.withColumn("words", words_only(F.col("text")))
+    rows = text.withColumn("words", words_only(F.col("text"))).withColumn("plain", plain_words(F.col("words")))
     places = {p: _places(F.col("words"), p) for p in PHRASES}
     rules = signatures()
-    free = {in_words(r[1]) for r in rules if cue(r[3]) == " "}
-    cued = {in_words(r[1]) for r in rules} - free  # of no use without a cue, and some are common words
-    holds = lambda keywords: reduce(or_, [F.contains("words", F.lit(k)) for k in sorted(keywords)])
+    free = {in_words(r[1], r[3]) for r in rules if cue(r[3]) == " "}
+    cued = {in_words(r[1], r[3]) for r in rules} - free  # of no use without a cue, and some are common words
+    holds = lambda keywords: reduce(or_, [F.contains("plain", F.lit(k)) for k in sorted(keywords)])
     gate = (holds({" licen", " under "}) & holds(cued)) | holds(free)
     flat = F.regexp_replace(F.translate(F.col("text"), UPPER, LOWER), r"[\x00-\x20]+", " ")
     none = F.expr("cast(array() as array<struct<a:int,b:int,priority:int,label:string,confidence:double>>)")
@@ -209,9 +214,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.greatest(*[b for _, _, b in places.values()]).alias("last_word"),
         F.array_compact(F.array(*[F.when(places[p][0] > 0, F.lit(lab)) for p, lab in PHRASES.items()])).alias("base"),
         F.when(gate, flat).alias("flat"),
-        "words",
+        "plain",
     )
-    rows = rows.withColumn("found", F.when(F.col("flat").isNotNull(), _detections(F.col("flat"), F.col("words"))).otherwise(none))
+    rows = rows.withColumn("found", F.when(F.col("flat").isNotNull(), _detections(F.col("flat"), F.col("plain"))).otherwise(none))
     rows = rows.withColumn("detections", F.when(F.size("found") > 0, _standing(F.col("found"))).otherwise(none))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("detections", lambda d: d["label"]))))
     score = F.greatest(F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(BASE_CONFIDENCE)).otherwise(F.lit(0.0)))
