@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlens.llm.common import prepare, read, shared_dir
-from visitlens.llm.minhash import near_duplicates
+from visitlens.llm.minhash import one_of_each
 from visitlens.llm.packing import pack_documents
 from visitlens.llm.quality import keep_quality
 from visitlens.llm.suffix_dedup import dedup_suffixes
@@ -24,9 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    gone = near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies stays, whatever ids the rows have."""
+    return one_of_each(docs)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

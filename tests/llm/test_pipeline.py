@@ -32,3 +32,31 @@ def test_stages_match_brute_force(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         whole[r.doc_id].append(r.length)
     assert {d: sum(x) for d, x in whole.items()} == {d: sum(r.length for r in frames[4].collect() if r.doc_id == d) for d in whole}
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, tmp_path):
+    def prose(name, n=80):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    groups = {
+        "equal rows": [(1, prose("a"), "en", "s", 1)] * 3,
+        "a copy without an id": [(2, prose("b"), "en", "s", 1), (None, prose("b"), "en", "s", 1)],
+        "no ids, near": [(None, prose("c"), "en", "s", 1), (None, prose("c") + " more", "en", "s", 1)],
+        "no ids, equal": [(None, prose("d"), None, "s", 1)] * 2,
+        "an id with two near texts": [(4, prose("e"), "en", "s", 1), (4, prose("e") + " more", "en", "s", 1)],
+        "equal but for a column": [(5, prose("f"), None, "s", 1), (5, prose("f"), "s", None, 1)],
+        "a near copy under another's id": [(6, prose("g"), "en", "s", 1), (7, prose("g") + " more", "en", "s", 1)],
+    }
+    alone = [(7, prose("h"), "en", "s", 1), (None, prose("i"), "en", "s", 1), (4, prose("j"), "en", "s", 1)]
+    wordless = [(8, " ", "en", "s", 1), (8, " ", "en", "s", 1), (None, None, "en", "s", 1)]
+    data = [r for rows in groups.values() for r in rows] + alone + wordless
+    kept = corpus_pipeline.near_dedup(spark, corpora.frame(spark, data), str(tmp_path))
+    got = [tuple(r) for r in kept.collect()]
+    for name, rows in groups.items():
+        assert sum(r in rows for r in got) == 1, name
+    assert (2, *groups["a copy without an id"][0][1:]) in got and groups["a near copy under another's id"][0] in got
+    assert all(got.count(r) == 1 for r in alone) and sorted(filter(lambda r: r in wordless, got), key=str) == sorted(wordless, key=str)
+    assert len(got) == len(groups) + len(alone) + len(wordless) and kept.columns == list(corpora.frame(spark, []).columns)
+    spans = {r.text for r in corpus_pipeline.repeated_spans(spark, kept, str(tmp_path)).collect()}
+    assert {prose("b"), prose("h")} <= spans
+    assert corpus_pipeline.near_dedup(spark, corpora.frame(spark, []), str(tmp_path)).count() == 0

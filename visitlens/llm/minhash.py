@@ -97,9 +97,10 @@ def _signed(batches):
             if full:
                 for i, row in zip(full, signature_bands([sets[i] for i in full]), strict=True):
                     bands[i] = row
+            own = [batch.column("row")[a:b]] if "row" in batch.schema.names else []
             yield pa.RecordBatch.from_arrays(
-                [ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), *own],
+                names=["doc_id", "n_shingles", "set_key", "bands", *(["row"] if own else [])],
             )
 
 
@@ -202,3 +203,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = signed.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     least = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, least.isNull()).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, less all but one of each component: the one with the least doc_id, null last.
+
+    Each row has a verdict of its own, by a 64-bit code of its columns: rows that share a doc_id are told apart, a row
+    without an id goes or stays like any other, and of equal rows one stays. Rows without words are linked with nothing
+    and all stay.
+    """
+    prepare(docs.sparkSession)
+    columns = docs.columns
+    code = F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", code.alias("row"))
+    signed = cut(texts.mapInArrow(_signed, f"{SETS}, row long")).filter("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    classes = cut(signed.groupBy(F.col("set_key").alias("id")).agg(F.first("bands").alias("bands"), F.min(order).alias("best")))
+    # representatives are found by the code of their row, since ids may be null or repeat
+    labels = class_labels(texts.select(F.col("row").alias("doc_id"), "text"), classes.select("id", F.col("best.row").alias("doc_id"), "bands"))
+    named = classes.select("id", "best").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    stays = named.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"), F.lit(True).alias("stays"))
+    rows = cut(signed.groupBy("row").agg(F.count("*").alias("n")).join(stays, "row", "left").filter("stays is null or n > 1"))
+    coded = docs.withColumn("_row", code)
+    verdict = rows.select(F.col("row").alias("_row"), "stays")
+    single = coded.join(verdict.select("_row"), "_row", "left_anti").select(*columns)
+    equal = coded.join(verdict.filter("stays").select("_row"), "_row", "left_semi").select(*columns).distinct()
+    return single.union(equal)
