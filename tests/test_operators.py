@@ -229,6 +229,14 @@ def test_neighbourhood_excludes_the_address_itself(spark):
     assert ("198.51.100.9", "network") not in got
 
 
+def test_neighbourhood_of_ipv6_is_its_64(spark):
+    ips = [f"2001:db8::{i}" for i in range(1, 7)] + ["2001:0db8:0:0:ffff::1", "2001:db8:0:1::1", "no:address", "192.0.2.1"]
+    dim = dimension(intel(spark, [{"ip": ip, "visitor_class": "threats/x"} for ip in ips]), values(spark))
+    got = {r.ip: r for r in grouping.neighbourhood(Filters().apply(visits(spark, [{"ip": ip} for ip in ips]), dim), dim).collect()}
+    assert set(got) == set(ips[:7])
+    assert {(r.value, r.peers, r.threats, r.dominant) for r in got.values()} == {("2001:db8::/64", 6, 6, "threats")}
+
+
 # ---- exposure and hosts ---------------------------------------------------------------------------
 
 
