@@ -76,3 +76,23 @@ def test_broken_pages_never_fail():
     for html in ["", "<", "</p></div>", "<table><tr><td>" * 300, "<div>" * 5000 + "x", "<p", "<!DOCTYPE html>", "&#x110000; &bogus;", "<ol start=x><li>a", "<![CDATA[x]]>", "<ul>" * 150 + "<li>x"]:
         render_html(html)
     assert text("<div>" * 5000 + "deep") == "deep"
+
+
+def test_a_head_ends_at_what_cannot_stand_in_it():
+    assert render_html("<html><head><title>T</title>Hello <a href=x>world</a> again<p>para")[:2] == ("T", "Hello world again\n\npara")
+    assert render_html("<head><title>T</title><meta charset=utf-8><script>var a</script>\n<a href=x>only</a> inline")[:2] == ("T", "only inline")
+    assert text("<head><style>p{}</style><noscript>n</noscript><template>t</template>\n</head>b") == "b"
+
+
+def test_form_fields_drawings_and_fallbacks_are_shown():
+    assert text("<p>a <textarea>\nb  c\nd</textarea>") == "a b  c\nd"
+    assert text("<select><optgroup label=G><option>one<option selected>two</select> x") == "G one two x"
+    assert text("<svg><title>t</title><defs><text>no</text></defs>stray<g><text>yes</text><text>also</text></g></svg>") == "yes also"
+    assert text("<object>fallback</object><object data=x.swf>no</object>") == "fallback"
+
+
+def test_hidden_text_stays_hidden_at_any_depth():
+    for n in (5, 198, 199, 200, 201, 202, 400):
+        deep = "<div>" * n
+        assert text(deep + "a<script>s</script><style>t</style><i hidden>u<i>v</i>w</i>b") == "ab", n
+        assert text(f"{deep}a<div hidden>{'<div>' * 250}x{'</div>' * 250}y</div>b") == "ab", n

@@ -1,18 +1,22 @@
 """HTML to text by layout-aware rendering.
 
 A small tree builder reads tags with the implied ends and starts that pages rely on (a new paragraph
-ends the open one, a row ends the open row and cell, body and head need no tags), then visibility rules drop
+ends the open one, a row ends the open row and cell, body and head need no tags: a head ends at the first text or tag
+that can't stand in it), then visibility rules drop
 what a browser would not show, and the rest is rendered: blocks stand on lines of their own with a blank line
 around paragraphs, lists are marked and indented, and the cells of a table are padded to columns.
 
 Defined results: null and empty html give an empty text. Unclosed and stray tags never fail. Depth is
-bounded: beyond DEPTH open elements further ones are flattened into the last. Rows are rendered one by
+bounded: beyond DEPTH open elements further ones are flattened into the last, hidden ones with all that they hold. Text
+areas keep their lines, all options of a select are shown, an svg shows its text elements, and an object without data its
+fallback. Rows are rendered one by
 one; columns beyond page_id and html are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -24,7 +28,11 @@ from .common import prepare
 DEPTH = 200
 RESULT = "page_id long, title string, text string, n_blocks long, n_hidden long"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-HIDDEN = {"head", "script", "style", "template", "noscript", "title", "datalist", "audio", "video", "canvas", "svg", "object", "iframe", "select", "textarea"}
+HIDDEN = {"head", "script", "style", "template", "noscript", "title", "datalist", "audio", "video", "canvas", "iframe"}
+#: What may stand in a head.
+HEAD = {"base", "basefont", "bgsound", "head", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+#: Within an svg: what holds its text, and what is never drawn where it stands.
+DRAWN, UNDRAWN = {"text", "foreignobject"}, {"defs", "symbol", "desc", "metadata", "clippath", "mask", "pattern", "marker"}
 LOOSE = {"p", "blockquote", "pre", "ul", "ol", "dl", "table", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr"}
 BLOCK = LOOSE | {"html", "body", "div", "article", "section", "main", "nav", "header", "footer", "aside", "address", "li", "dt", "dd", "tr", "form", "fieldset", "figcaption", "details", "summary", "caption", "thead", "tbody", "tfoot", "center", "td", "th"}
 CELLS, ROWS = {"td", "th"}, {"thead", "tbody", "tfoot"}
@@ -46,7 +54,7 @@ class Node:
     @property
     def hidden(self) -> bool:
         a = self.attrs
-        return self.tag in HIDDEN or "hidden" in a or a.get("aria-hidden") == "true" or (self.tag == "input" and a.get("type") == "hidden") or bool(HIDING.search(a.get("style") or ""))
+        return self.tag in HIDDEN or "hidden" in a or a.get("aria-hidden") == "true" or (self.tag == "input" and a.get("type") == "hidden") or (self.tag == "object" and bool(a.get("data"))) or bool(HIDING.search(a.get("style") or ""))
 
 
 class Builder(HTMLParser):
@@ -56,14 +64,21 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.flat = Counter()  # tags of elements within the last open one that stand open beyond DEPTH
 
     def close_to(self, ends: set[str], upto: set[str]) -> None:
+        if any(self.flat[t] for t in upto):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
             if tag in upto:
                 return
             if tag in ends:
-                del self.open[i:]
+                self.close_at(i)
+
+    def close_at(self, i: int) -> None:
+        del self.open[i:]
+        self.flat.clear()
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
@@ -73,34 +88,43 @@ class Builder(HTMLParser):
             self.close_to(*ENDS[tag])
         elif tag in BLOCK:
             self.close_to({"p"}, {"td", "th", "li", "div", "table", "button", "object"})
-        if tag in BLOCK and tag != "html" and any(n.tag == "head" for n in self.open):
+        if self.open[-1].tag == "head" and tag not in HEAD or tag in BLOCK and any(n.tag == "head" for n in self.open):
             self.close_to({"head"}, set())
         if tag in CELLS and self.open[-1].tag in {"table", *ROWS}:
             self.push(Node("tr", {}))
         node = Node(tag, dict(attrs))
-        if tag in VOID or len(self.open) > DEPTH:
+        if tag in VOID:
+            self.open[-1].inside.append(node)
+        elif len(self.open) > DEPTH and (self.open[-1].hidden or not node.hidden):
             self.open[-1].inside.append(node)
+            self.flat[tag] += 1
         else:
             self.push(node)
 
     def push(self, node: Node) -> None:
         self.open[-1].inside.append(node)
         self.open.append(node)
+        self.flat.clear()
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+        if tag not in VOID and tag not in ("html", "body"):
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if self.flat[tag]:
+            self.flat[tag] -= 1
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self.close_at(i)
                 return
             if tag not in ("table", "html", "body") and self.open[i].tag == "table" or tag not in BLOCK and self.open[i].tag in BLOCK:
                 return  # an end tag reaches no further
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip():
+            self.close_to({"head"}, set())
         if self.open[-1].tag == "html" and not data.strip():
             return
         self.open[-1].inside.append(data)
@@ -167,6 +191,17 @@ class Renderer:
             out.end(keep=True)
         elif tag == "img":
             out.put(x.attrs.get("alt") or "")
+        elif tag == "textarea":
+            if x.inside and isinstance(x.inside[0], str):
+                x.inside[0] = x.inside[0].removeprefix("\n")
+            self.render(x, out, True)
+        elif tag in ("select", "optgroup", "option"):
+            out.put(" ")
+            out.put(x.attrs.get("label") or "" if tag == "optgroup" else "")
+            self.render(x, out)
+            out.put(" ")
+        elif tag == "svg":
+            self.drawing(x, out)
         elif tag == "hr":
             out.end(1)
             out.put("---")
@@ -190,6 +225,19 @@ class Renderer:
         else:
             self.render(x, out, pre)
 
+    def drawing(self, x: Node, out: Lines) -> None:
+        for y in x.inside:
+            if isinstance(y, str):
+                continue
+            if y.hidden or y.tag in UNDRAWN:
+                self.hidden += 1
+            elif y.tag in DRAWN:
+                out.put(" ")
+                self.render(y, out)
+                out.put(" ")
+            else:
+                self.drawing(y, out)
+
     def items(self, x: Node, out: Lines) -> None:
         start = x.attrs.get("start") or "1"
         number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
