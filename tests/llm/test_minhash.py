@@ -1,8 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
+
 from tests.llm import corpora
-from visitlens.llm.minhash import near_duplicates
+from visitlens.llm.minhash import _starred, near_duplicates
 
 
 def shingles(text):
@@ -54,7 +56,20 @@ def test_a_chain_and_a_family_whose_members_differ(spark):
         for j in r.sample(range(100), 3):
             w[j] = f"x{i}.{j}"
         data.append((1000 + i, " ".join(w), None, None, None))
-    assert result(near_duplicates(corpora.frame(spark, data))) == brute(data)
+    want = brute(data)
+    assert result(near_duplicates(corpora.frame(spark, data))) == want
+    # clusters of many small blocks, which meet through hubs and loose members
+    assert result(near_duplicates(corpora.frame(spark, data), members=7, hubs=2, loose=3)) == want
+
+
+def test_entries_of_one_band_group_over_several_batches_and_ranges():
+    def batch(rows):
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int64()), "id": pa.array([i for _, i in rows], pa.int64())})
+
+    found = [r for b in _starred([batch([(1, 5), (2, 3)]), batch([]), batch([(2, 4), (2, 9), (3, 1)]), batch([(3, 7)])]) for r in b.to_pylist()]
+    assert {(r["a"], r["b"]) for r in found if r["bucket"] is None} == {(3, 4), (3, 9), (1, 7)}
+    assert {(r["bucket"], r["a"]) for r in found if r["bucket"] is not None} == {(1, 5), (3, 1)}
+    assert list(_starred([])) == []
 
 
 def test_edges(spark):
