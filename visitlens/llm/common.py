@@ -1,5 +1,4 @@
-"""What several corpus operators share: session helpers, a join that survives hot keys,
-and the small numpy kernels that turn text into 64-bit codes inside a task."""
+"""What several corpus operators share: session helpers and the small numpy kernels that turn text into 64-bit codes inside a task."""
 
 from __future__ import annotations
 
@@ -13,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
-SALTS = 16
 
 
 # ---- session ------------------------------------------------------------------------------
@@ -54,17 +52,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """Left join on a key that may hold a third of the left rows; the right side has one row a key.
-
-    Left rows of a key are dealt over ``salts`` tasks by a hash of the whole row; the right row
-    goes to each of them. A null key finds no partner.
-    """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    many = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.withColumn("_salt", salt).join(many, [key, "_salt"], "left").drop("_salt")
-
-
 # ---- bytes and words as 64-bit codes --------------------------------------------------------
 
 _random = np.random.Generator(np.random.PCG64(20240229))
@@ -75,18 +62,21 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+KEPT_POWERS = 1 << 20
 _powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i in [0, n)."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        up = np.full(size, BASE, np.uint64)
-        down = np.full(size, UNBASE, np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0][:n], _powers[1][:n]
+    """BASE**i and its inverse modulo 2**64 for i in [0, n); a worker keeps KEPT_POWERS of them at most."""
+    if _powers and n <= len(_powers[0]):
+        return _powers[0][:n], _powers[1][:n]
+    size = n if n > KEPT_POWERS else KEPT_POWERS
+    up, down = np.full(size, BASE, np.uint64), np.full(size, UNBASE, np.uint64)
+    up[0] = down[0] = 1
+    found = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if size == KEPT_POWERS:
+        _powers[:] = found
+    return found[0][:n], found[1][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Packing token sequences by first-fit decreasing in randomised groups.
 
-A document is cut into pieces of the capacity and a rest. Pieces are dealt at random (by a hash) into
-groups of about GROUP documents; a group is one task's work, and the number of groups follows the
-number of documents. In a group, pieces are placed by descending length, each in the first sequence
+A document is cut into pieces of the capacity and a rest. Pieces are dealt at random (by a hash of the piece and of its
+place in the table) into groups of about GROUP pieces; a group is one task's work, and the number of groups follows the
+number of pieces, as the texts' bytes give it. In a group, pieces are placed by descending length, each in the first sequence
 with room, which a tournament tree of free capacities finds in logarithmic time.
 
 Defined results: a null text is empty and packs its end id alone. Rows that repeat a doc_id are
@@ -12,6 +12,7 @@ packed as documents of their own. No id is dropped or held twice. An empty table
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -27,7 +28,11 @@ from .common import as_bytes, prepare
 CAPACITY = 4096
 END_ID = 2
 GROUP = 2048
-CACHED_WORDS = 1_200_000
+TOKEN_BYTES = 4
+#: Words that a worker remembers in each of two generations: about 40 MB in all.
+CACHED_WORDS = 130_000
+#: Letters of Latin scripts that stay one letter in lower case and in composed form.
+LETTER = re.compile("[A-Za-z\u00b5\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
 PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
 
 
@@ -35,7 +40,7 @@ PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_
 
 
 class Encoder:
-    """The tokenizers library, asked once for each word among the last CACHED_WORDS."""
+    """The tokenizers library, not asked for words among the last CACHED_WORDS used (and up to as many before them)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,19 +51,23 @@ class Encoder:
         if more:
             raise ValueError("the vocabulary has no single token for a zero byte")
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode words. The normalizer folds case, and a comma or full stop after a letter is a piece of its own: so fewer are asked for."""
+        """Encode words. The normalizer folds case, and a comma or full stop after a letter is a piece of its own: so fewer are asked for.
+
+        That is so only where the letter still ends the word once it is normalized; the dotted capital I ends in a mark, for one.
+        """
         forms, odd, asked = [], [], {}
         for w in words:
             text = w.lower().decode()
             if "\x00" in text or ODD.search(text):
                 odd.append(w)
                 continue
-            cut = len(text) - 1 if text[-1] in ",." and text[-2:-1].isalpha() else len(text)
+            cut = len(text) - 1 if text[-1] in ",." and LETTER.fullmatch(text[-2:-1]) else len(text)
             forms.append((w, text[:cut], text[cut:]))
             asked[text[:cut]] = asked[text[cut:]] = b""
         asked.pop("", None)
@@ -77,11 +86,14 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.known)
+        words = set().union(*split)
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = set().union(*split)
-        self.learn(list(new))
+            self.known, self.before = {}, self.known
+            new = words
+        old = new.intersection(self.before)
+        self.known.update((w, self.before[w]) for w in old)
+        self.learn(list(new - old))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -152,19 +164,23 @@ def _place(capacity: int):
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY, seed: int = 17) -> DataFrame:
     """The pieces with sequence_id and offset; every piece has a length of 1 to the capacity."""
     prepare(pieces.sparkSession)
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
+    # the row's number keeps apart pieces of repeated rows, and of rows without an id
+    code = F.xxhash64("doc_id", "start", F.monotonically_increasing_id(), F.lit(seed))
+    dealt = pieces.withColumn("pack_group", F.pmod(code, F.lit(groups)))
     kind = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return dealt.groupBy("pack_group").applyInArrow(_place(capacity), kind)
 
 
-def groups_for(docs: DataFrame) -> int:
-    return max(1, -(-docs.count() // GROUP))
+def groups_for(docs: DataFrame, capacity: int = CAPACITY) -> int:
+    """So many groups that each gets about GROUP pieces."""
+    pieces = docs.agg(F.sum(F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / (TOKEN_BYTES * capacity)))).first()[0] or 0
+    return max(1, -(-int(pieces) // GROUP))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Tokenize, cut and pack: one row per piece, with its ids if they are asked for."""
     pieces = token_pieces(docs, path, capacity, end_id)
-    return pack(pieces if with_ids else pieces.drop("ids"), groups_for(docs), capacity)
+    return pack(pieces if with_ids else pieces.drop("ids"), groups_for(docs, capacity), capacity)
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
