@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -48,6 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, by a Parquet table in the shared folder: for loops, where a checkpoint would keep the estimated size of its plan, which grows from join to join."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED_CODES, Runs, as_bytes, cut, prepare, slices, word_codes
+from .common import FOLDED_CODES, Runs, as_bytes, cut, prepare, slices, word_codes, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -150,16 +150,27 @@ def candidate_links(classes: DataFrame) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(id, component): the least id that each node of the (a, b) links reaches, by least labels and pointer jumps."""
-    both = cut(links.select(F.col("a").alias("id"), F.col("b").alias("near")).union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("component")))
+    """(id, component): the least id that each node of the (a, b) links reaches.
+
+    Each round hooks every node to its least neighbour, follows the hooks a few steps, and goes on with the links
+    between what is left, which soon are few.
+    """
+    links, labels = written(links.filter("a <> b")), None
     while True:
-        near = both.join(labels.select(F.col("id").alias("near"), F.col("component").alias("seen")), "near").groupBy("id").agg(F.min("seen").alias("seen"))
-        step = labels.join(near, "id", "left").select("id", "component", F.least("component", "seen").alias("next"))
-        up = labels.select(F.col("id").alias("next"), F.col("component").alias("above"))
-        jumped = cut(step.join(up, "next", "left").select("id", F.col("component").alias("was"), F.least("next", "above").alias("component")))
-        labels = jumped.select("id", "component")
-        if jumped.filter("component < was").isEmpty():
+        both = links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select("b", "a"))
+        hooks = written(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to")))
+        for _ in range(3):
+            hooks = hooks.join(hooks.select(F.col("id").alias("to"), F.col("to").alias("up")), "to").select("id", F.col("up").alias("to"))
+            hooks = written(hooks)
+        if labels is None:
+            labels = hooks.withColumnRenamed("to", "component")
+        else:
+            up = hooks.select(F.col("id").alias("component"), F.col("to").alias("up"))
+            labels = written(labels.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")))
+        a, b = (hooks.select(F.col("id").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
+        between = links.join(a, "a").join(b, "b").filter("to_a <> to_b")
+        links = written(between.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        if links.isEmpty():
             return labels
 
 
