@@ -5,12 +5,15 @@ revisit), the request and a metadata record. The request and the metadata name t
 WARC-Concurrent-To; reading joins the three through that id and emits one nested row per capture.
 
 Archives are ordinary files that Spark's text writer makes: a record is a line, and the line
-separator is the two empty lines that end a record. They are read as whole files of at most
-RECORDS records and cut by Content-Length, so a payload may hold anything.
+separator is the two empty lines that end a record. They are read as a stream of what stands between such separators
+and put together by Content-Length, so a payload may hold anything, a task holds one record at a time, and
+a file may be of any size; RECORDS a file only spreads the reading.
 
 Defined results: a null html is an empty payload. Among equal payloads (empty ones too) the smallest page_id is
-the response. Rows that repeat page_id and payload are one capture, since a record id must be
-unique; a null page_id comes before all others. Further columns are ignored.
+the response, a null one before all others. Each row is a capture of its own, named by its id, its digest and its
+place in the table: rows that repeat the smallest id are all responses, and revisits refer to the first of them. So pages has
+to be a table or a frame that Spark computes alike each time. Further columns are ignored. On reading, header names count in
+any case, a payload that doesn't match its SHA-1 is not intact but stays, and a file that holds no WARC records is an error.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ from pyspark.sql import functions as F
 from .common import prepare, shared_dir
 
 RECORDS = 3000
+SENT_ROWS, SENT_BYTES = 1000, 4 << 20
 END = "\r\n\r\n"
-RECORD = "id string, type string, concurrent_to string, refers_to string, target string, payload_digest string, payload_bytes long, payload string, fields map<string,string>"
-_KIND = pa.schema([(c, pa.string()) for c in ("id", "type", "concurrent_to", "refers_to", "target", "payload_digest")] + [("payload_bytes", pa.int64()), ("payload", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
+RECORD = "id string, type string, concurrent_to string, refers_to string, target string, payload_digest string, payload_bytes long, payload string, intact boolean, fields map<string,string>"
+_KIND = pa.schema([(c, pa.string()) for c in ("id", "type", "concurrent_to", "refers_to", "target", "payload_digest")] + [("payload_bytes", pa.int64()), ("payload", pa.string()), ("intact", pa.bool_()), ("fields", pa.map_(pa.string(), pa.string()))])
 
 
 # ---- writing --------------------------------------------------------------------------------
@@ -55,22 +59,22 @@ def _record(kind: str, headers: list[tuple[str, Column | str | None]], block: Co
 def write_captures(pages: DataFrame, path: str, when: str = "2024-01-01T00:00:00Z") -> None:
     """Write the records of all pages (page_id, url, html) to gzip archives under ``path``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.regexp_replace("url", r"\s+", "%20"), F.lit("about:blank")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    first = rows.groupBy("sha1").agg(F.min(F.struct("page_id")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha1", F.col("first.page_id").alias("first"))
+    rows = rows.withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "row": F.monotonically_increasing_id()})
+    first = rows.groupBy("sha1").agg(F.min(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     # dealt anew, so that both sides of the join are plain shuffles, which Spark may split where a digest is frequent
-    first = first.repartition(F.col("first"))
+    first = first.select("sha1", F.col("first.page_id").alias("first"), F.col("first.row").alias("first_row")).repartition(F.col("first_row"))
     rows = rows.join(first.withColumn("copied", F.lit(True)), "sha1", "left")
-    page, sha1 = F.col("page_id"), F.col("sha1")
+    page, sha1, row = F.col("page_id"), F.col("sha1"), F.col("row")
     revisit = F.col("copied").isNotNull() & ~page.eqNullSafe(F.col("first"))
     digest = F.concat(F.lit("sha1:"), base32(sha1))
     common = [("WARC-Date", when), ("WARC-Target-URI", F.col("url"))]
-    main_id, head = record_id("capture", page, sha1), F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
+    main_id, head = record_id("capture", page, sha1, row), F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     main = [("WARC-Record-ID", main_id), *common, ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
     response = _record("response", main, F.concat(head, F.col("html")))
-    again = _record("revisit", [*main, ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id("capture", F.col("first"), sha1))], head)
-    request = _record("request", [("WARC-Record-ID", record_id("request", page, sha1)), *common, ("WARC-Concurrent-To", main_id), ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n")))
+    again = _record("revisit", [*main, ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id("capture", F.col("first"), sha1, F.col("first_row")))], head)
+    request = _record("request", [("WARC-Record-ID", record_id("request", page, sha1, row)), *common, ("WARC-Concurrent-To", main_id), ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n")))
     note = F.concat(F.lit("page_id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit("\r\n"))
-    metadata = _record("metadata", [("WARC-Record-ID", record_id("metadata", page, sha1)), *common, ("WARC-Concurrent-To", main_id), ("Content-Type", "application/warc-fields")], note)
+    metadata = _record("metadata", [("WARC-Record-ID", record_id("metadata", page, sha1, row)), *common, ("WARC-Concurrent-To", main_id), ("Content-Type", "application/warc-fields")], note)
     records = rows.select(F.explode(F.array(F.when(revisit, again).otherwise(response), request, metadata)).alias("value"))
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
@@ -78,40 +82,76 @@ def write_captures(pages: DataFrame, path: str, when: str = "2024-01-01T00:00:00
 # ---- reading --------------------------------------------------------------------------------
 
 
-def _parsed(batches):
-    import gzip
+def _headers(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name."""
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def _row(head: bytes, block: bytes, name: str) -> tuple:
     from base64 import b32encode
     from hashlib import sha1
 
+    version, *lines = head.decode(errors="replace").lstrip("\r\n").split("\r\n")
+    h = _headers(lines)
+    kind = h.get("warc-type", "")
+    payload = block.partition(b"\r\n\r\n")[2] if h.get("content-type", "").startswith("application/http") else block
+    is_page = kind == "response"
+    method, _, digest = h.get("warc-payload-digest", "").rpartition(":")
+    intact = b32encode(sha1(payload).digest()).decode() == digest.upper() if is_page and method.lower() == "sha1" else None
+    fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in block.decode(errors="replace").split("\r\n")) if k.strip()] if kind == "metadata" else []
+    whole = (len(payload), payload.decode(errors="replace")) if is_page else (None, None)
+    return h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest or None, *whole, intact, list(dict(fields).items())
+
+
+def _parsed(batches):
+    """(path, part) rows in the order of the files, a part being what stands between two separators, to records."""
+    file, head, parts, size, need, rows, sent = None, None, [], 0, 0, [], 0
     for batch in batches:
-        for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            data = gzip.decompress(content) if name.endswith(".gz") else content
-            at, rows = 0, {c: [] for c in _KIND.names}
-            while at < len(data):
-                end = data.index(b"\r\n\r\n", at)
-                lines = data[at:end].decode().split("\r\n")
-                if not lines[0].startswith("WARC/"):
-                    raise ValueError(f"no WARC record at byte {at} of {name}")
-                h = dict(x.split(": ", 1) for x in lines[1:])
-                block = data[end + 4 : end + 4 + int(h["Content-Length"])]
-                at = end + 8 + len(block)
-                payload = block.split(b"\r\n\r\n", 1)[1] if h["Content-Type"].startswith("application/http") else block
-                is_page = h["WARC-Type"] == "response"
-                digest = h.get("WARC-Payload-Digest", "sha1:").removeprefix("sha1:") or None
-                if is_page and digest != b32encode(sha1(payload).digest()).decode():
-                    raise ValueError(f"payload of {h['WARC-Record-ID']} doesn't match its digest")
-                fields = [tuple(x.split(": ", 1)) for x in block.decode().split("\r\n") if x] if h["WARC-Type"] == "metadata" else []
-                row = (h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Concurrent-To"), h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), digest, len(payload) if is_page else None, payload.decode() if is_page else None, fields)
-                for c, x in zip(rows, row, strict=True):
-                    rows[c].append(x)
-            yield pa.RecordBatch.from_pydict(rows, schema=_KIND)
+        for name, part in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            if name != file:
+                if head is not None:
+                    raise ValueError(f"the last record of {file} is cut short")
+                file = name
+            if head is None:
+                first = part.lstrip(b"\r\n")
+                if not first:
+                    continue
+                if not first.startswith(b"WARC/"):
+                    raise ValueError(f"no WARC record where one begins in {name}")
+                head, parts, size = part, [], -len(END)
+                length = _headers(part.decode(errors="replace").split("\r\n")).get("content-length", "")
+                need = int(length) if length.isascii() and length.isdigit() and len(length) < 19 else -1
+                if need < 0:
+                    raise ValueError(f"a record of {name} has no length")
+                continue
+            parts.append(part)
+            size += len(part) + len(END)
+            if size > need:
+                raise ValueError(f"a record of {name} is longer than it says")
+            if size == need - 2:  # a block that ends a line: the separator began there, and its other half follows
+                parts[-1] += b"\r\n"
+                size = need
+            if size == need:
+                rows.append(_row(head, END.encode().join(parts), name))
+                head, sent = None, sent + size
+                if len(rows) >= SENT_ROWS or sent >= SENT_BYTES:
+                    yield _batch(rows)
+                    rows, sent = [], 0
+    if head is not None:
+        raise ValueError(f"the last record of {file} is cut short")
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(dict(zip(_KIND.names, zip(*rows, strict=True), strict=True)), schema=_KIND)
 
 
 def read_records(spark, path: str) -> DataFrame:
-    """One row per record of the archives under ``path``."""
+    """One row per record of the archives under ``path``, as they are or in gzip."""
     prepare(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "content")
-    return files.mapInArrow(_parsed, RECORD)
+    parts = spark.read.option("lineSep", END).option("pathGlobFilter", "*.txt*").text(path)
+    return parts.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value")).mapInArrow(_parsed, RECORD)
 
 
 def transactions(records: DataFrame) -> DataFrame:
@@ -124,9 +164,9 @@ def transactions(records: DataFrame) -> DataFrame:
     def of(kind: Column, value: Column | str) -> Column:
         return F.first(F.when(kind, F.col(value) if isinstance(value, str) else value), ignorenulls=True)
 
-    main = [of(is_main, c).alias(c) for c in ("type", "refers_to", "target", "payload_digest", "payload_bytes", "payload")]
+    main = [of(is_main, c).alias(c) for c in ("type", "refers_to", "target", "payload_digest", "payload_bytes", "payload", "intact")]
     request = [of(F.col("type") == "request", c).alias(f"request_{c}") for c in ("id", "target")]
-    metadata = [of(F.col("type") == "metadata", "id").alias("metadata_id"), of(F.col("type") == "metadata", F.col("fields").getItem("page_id").cast("long")).alias("page_id")]
+    metadata = [of(F.col("type") == "metadata", "id").alias("metadata_id"), of(F.col("type") == "metadata", F.col("fields").getItem("page_id").try_cast("long")).alias("page_id")]
     by_capture = records.withColumn("capture_id", F.coalesce("concurrent_to", "id")).groupBy("capture_id")
     whole = by_capture.agg(*main, *request, *metadata).filter("type is not null")
     whole = whole.withColumn("source_id", F.coalesce("refers_to", "capture_id"))
@@ -135,7 +175,7 @@ def transactions(records: DataFrame) -> DataFrame:
     whole = whole.join(source, "source_id", "left")
     return whole.select(
         "page_id",
-        F.struct(F.col("capture_id").alias("id"), F.col("type").alias("record_type"), "target", "payload_digest", F.coalesce("payload_bytes", "source_bytes").alias("payload_bytes"), "payload", "refers_to", F.when(F.col("type") == "revisit", F.col("source_page")).alias("refers_to_page")).alias("capture"),
+        F.struct(F.col("capture_id").alias("id"), F.col("type").alias("record_type"), "target", "payload_digest", F.coalesce("payload_bytes", "source_bytes").alias("payload_bytes"), "payload", "intact", "refers_to", F.when(F.col("type") == "revisit", F.col("source_page")).alias("refers_to_page")).alias("capture"),
         F.struct(F.col("request_id").alias("id"), F.col("request_target").alias("target")).alias("request"),
         F.struct(F.col("metadata_id").alias("id")).alias("metadata"),
     )
