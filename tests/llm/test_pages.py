@@ -1,7 +1,14 @@
+import gzip
+import random
+import re
 from base64 import b32encode
 from collections import defaultdict
 from hashlib import sha1
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from visitlens.llm import warc
 from visitlens.llm.html_text import extract_text, render_html
 
@@ -21,9 +28,9 @@ def test_archives_round_trip(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     rows = warc.archive_pages(df, str(tmp_path / "w")).collect()
     by_payload = defaultdict(list)
-    for p, _, h in set(PAGES):
+    for p, _, h in PAGES:
         by_payload[(h or "").encode()].append(p)
-    assert len(rows) == len(set(PAGES))
+    assert sorted(r.page_id for r in rows) == sorted(p for p, _, _ in PAGES)
     got = {r.page_id: r for r in rows}
     for payload, ids in by_payload.items():
         for p in ids:
@@ -38,6 +45,34 @@ def test_archives_round_trip(spark, tmp_path):
     assert sorted(r["n"] for r in warc.read_records(spark, str(tmp_path / "w")).groupBy("type").count().withColumnRenamed("count", "n").collect()) == [4, 4, 8, 8]
 
 
+def test_each_row_is_a_capture(spark, tmp_path):
+    pages = [(None, "u", "same"), (None, "u", "same"), (4, "v", "same"), (2, "a", "twice"), (2, "b", "twice"), (2, "b", "twice"), (3, "c", "twice"), (None, None, None), (6, "big", "<p>\r\n\r\n\r\n\r\n</p>" * 100_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'x' as sha1", "1 as row", "2 as first", "3 as value")
+    rows = warc.archive_pages(df.repartition(3), str(tmp_path / "w")).collect()
+    assert len(rows) == len(pages) and len({r.capture.id for r in rows}) == len(pages)
+    kinds = sorted(((r.page_id, r.capture.record_type, r.capture.refers_to_page, r.capture.payload_bytes) for r in rows), key=str)
+    assert kinds == sorted([(None, "response", None, 4), (None, "response", None, 4), (4, "revisit", None, 4), (2, "response", None, 5), (2, "response", None, 5), (2, "response", None, 5), (3, "revisit", 2, 5), (None, "response", None, 0), (6, "response", None, 1_500_000)], key=str)
+    responses = {r.capture.id for r in rows if r.capture.record_type == "response"}
+    assert all(r.capture.refers_to in responses for r in rows if r.capture.record_type == "revisit")
+    assert sorted(r.capture.target for r in rows if r.page_id == 2) == ["a", "b", "b"]
+
+
+def test_archives_of_others(spark, tmp_path):
+    def record(head, block):
+        return b"WARC/1.1\r\n" + head + b"\r\ncontent-length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    page = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n\xff\xfe no utf-8"
+    found = record(b"WARC-TYPE: warcinfo\r\nwarc-record-id:<urn:1>", b"software: x") + record(b"WARC-Type: response\r\nWARC-Record-ID: <urn:2>\r\nContent-Type: application/http\r\nWARC-Payload-Digest: sha1:WRONG", page) + record(b"WARC-Type: request\r\nWARC-Record-ID: <urn:3>\r\nWARC-Concurrent-To: <urn:2>\r\nContent-Type: application/http", b"") + record(b"WARC-Type: metadata\r\nWARC-Record-ID: <urn:4>\r\nWARC-Concurrent-To: <urn:2>", b"page_id: not a number\r\nflag")
+    (tmp_path / "a.txt").write_bytes(found)
+    with gzip.open(tmp_path / "b.txt.gz", "wb") as f:
+        f.write(found.replace(b"<urn:", b"<urn:b"))
+    rows = warc.transactions(warc.read_records(spark, str(tmp_path))).collect()
+    assert sorted((r.page_id, r.capture.id, r.capture.intact, r.capture.payload_bytes, r.request.id) for r in rows) == [(None, "<urn:2>", False, 11, "<urn:3>"), (None, "<urn:b2>", False, 11, "<urn:b3>")]
+    with pytest.raises(Exception, match="cut short"):
+        (tmp_path / "c.txt").write_bytes(found[:-30])
+        warc.read_records(spark, str(tmp_path)).collect()
+
+
 def test_empty_tables(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_pages(df, str(tmp_path / "e")).count() == 0
@@ -57,7 +92,7 @@ def test_blocks_and_implied_tags():
 
 def test_visibility():
     html = "<html><head><title>T &amp; t</title><style>p{}</style><script>var a='</p>';</script></head><body>a<span hidden>b</span><i style='display: none'>c</i><b aria-hidden=true>d</b><noscript>e</noscript>f<!-- g --></body></html>"
-    assert render_html(html)[:2] == ("T & t", "af")
+    assert render_html(html)[:2] == ("T & t", "adf")
 
 
 def test_lists():
@@ -70,12 +105,65 @@ def test_tables():
     assert text(html) == "C\nname        n\na long one  1\nb           22"
     assert text("<table><td>x<td>y</table>") == "x  y"
     assert text("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>") == "ab     c\n1   2  3"
+    assert text("<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td>e<td>f</table>") == "ab  c\n    d\ne   f"
+    assert text("<table><tr><td colspan=99999999999>ab<td>c<tr><td>d<td>e</table>") == "ab     c\nd   e"
+    assert text("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert text(f"<table><tr><td colspan={'9' * 5000}>a<td rowspan={'9' * 5000}>b<tr><td>c</table>") == "a  b\nc"
 
 
 def test_broken_pages_never_fail():
-    for html in ["", "<", "</p></div>", "<table><tr><td>" * 300, "<div>" * 5000 + "x", "<p", "<!DOCTYPE html>", "&#x110000; &bogus;", "<ol start=x><li>a", "<![CDATA[x]]>", "<ul>" * 150 + "<li>x"]:
+    for html in ["", "<", "</p></div>", "<table><tr><td>" * 300, "<div>" * 5000 + "x", "<p", "<!DOCTYPE html>", "&#x110000; &bogus;", "<ol start=x><li>a", "<![CDATA[x]]>", "<ul>" * 150 + "<li>x", "<![ foo", "a<![if IE]>b", "<![x[", "<!", "</", "<!x", "<?", "<table>" * 600]:
         render_html(html)
     assert text("<div>" * 5000 + "deep") == "deep"
+    assert text("a<![ foo>b<![endif]-->c") == "abc"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "!", "[", "]", "/", "-", "?", "CDATA", "table", "tr", "td", "p", "div", "li", "ul", "svg", "textarea", "select", "head", "script", "style", " ", "x", "=", '"', "&", "colspan", "9", "<p>", "<td>", "</table>", "\x00", "é"]), max_size=30))
+def test_any_string_is_rendered(parts):
+    render_html("".join(parts))
+
+
+def tree(r, depth=0):
+    """Random nested markup and, from its making alone, the words that show, in order."""
+    html, words = "", []
+    for _ in range(r.randint(1, 4)):
+        kind = r.choice(["word", "word", "p", "div", "b", "ul", "table", "hidden", "script", "comment"]) if depth < 5 else "word"
+        word = "w" + "".join(r.choices("abcdefgh", k=9))
+        if kind == "word":
+            html, words = f"{html} {word} ", [*words, word]
+        elif kind in ("p", "div", "b"):
+            inner, own = tree(r, depth + 1)
+            html, words = f"{html}<{kind}>{inner}</{kind}>", words + own
+        elif kind == "ul":
+            items = [tree(r, depth + 1) for _ in range(r.randint(1, 3))]
+            html += "<ul>" + "".join(f"<li>{h}" + r.choice(["", "</li>"]) for h, _ in items) + "</ul>"
+            words = words + [w for _, own in items for w in own]
+        elif kind == "table":
+            cells = [[("w" + "".join(r.choices("abcdefgh", k=r.randint(3, 9)))) for _ in range(r.randint(1, 4))] for _ in range(r.randint(1, 3))]
+            html += "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in cells) + "</table>"
+            words = words + [c for row in cells for c in row]
+        else:
+            html += {"hidden": f"<div hidden>{tree(r, depth + 1)[0]}</div>", "script": f"<script>{word}</script>", "comment": f"<!-- {word} -->"}[kind]
+    return html, words
+
+
+def test_all_visible_words_come_out_in_order(spark):
+    r = random.Random(12)
+    made = [tree(r) for _ in range(400)]
+    rows = extract_text(spark.createDataFrame([(i, h) for i, (h, _) in enumerate(made)], "page_id long, html string")).collect()
+    assert len(rows) == len(made)
+    for row in rows:
+        assert re.findall(r"w[a-h]+", row.text) == made[row.page_id][1], made[row.page_id][0]
+
+
+def test_pages_edges(spark):
+    long = "<p>para <b>bold</b>" * 100_000
+    data = [(None, None), (None, None), (1, ""), (2, "<p>same"), (2, "<p>same"), (3, long)]
+    df = spark.createDataFrame(data, "page_id long, html string").selectExpr("*", "'x' as title", "'y' as text", "1 as n_blocks")
+    rows = extract_text(df).collect()
+    assert sorted([(r.page_id, r.text) for r in rows if r.page_id != 3], key=str) == sorted([(None, ""), (None, ""), (1, ""), (2, "same"), (2, "same")], key=str)
+    assert [r.n_blocks for r in rows if r.page_id == 3] == [100_000]
 
 
 def test_a_head_ends_at_what_cannot_stand_in_it():
@@ -92,7 +180,7 @@ def test_form_fields_drawings_and_fallbacks_are_shown():
 
 
 def test_hidden_text_stays_hidden_at_any_depth():
-    for n in (5, 198, 199, 200, 201, 202, 400):
+    for n in (5, 199, 509, 510, 511, 512, 513, 514, 800):
         deep = "<div>" * n
         assert text(deep + "a<script>s</script><style>t</style><i hidden>u<i>v</i>w</i>b") == "ab", n
         assert text(f"{deep}a<div hidden>{'<div>' * 250}x{'</div>' * 250}y</div>b") == "ab", n

@@ -4,10 +4,12 @@ A small tree builder reads tags with the implied ends and starts that pages rely
 ends the open one, a row ends the open row and cell, body and head need no tags: a head ends at the first text or tag
 that can't stand in it), then visibility rules drop
 what a browser would not show, and the rest is rendered: blocks stand on lines of their own with a blank line
-around paragraphs, lists are marked and indented, and the cells of a table are padded to columns.
+around paragraphs, lists are marked and indented, and the cells of a table are padded to columns, over the columns and rows
+that they span; columns without text take no room.
 
-Defined results: null and empty html give an empty text. Unclosed and stray tags never fail. Depth is
-bounded: beyond DEPTH open elements further ones are flattened into the last, hidden ones with all that they hold. Text
+Defined results: null and empty html give an empty text; repeated rows and rows without an id each give a row. Unclosed, stray and
+broken tags never fail: an unknown declaration is a comment. As in browsers, elements nest to a depth of DEPTH and further ones are
+siblings: all text stays, and hidden ones keep hidden what they hold. What is hidden from screen readers alone is shown. Text
 areas keep their lines, all options of a select are shown, an svg shows its text elements, and an object without data its
 fallback. Rows are rendered one by
 one; columns beyond page_id and html are ignored.
@@ -16,6 +18,7 @@ one; columns beyond page_id and html are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-DEPTH = 200
+#: How deep browsers nest elements, and the HTML standard's limits of spans.
+DEPTH = 512
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 RESULT = "page_id long, title string, text string, n_blocks long, n_hidden long"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"head", "script", "style", "template", "noscript", "title", "datalist", "audio", "video", "canvas", "iframe"}
@@ -54,7 +59,7 @@ class Node:
     @property
     def hidden(self) -> bool:
         a = self.attrs
-        return self.tag in HIDDEN or "hidden" in a or a.get("aria-hidden") == "true" or (self.tag == "input" and a.get("type") == "hidden") or (self.tag == "object" and bool(a.get("data"))) or bool(HIDING.search(a.get("style") or ""))
+        return self.tag in HIDDEN or "hidden" in a or (self.tag == "input" and a.get("type") == "hidden") or (self.tag == "object" and bool(a.get("data"))) or bool(HIDING.search(a.get("style") or ""))
 
 
 class Builder(HTMLParser):
@@ -66,6 +71,9 @@ class Builder(HTMLParser):
         self.open = [self.root]
         self.flat = Counter()  # tags of elements within the last open one that stand open beyond DEPTH
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i, report)
+
     def close_to(self, ends: set[str], upto: set[str]) -> None:
         if any(self.flat[t] for t in upto):
             return
@@ -262,50 +270,81 @@ class Renderer:
 
     def table(self, x: Node, out: Lines) -> None:
         """Rows of cells, each column as wide as its widest cell; a cell of several lines makes its row so high."""
-        rows: list[list[list[str]]] = []
+        rows: list[dict[int, list[str]]] = []
+        below: dict[int, int] = {}  # columns that cells of the rows above still fill, and for how many rows
+
+        def row_of(node: Node) -> None:
+            cells, at = {}, 0
+            now = dict(below)
+            for c in node.inside:
+                if isinstance(c, str) or c.hidden:
+                    self.hidden += not isinstance(c, str)
+                    if not isinstance(c, str) or not c.strip():
+                        continue
+                    lines, wide, high = [" ".join(c.split())], 1, 1
+                else:
+                    inner = Lines()
+                    self.render(c, inner)
+                    inner.end()
+                    lines = [line for line in inner.lines if line]
+                    wide, high = span(c, "colspan", MOST_COLUMNS), span(c, "rowspan", MOST_ROWS)
+                while at in now:
+                    at += 1
+                cells[at] = lines
+                if high > 1:
+                    below.update(dict.fromkeys(range(at, at + wide), high))
+                at += wide
+            for column in list(below):
+                below[column] -= 1
+                if not below[column]:
+                    del below[column]
+            if cells:
+                rows.append(cells)
 
         def walk(node: Node) -> None:
             for y in node.inside:
                 if isinstance(y, str):
                     if y.strip():
-                        rows.append([[" ".join(y.split())]])
+                        rows.append({0: [" ".join(y.split())]})
                 elif y.hidden:
                     self.hidden += 1
                 elif y.tag == "tr":
-                    row = []
-                    for c in y.inside:
-                        if isinstance(c, str) or c.hidden:
-                            self.hidden += not isinstance(c, str)
-                            if isinstance(c, str) and c.strip():
-                                row.append([" ".join(c.split())])
-                            continue
-                        inner = Lines()
-                        self.render(c, inner)
-                        inner.end()
-                        row.append([line for line in inner.lines if line] or [""])
-                        span = c.attrs.get("colspan") or "1"
-                        row += [[""]] * (min(int(span), 100) - 1 if span.isascii() and span.isdigit() else 0)
-                    if row:
-                        rows.append(row)
+                    row_of(y)
                 elif y.tag in ROWS:
                     walk(y)
+                    below.clear()
                 else:
                     inner = Lines()
                     self.element(y, inner, False)
                     inner.end()
-                    rows.extend([[line]] for line in inner.lines)
+                    rows.extend({0: [line]} for line in inner.lines)
 
         walk(x)
-        widths = [max(len(line) for row in rows if len(row) > max(1, i) for line in row[i]) for i in range(max((len(r) for r in rows), default=0)) if any(len(row) > max(1, i) for row in rows)]
+        widths: dict[int, int] = {}
         for row in rows:
-            for k in range(max(map(len, row))):
-                cells = [c[k] if k < len(c) else "" for c in row]
-                out.put("  ".join(c.ljust(w) for c, w in zip(cells, widths, strict=False)) if len(row) > 1 else cells[0], verbatim=True)
+            for i, lines in row.items() if len(row) > 1 or min(row) > 0 else ():
+                if lines:
+                    widths[i] = max(widths.get(i, 0), *map(len, lines))
+        columns = sorted(widths)
+        for row in rows:
+            alone = len(row) == 1 and min(row) == 0
+            for k in range(max(map(len, row.values()))):
+                cells = {i: lines[k] for i, lines in row.items() if k < len(lines)}
+                out.put(cells[0] if alone else "  ".join(cells.get(i, "").ljust(widths[i]) for i in columns), verbatim=True)
                 out.end()
 
 
+def span(cell: Node, name: str, most: int) -> int:
+    digits = re.match(r"[ \t\n\r\f]*\+?0*(\d{0,6})", cell.attrs.get(name) or "", re.A)[1]
+    n = int(digits or 0)
+    if name == "rowspan" and n == 0 and "0" in (cell.attrs.get(name) or ""):
+        return most  # to the end of the rows' group
+    return min(max(n, 1), most)
+
+
 def render_html(html: str) -> tuple[str, str, int, int]:
     """Title, visible text, number of lines with text, and number of hidden elements."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * DEPTH))
     builder = Builder()
     builder.feed(html)
     builder.close()
