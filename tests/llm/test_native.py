@@ -1,6 +1,7 @@
 """The operators without Python in their tasks, against plain Python versions."""
 
 import re
+import time
 from hashlib import sha256
 
 from pyspark.sql import functions as F
@@ -17,6 +18,14 @@ LICENSED = [
     "submit summits mitigation",
     "the apache license version 2",
     "under the mit license",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of X Corp. nor the names of its contributors may be used to endorse or promote products.",
+    "ported from Python 2, PHP 3, artistic 1st prize, boost 1%",
+    "Python 2.0 license, the Artistic License 2.0, boost-1.0, boost software license 1.0",
+    "dual-licensed under MIT; (at your option) any later version, see the LICENSE file for details",
+    "gpl license " * 30,
+    " ".join(f"filler{i} licensed under the apache license, version 2.0; gpl-2.0 license mit license" for i in range(200)),
+    "x" * 5000 + " mit license " + "y" * 5000,
 ]
 
 
@@ -44,7 +53,7 @@ def test_licenses_match_brute_force(spark):
         labels = brute_signatures(text) | set(filter(None, base[4].split(",")))
         assert r.labels == ",".join(sorted(labels)), text
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(labels)
-    assert got[4003].labels == "gpl-3.0,lgpl-2.1"
+    assert got[4003].labels == "gpl-3.0,lgpl-2.1" and got[4008].labels == "mit" and got[4009].labels == "bsd,bsd-3-clause" and got[4010].labels == ""
     assert licenses.scan_licenses(corpora.frame(spark, [])).count() == 0
 
 
@@ -66,6 +75,24 @@ def test_names_beside_other_characters_pass_the_gate(spark):
         assert got[i].labels == label and brute_signatures(text) == {label} and got[i].score > 0, text
 
 
+def test_detections_are_in_place_over_blocks(spark):
+    text = " ".join(f"filler{i} licensed under the apache license, version 2.0 gpl license" for i in range(300))
+    (r,) = licenses.scan_licenses(corpora.frame(spark, [(1, text, None, None, None)])).collect()
+    spots = {(d.a, d.b) for d in r.detections}
+    low = text.lower()
+    assert {low[a:b] for a, b in spots} == {"licensed under the apache license, version 2.0", "gpl license"} and len(spots) == 600
+
+
+def test_a_long_text_of_matches_and_odd_rows(spark):
+    long = "gpl license " * 90_000
+    data = [(1, long, None, None, None), (None, "mit license", None, None, None), (None, "mit license", None, None, None), (2, "mit license", None, None, None), (2, "isc license", None, None, None)]
+    docs = corpora.frame(spark, data).selectExpr("*", "1 as found", "'x' as plain", "'y' as flat", "2 as words", "3 as detections")
+    began = time.time()
+    rows = licenses.scan_licenses(docs).select("doc_id", "labels", F.size("detections").alias("n")).collect()
+    assert time.time() - began < 120
+    assert sorted(((r.doc_id, r.labels, r.n) for r in rows), key=str) == sorted([(1, "gpl", 90_000), (None, "mit", 1), (None, "mit", 1), (2, "mit", 1), (2, "isc", 1)], key=str)
+
+
 def test_there_are_hundreds_of_signatures():
     assert len(licenses.signatures()) > 300
     for _, keyword, _, pattern, _ in licenses.signatures():
