@@ -321,6 +321,35 @@ def test_archive_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).filter("month = '2026-07'").count() == 1
 
 
+def test_a_window_reads_its_months_alone(spark, tmp_path):
+    v = visits(spark, [{"ts": datetime(2026, m, 15), "ip": f"a{m}"} for m in (5, 6, 7, 8)])
+    archive.write_visits(v, str(tmp_path / "store"))
+    stored = spark.read.parquet(str(tmp_path / "store"))
+    narrow = C.windowed(stored, "2026-06-10", "2026-07-20")
+    assert sorted(r.ip for r in narrow.collect()) == ["a6", "a7"]
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and "2026-06" in plan.split("PartitionFilters")[1]
+    assert sorted(r.ip for r in archive.delete_months(stored, ["2026-05", "2026-08"]).collect()) == ["a6", "a7"]
+    assert C.windowed(v, "2026-06-10", None).count() == 3
+
+
+def test_exports_are_files(spark, tmp_path):
+    rows = archive.export_rows(visits(spark, [{"path": "/a,b"}, {"path": "=x"}]), ["id", "path"])
+    archive.write_export(rows, str(tmp_path / "csv"))
+    archive.write_export(rows, str(tmp_path / "json"), "json")
+    assert sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / "csv")).collect())) == [("1", "/a,b"), ("2", "'=x")]
+    assert {r.path for r in spark.read.json(str(tmp_path / "json")).collect()} == {"/a,b", "'=x"}
+
+
+def test_other_rules_force_a_new_verdict(spark):
+    v = visits(spark, [{"ip": "a", "path": "/.env"}, {"ip": "b", "path": "/.env"}])
+    known = intel(spark, [{"ip": "a", "visitor_class": "unknown", "classified_visit_id": 9}, {"ip": "b", "visitor_class": "unknown", "classified_visit_id": 9}])
+    marked = known.withColumn("rules_version", F.when(F.col("ip") == "a", "older").otherwise(classify.RULES_VERSION))
+    got = {r.ip: r for r in classify.reclassify(v, marked, dimension(known, values(spark))).collect()}
+    assert (got["a"].reclassified, got["a"].visitor_class, got["a"].rules_version) == (True, "bots/vulnerability-probers", classify.RULES_VERSION)
+    assert (got["b"].reclassified, got["b"].visitor_class) == (False, "unknown")
+
+
 def test_retention_boundaries(spark):
     months = spark.createDataFrame([(f"2026-{m:02d}",) for m in range(1, 9)], "month string")
     plan = {r.month: r.action for r in archive.retention_plan(months, "2026-08-31", 2, ["2026-03"], archive_months=6).collect()}

@@ -7,7 +7,7 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +110,20 @@ def in_window(since: str | None, until: str | None, column: str = "ts") -> Colum
     return found
 
 
+def month_of(visits: DataFrame) -> Column:
+    """Month of a visit as text; where visits are stored by month, that of their folder, so that other folders aren't read."""
+    return F.substring(F.col("month").cast("string"), 1, 7) if "month" in visits.columns else F.date_format("ts", "yyyy-MM")
+
+
+def windowed(visits: DataFrame, since: str | None, until: str | None) -> DataFrame:
+    """The visits of a window, from its months alone where they are stored by month."""
+    rows = visits.filter(in_window(since, until))
+    if "month" in visits.columns:
+        for bound, test in ((since, Column.__ge__), (until, Column.__le__)):
+            rows = rows.filter(test(month_of(visits), F.lit(bound[:7]))) if bound else rows
+    return rows
+
+
 def in_moment(start: str, end: str, column: str = "ts") -> Column:
     """Exact bounds, both inclusive."""
     return F.col(column).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))

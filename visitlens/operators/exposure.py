@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions import columns as C
 from visitlens.functions import needles as N
-from visitlens.operators.grouping import joined_set
 
 BENIGN_ADDRESSES = 2
 
@@ -20,13 +22,14 @@ def served(visits: DataFrame, dim: DataFrame, since: str | None = None, until: s
     ok = visits.filter(C.is_ok()).withColumn("spelling", F.col("path")).withColumn("path", C.canonical_path(F.col("path")))
     trusted = dim.filter(F.col("visitor_class").isin(N.BENIGN_CLASSES)).select("ip")
     ever = ok.join(trusted, "ip", "left_semi").groupBy("path").agg(F.countDistinct("ip").alias("benign_ips"))
-    window = ok.filter(C.in_window(since, until) & ~F.contains("spelling", F.lit("?")))
-    one = window.groupBy("path", "ip").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"), F.max("bytes_sent").alias("bytes_sent"), F.collect_set("spelling").alias("s"))
+    window = C.windowed(ok, since, until).filter(~F.contains("spelling", F.lit("?")))
+    one = window.groupBy("path", "ip").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"), F.max("bytes_sent").alias("bytes_sent"))
+    # spellings are as many as clients like: their number and two of them, not a list
+    spelt = window.select("path", "spelling").distinct().groupBy("path").agg(F.count("*").alias("spellings"), F.min("spelling").alias("first_spelling"), F.max("spelling").alias("last_spelling"))
     found = one.groupBy("path").agg(
         F.count("*").alias("ips"), F.sum("n").cast("long").alias("hits"), F.min("a").cast("string").alias("first_seen"), F.max("b").cast("string").alias("last_seen"), F.max("bytes_sent").alias("bytes_sent"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))), ",").alias("spellings"),
     )
-    found = found.join(ever, "path", "left").withColumn("benign_ips", F.coalesce("benign_ips", F.lit(0)).cast("long"))
+    found = found.join(spelt, "path").join(ever, "path", "left").withColumn("benign_ips", F.coalesce("benign_ips", F.lit(0)).cast("long"))
     site = C.is_convention(F.col("path"))
     for p in js_prefixes:
         site = site | F.col("path").startswith(p)
@@ -38,31 +41,47 @@ def exposures(*args, **how) -> DataFrame:
 
 
 def exposure_detail(visits: DataFrame, dim: DataFrame, findings: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    """(path, section, key, value) for every finding: answers, classes, clients, context of the addresses that fetched it."""
-    all_rows = visits.filter(C.in_window(since, until)).withColumn("canonical", C.canonical_path(F.col("path")))
-    named = findings.select(F.col("path").alias("canonical"))
-    rows = all_rows.join(named, "canonical").join(dim.select("ip", "visitor_class"), "ip", "left")
-    hits = rows.filter(C.is_ok())
-
-    def counted(df: DataFrame, section: str, key, value=None) -> DataFrame:
-        return df.groupBy(F.col("canonical").alias("path"), F.lit(section).alias("section"), key.alias("key")).agg((value if value is not None else F.count("*")).cast("long").alias("value"))
-
-    refused = visits.withColumn("canonical", C.canonical_path(F.col("path"))).join(named, "canonical").filter("status = 404")
-    fetched = hits.select("canonical", "ip").distinct()
-    context = all_rows.withColumnRenamed("canonical", "other").join(fetched, "ip").filter("other <> canonical")
+    """(path, section, key, value) for every finding: answers, methods, what the fetching addresses are, totals, what else they asked for.
+
+    Rows fold to (path, address) before anything meets the findings' addresses, so the context joins one row for each path
+    of an address, not its requests.
+    """
+    flags = ["is_tor", "is_proxy", "is_hosting", "dnsbl_listed", "has_tags"]
+    all_rows = C.windowed(visits, since, until).withColumn("canonical", C.canonical_path(F.col("path")))
+    named = findings.select(F.col("path").alias("canonical")).distinct()
+    rows, ok = all_rows.join(named, "canonical", "left_semi"), C.is_ok()
+    by_answer = rows.groupBy("canonical", "ip", "status", "server_port", "method", "user_agent", "browser").agg(
+        F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"), F.min("bytes_sent").alias("smallest"), F.max("bytes_sent").alias("largest"), F.min("ts").alias("first"), F.max("ts").alias("last")
+    )
+    hits = by_answer.filter(ok)
+    known = dim.select("ip", "visitor_class", "country", "asn", "org", *flags)
+    fetched = hits.groupBy("canonical", "ip").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.min("first").alias("first"), F.max("last").alias("last"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    entry = lambda section, key: F.struct(F.lit(section).alias("section"), key.alias("key"))
+    about = [entry("classes", F.coalesce(F.nullif("visitor_class", F.lit("")), F.lit("unknown"))), entry("countries", text("country")), entry("networks", text("asn")), entry("organisations", text("org"))]
+    about += [F.when(F.col(f), entry("signals", F.lit(f))) for f in flags]
+    origins = fetched.join(known, "ip", "left").select("canonical", F.explode(F.array_compact(F.array(*about))).alias("x")).select("canonical", "x.*")
+    per = fetched.groupBy("canonical").agg(
+        F.sum("bytes").alias("bytes"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.count("*").alias("addresses"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+    valued = lambda section, key, value: F.struct(F.lit(section).alias("section"), key.alias("key"), value.cast("long").alias("value"))
+    totals = [valued("totals", F.lit(k), F.col(k)) for k in ("bytes", "smallest", "largest", "addresses")]
+    seen = valued("seen", F.concat(F.col("first").cast("string"), F.lit(" to "), F.col("last").cast("string")), F.col("n"))
+    refused = by_answer.filter("status = 404").groupBy("canonical").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
+    # what the addresses asked for besides: totals of an address less its own part, and its distinct paths
+    asked = all_rows.join(fetched.select("ip").distinct(), "ip", "left_semi").groupBy("ip", F.col("canonical").alias("other")).agg(F.count("*").alias("n"))
+    context = fetched.select("canonical", "ip").join(asked, "ip").filter("other <> canonical").groupBy("canonical", "other").agg(F.sum("n").alias("n"))
+    context = context.groupBy("canonical").agg(F.count("*").alias("paths"), F.sum("n").alias("hits"))
     parts = [
-        counted(rows, "answers", F.concat_ws(":", F.col("status").cast("string"), F.col("server_port").cast("string"))),
-        counted(hits, "classes", F.coalesce(F.nullif("visitor_class", F.lit("")), F.lit("unknown")), F.countDistinct("ip")),
-        counted(hits, "clients", F.coalesce("browser", F.lit("")), F.countDistinct("ip")),
-        counted(hits, "totals", F.lit("bytes"), F.sum("bytes_sent")),
-        counted(refused, "refused", F.lit("404")),
-        counted(context, "context", F.lit("paths"), F.countDistinct("other")),
-        counted(context, "context", F.lit("hits")),
+        by_answer.groupBy("canonical", F.lit("answers").alias("section"), F.concat_ws(":", F.col("status").cast("string"), F.col("server_port").cast("string")).alias("key")).agg(F.sum("n").alias("value")),
+        by_answer.groupBy("canonical", F.lit("methods").alias("section"), F.concat("method", F.lit(" "), text("user_agent")).alias("key")).agg(F.sum("n").alias("value")),
+        hits.select("canonical", "ip", "browser").distinct().groupBy("canonical", F.lit("clients").alias("section"), text("browser").alias("key")).agg(F.count_distinct("ip").alias("value")),
+        origins.groupBy("canonical", "section", "key").agg(F.count("*").alias("value")),
+        per.select("canonical", F.explode(F.array(*totals, seen)).alias("x")).select("canonical", "x.*"),
+        refused.select("canonical", F.lit("refused").alias("section"), F.concat(F.lit("last "), F.col("last").cast("string")).alias("key"), F.col("n").alias("value")),
+        context.select("canonical", F.explode(F.array(*[valued("context", F.lit(k), F.col(k)) for k in ("paths", "hits")])).alias("x")).select("canonical", "x.*"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts).select(F.col("canonical").alias("path"), "section", "key", F.col("value").cast("long").alias("value"))
 
 
 def probe_echo(visits: DataFrame, dim: DataFrame) -> DataFrame:
@@ -76,7 +95,14 @@ def probe_echo(visits: DataFrame, dim: DataFrame) -> DataFrame:
 
 def with_family(df: DataFrame) -> DataFrame:
     """family of each path, or null; and a shell command that fetches it, quotes escaped."""
-    family = F.coalesce(*[F.when(F.col("path").rlike(f"(?i){pattern}"), F.lit(key)) for key, pattern in N.FAMILIES])
+    path = F.lower("path")
+    own, parts = F.substring_index(path, "/", -1), F.split(path, "/")
+
+    def is_of(names, starts, endings, folders):
+        tests = [own.isin(names)] * bool(names) + [F.arrays_overlap(parts, F.array(*map(F.lit, folders)))] * bool(folders)
+        return reduce(or_, tests + [own.startswith(x) for x in starts] + [own.endswith(x) for x in endings])
+
+    family = F.coalesce(*[F.when(is_of(*how), F.lit(key)) for key, *how in N.FAMILIES])
     quoted = F.concat(F.lit("'https://$SITE"), F.replace("path", F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))
     return df.withColumns({"family": family, "check": F.concat(F.lit("curl -sI "), quoted)})
 
@@ -84,4 +110,4 @@ def with_family(df: DataFrame) -> DataFrame:
 def families(findings: DataFrame) -> DataFrame:
     """Findings by family; those that no family describes stand alone under their own path."""
     marked = with_family(findings)
-    return marked.groupBy(F.coalesce("family", F.concat(F.lit("? "), F.col("path"))).alias("family")).agg(F.count("*").alias("paths"), F.max("ips").alias("most_ips"), F.sum("hits").cast("long").alias("hits"), joined_set("path").alias("members"))
+    return marked.groupBy(F.coalesce("family", F.concat(F.lit("? "), F.col("path"))).alias("family")).agg(F.count("*").alias("paths"), F.max("ips").alias("most_ips"), F.sum("hits").cast("long").alias("hits"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))

@@ -72,7 +72,7 @@ class Filters:
 
     def apply(self, visits: DataFrame, dim: DataFrame) -> DataFrame:
         """visits LEFT JOIN the dimension, narrowed. Small dimensions are broadcast where Spark's size threshold allows."""
-        v = visits.filter(C.in_window(self.since, self.until))
+        v = C.windowed(visits, self.since, self.until)
         for column, value in (("ip", self.ip), ("server_port", self.port), ("path", self.path), ("browser", self.browser)):
             if value is not None:
                 v = v.filter(F.col(column) == value)

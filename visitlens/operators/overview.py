@@ -9,7 +9,6 @@ from visitlens.functions import columns as C
 from visitlens.functions import needles as N
 
 TOP = 10
-RAW_REFERRERS = 200
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -51,8 +50,8 @@ def top(rows: DataFrame, key: str, extra: tuple[str, ...] = (), n: int = TOP, ex
     return counts.orderBy(F.col("count").desc(), key).limit(n)
 
 
-def top_referrers(rows: DataFrame, n: int = TOP, raw: int | None = RAW_REFERRERS) -> DataFrame:
-    """Domains of the most frequent referrers; raw=None folds all of them."""
+def top_referrers(rows: DataFrame, n: int = TOP, raw: int | None = None) -> DataFrame:
+    """The most frequent domains of referrers; with raw, of the raw most frequent referrers alone."""
     counts = rows.filter("referer <> '' and referer <> '-'").groupBy("referer").agg(F.count("*").alias("n"))
     if raw:
         counts = counts.orderBy(F.col("n").desc(), "referer").limit(raw)

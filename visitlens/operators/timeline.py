@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from visitlens.functions import columns as C
 from visitlens.functions import needles as N
 
-MAX_BUCKETS = 5000
 FORMATS = {"day": "yyyy-MM-dd", "hour": "yyyy-MM-dd HH:00"}
 
 
@@ -31,7 +30,7 @@ def filled(series: DataFrame, since: str, until: str, unit: str = "day") -> Data
     """The series with a zero row for each bucket of the window that has none; an empty series stays empty."""
     step = F.expr(f"interval 1 {unit}")
     start, end = F.lit(since[:10]).cast("timestamp_ntz"), F.date_add(F.lit(until[:10]).cast("date"), 1).cast("timestamp_ntz") - step
-    spine = series.sparkSession.range(1).select(F.explode(F.slice(F.sequence(start, end, step), 1, MAX_BUCKETS)).alias("ts")).select(bucket(unit).alias("bucket"))
+    spine = series.sparkSession.range(1).select(F.explode(F.sequence(start, end, step)).alias("ts")).select(bucket(unit).alias("bucket"))
     spine = spine.join(series.limit(1).select(F.lit(1).alias("_some")), how="cross").drop("_some")  # one row at most
     return spine.join(series, "bucket", "left").na.fill(0)
 

@@ -323,7 +323,7 @@ def exposures(t):
 
 @query()
 def exposure_detail(t):
-    return exposure.exposure_detail(t.visits, t.dim, exposure.served(t.visits, t.dim).filter("path like '/.%'"))
+    return exposure.exposure_detail(t.visits, t.dim, exposure.exposures(t.visits, t.dim, benign=60))
 
 
 @query()
@@ -418,10 +418,11 @@ def export_page(t):
 
 @query()
 def restored_visits(t):
-    """What restoring a month would add back: archived rows whose id is gone."""
-    stored = t.visits.filter("id % 3 <> 0")
-    back = t.visits.filter("ts < '2024-01-15'").join(stored.select("id"), "id", "left_anti")
-    return stored.unionByName(back).groupBy("ip").agg(F.count("*").alias("visits"))
+    """A month written to an archive and put back where rows and addresses of it are gone."""
+    path = new_folder(t.visits.sparkSession, "archive")
+    archive.archive_month(t.visits, t.intel, t.values, "2024-01", path)
+    back, _ = archive.restore_month(t.visits.sparkSession, t.visits.filter("id % 3 <> 0"), t.intel, path, "2024-01")
+    return back.groupBy("ip").agg(F.count("*").alias("visits"))
 
 
 @query()

@@ -16,9 +16,15 @@ PATHS = [
     "/", "/index.html", "/pages/about.html", "/?utm_source=a", "/.env", "/.git/config", "/wp-login.php", "/phpinfo.php", "/.DS_Store", "/%2eDS_Store",
     "/robots.txt", "//robots%2etxt", "/admin/", "/backup.sql", "/index.php?page=../../etc/passwd", "/pages/cv.html", "/x.arm7", "/favicon.ico", "/login", "/pages/projects.html",
 ]
+#: What the other addresses ask for: readers pages of the site, guessers pages of any name, scanners known places, attackers shells too.
+PAGES = ["/", "/index.html", "/pages/about.html", "/?utm_source=a", "/robots.txt", "/pages/cv.html", "/favicon.ico", "/pages/projects.html", "/news", "/notes/a", "/notes/b", "/notes/c"]
+GUESSES = ["/", "/old", "/new", "/test", "/data", "/files/", "/shop", "/store", "/blog", "/forum", "/home", "/api/v1"]
+SCANS = ["/.env", "/.git/config", "/wp-login.php", "/phpinfo.php", "/.DS_Store", "/%2eDS_Store", "/admin/", "/backup.sql", "/login"]
+SHELLS = ["/shell?wget+x", "/", "/cgi-bin/x", "/.env", "/.aws/credentials"]
 AGENTS = [
     "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 Chrome/126.0 Safari/537.36", "Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)", "curl/8.5.0", "",
     "Mozilla/5.0 (Macintosh; Intel Mac OS X 14_5) Version/17.5 Safari/605.1.15", "zgrab/0.x", "Mozilla/5.0 AppleWebKit/537.36; compatible; GPTBot/1.2", "Mozilla/5.0 (X11; Linux x86_64; rv:127.0) Gecko/20100101 Firefox/127.0",
+    "Mozilla/5.0 (compatible; AhrefsBot/7.0; +http://ahrefs.com/robot/)", "SomeCrawler/1.0 (a bot of its own)", "Mozilla/4.0 (compatible; Odd)", "CensysInspect/1.1", "Screaming Frog SEO Spider/20.0",
 ]
 REFERERS = ["", "-", "https://example.org/pages/about.html", "https://search.example.com/q?a=1", "https://www.example.org/", "news.example.net", "http://blog.example.com:8080/post"]
 ISPS = ["Amazon.com", "Comcast Cable", "Hetzner Online", "Deutsche Telekom", "OVH SAS", "Orange", "Akamai Technologies"]
@@ -41,18 +47,20 @@ def address(key: str) -> str:
     return f"'198.18.' || CAST({whole(key, 20)} AS STRING) || '.' || CAST({key} % 20 + 1 AS STRING)"
 
 
-K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
-STATUS = f"CASE event_type WHEN 'error' THEN 404 WHEN 'signup' THEN CASE {K} % 3 WHEN 0 THEN 301 ELSE 400 END WHEN 'purchase' THEN CASE {K} % 4 WHEN 0 THEN 503 ELSE 403 END ELSE 200 END"
+#: The number in props, computed once a row below everything that reads it.
+NUMBER, K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)", "k"
+READER = "floor(user_id / 2) % 3 <> 2"
+STATUS = f"CASE event_type WHEN 'error' THEN CASE WHEN {READER} THEN 304 ELSE 404 END WHEN 'signup' THEN CASE {K} % 3 WHEN 0 THEN 301 ELSE 400 END WHEN 'purchase' THEN CASE {K} % 4 WHEN 0 THEN 503 ELSE 403 END ELSE 200 END"
 VISITS = {
-    "id": "event_id", "ip": address("user_id"), "ts": "{clock}", "method": f"CASE WHEN {K} = 13 THEN 'PROPFIND' WHEN {K} = 14 THEN 'TLS' WHEN event_type IN ('signup', 'purchase') THEN 'POST' WHEN {K} % 7 = 0 THEN 'HEAD' ELSE 'GET' END",
-    "path": case(K, PATHS), "server_port": f"CASE WHEN event_type = 'signup' THEN 80 WHEN {K} % 11 = 0 THEN 8443 ELSE 443 END", "status": STATUS, "bytes_sent": "CAST(floor(abs(value) * 100) AS BIGINT)",
+    "id": "event_id", "ip": address("user_id"), "ts": "{clock}", "method": f"CASE WHEN {K} = 13 THEN 'PROPFIND' WHEN {K} = 14 AND user_id % 7 = 5 OR {K} % 5 = 0 AND user_id % 18 = 16 THEN 'TLS' WHEN event_type IN ('signup', 'purchase') THEN 'POST' WHEN {K} % 7 = 0 THEN 'HEAD' ELSE 'GET' END",
+    "path": f"CASE WHEN {READER} THEN {case(K, PAGES)} WHEN user_id % 18 = 4 THEN {case(K, PATHS)} WHEN user_id % 18 = 16 THEN {case(K, SHELLS)} WHEN user_id % 18 IN (5, 10) THEN {case(K, SCANS)} ELSE {case(K, GUESSES)} END", "server_port": f"CASE WHEN event_type = 'signup' THEN 80 WHEN {K} % 11 = 0 THEN 8443 ELSE 443 END", "status": STATUS, "bytes_sent": "CAST(floor(abs(value) * 100) AS BIGINT)",
     "user_agent": case("user_id", AGENTS), "referer": case(f"user_id + {K}", REFERERS), "request_time": f"CAST({K} % 32 AS DOUBLE) / 64", "ssl_protocol": "CASE WHEN event_type = 'signup' THEN '' ELSE 'TLSv1.3' END",
-    "browser": case("user_id", ["Chrome", "Bot", "curl", "No User-Agent", "Safari", "Unknown", "Bot", "Firefox"]), "os": case("user_id", ["Windows", "Unknown", "Unknown", "No User-Agent", "macOS", "Unknown", "Unknown", "Linux"]),
-    "device": case("user_id", ["Desktop", "Bot", "Tool", "Unknown", "Desktop", "Tool", "Bot", "Desktop"]), "accept_language": case("user_id", ["en", "", "", "", "de", "", "", "fr"]),
+    "browser": case("user_id", ["Chrome", "Bot", "curl", "No User-Agent", "Safari", "Unknown", "Bot", "Firefox", "Bot", "Bot", "Unknown", "Bot", "Bot"]), "os": case("user_id", ["Windows", "Unknown", "Unknown", "No User-Agent", "macOS", "Unknown", "Unknown", "Linux", "Unknown", "Unknown", "Unknown", "Unknown", "Unknown"]),
+    "device": case("user_id", ["Desktop", "Bot", "Tool", "Unknown", "Desktop", "Tool", "Bot", "Desktop", "Bot", "Bot", "Unknown", "Bot", "Bot"]), "accept_language": case("user_id", ["en", "", "", "", "de", "", "", "fr", "", "", "", "", ""]),
     "request_length": f"CAST(200 + {K} AS BIGINT)", "connection": f"CAST(CASE WHEN {K} % 10 = 0 THEN 0 ELSE user_id * 100 + {K} END AS BIGINT)", "connection_requests": f"CAST({K} % 5 + 1 AS BIGINT)",
     "limit_req_status": f"CASE WHEN {K} % 17 = 0 THEN 'REJECTED' WHEN {K} % 17 = 1 THEN 'DELAYED' WHEN {K} % 17 = 2 THEN 'PASSED' ELSE '' END", "http_version": case(f"user_id + {K}", ["HTTP/1.1", "HTTP/2.0", "HTTP/1.0"]),
-    "sec_fetch_dest": "CASE WHEN user_id % 8 IN (0, 4) THEN 'document' ELSE '' END", "sec_fetch_mode": "CASE WHEN user_id % 8 IN (0, 4) THEN 'navigate' ELSE '' END",
-    "sec_fetch_site": f"CASE WHEN user_id % 8 = 0 AND {K} % 3 = 0 THEN 'same-origin' WHEN user_id % 8 = 4 AND {K} % 5 = 0 THEN 'cross-site' ELSE '' END", "accept_encoding": case("user_id", ["gzip, br, zstd", "gzip", "", "", "gzip, br", "", "gzip", "gzip, deflate, br, ZSTD"]),
+    "sec_fetch_dest": "CASE WHEN user_id % 13 IN (0, 4) THEN 'document' ELSE '' END", "sec_fetch_mode": "CASE WHEN user_id % 13 IN (0, 4) THEN 'navigate' ELSE '' END",
+    "sec_fetch_site": f"CASE WHEN user_id % 13 = 0 AND {K} % 3 = 0 THEN 'same-origin' WHEN user_id % 13 = 4 AND {K} % 5 = 0 THEN 'cross-site' ELSE '' END", "accept_encoding": case("user_id", ["gzip, br, zstd", "gzip", "", "", "gzip, br", "", "gzip", "gzip, deflate, br, ZSTD", "gzip", "", "", "gzip", ""]),
 }
 INTEL = {
     "ip": address("c_custkey"), "country": "n_name", "country_code": case("n_nationkey", COUNTRIES), "city": "c_mktsegment", "lat": "CASE WHEN c_custkey % 17 = 0 THEN 0.0e0 ELSE CAST(c_custkey * 7 % 120 - 60 AS DOUBLE) + 0.25e0 END",
@@ -88,7 +96,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    visits = _read(spark, sf_dir, "events").selectExpr(*[f"{e.format(**SPARK)} AS {c}" for c, e in VISITS.items()])
+    visits = _read(spark, sf_dir, "events").selectExpr("*", f"{NUMBER} AS k").selectExpr(*[f"{e.format(**SPARK)} AS {c}" for c, e in VISITS.items()])
     customers = _read(spark, sf_dir, "customer").filter(CUSTOMERS)
     nations = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), _on("n_regionkey", "r_regionkey"))
     intel = customers.join(nations, _on("c_nationkey", "n_nationkey")).selectExpr(*[f"{e.format(**SPARK)} AS {c}" for c, e in INTEL.items()])
@@ -108,7 +116,7 @@ def _select(columns: dict[str, str], source: str) -> str:
 
 
 #: The same tables in DuckDB, and the dimension and the joined rows that most queries read.
-SQL = f"""WITH visits AS ({_select(VISITS, 'events')}),
+SQL = f"""WITH visits AS ({_select(VISITS, f'(SELECT *, {NUMBER} AS k FROM events)')}),
 intel AS ({_select(INTEL, f'customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE {CUSTOMERS}')}),
 vals AS ({' UNION ALL '.join(f"SELECT {address('c_custkey')} AS ip, '{k}' AS kind, '{v}' AS value FROM customer WHERE {CUSTOMERS} AND {w}" for k, v, w in VALUES)}),
 dim AS (SELECT i.*, t.ip IS NOT NULL AS has_tags, NOT (is_tor OR is_proxy OR is_hosting OR dnsbl_listed) AND t.ip IS NULL AS clean,

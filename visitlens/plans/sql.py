@@ -92,7 +92,7 @@ TOP_IPS = top("ip", ", max(visitor_class) AS visitor_class, max(country_code) AS
 TOP_PAGES = top("path")
 TOP_BROWSERS = top("browser", exclude=N.EXCLUDED_BROWSERS)
 TOP_SYSTEMS = top("os", exclude=N.EXCLUDED_OSES)
-TOP_REFERRERS = f"""{SQL}, r AS (SELECT referer, count(*) AS n FROM j WHERE referer <> '' AND referer <> '-' GROUP BY referer ORDER BY n DESC, referer LIMIT 200)
+TOP_REFERRERS = f"""{SQL}, r AS (SELECT referer, count(*) AS n FROM j WHERE referer <> '' AND referer <> '-' GROUP BY referer)
   SELECT coalesce(nullif(regexp_extract(referer, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''), referer) AS domain, CAST(sum(n) AS BIGINT) AS count FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
 CLASS_COUNTS = f"""{SQL}, one AS (SELECT ip, max(coalesce(nullif(visitor_class, ''), 'unknown')) AS cls, max(grp) AS grp FROM j WHERE {WINDOW} GROUP BY ip)
   SELECT 'class' AS level, cls AS key, count(*) AS addresses FROM one GROUP BY cls UNION ALL SELECT 'group', grp, count(*) FROM one GROUP BY grp UNION ALL SELECT 'all', 'all', count(*) FROM one"""
@@ -149,55 +149,50 @@ def needle(c: str, needles: list[str]) -> str:
 
 
 def _crawler(k: str, label: str, kind: str) -> str:
-    return f"""WHEN {k}_rdns IS NOT NULL THEN {verdict(label, f"'Reverse DNS confirms the {kind} crawler (' || {k}_rdns || ')'", 'reverse_dns')}
-  WHEN {k}_ua IS NOT NULL AND {k}_owner IS NOT NULL THEN {verdict(label, f"'Identified as ' || {k}_ua || ', on a network belonging to ' || {k}_owner", 'ip-api')}
-  WHEN {k}_ua IS NOT NULL AND hosting AND reverse_dns <> '' THEN {verdict('bots/impersonators', f"'Claims to be ' || {k}_ua || ', but its reverse DNS points somewhere else'", 'reverse_dns')}
-  WHEN {k}_ua IS NOT NULL AND hosting THEN {verdict('bots/impersonators', f"'Claims to be ' || {k}_ua || ' from a hosting/cloud IP that belongs to neither the operator nor a network it crawls from'", 'ip-api')}
-  WHEN {k}_ua IS NOT NULL THEN {verdict(label, f"'Identified as ' || {k}_ua || ' by its user-agent'", 'user-agent')}"""
+    return f"""WHEN {k}_rdns IS NOT NULL THEN {verdict(label, f"'host name of the {kind} crawler: ' || {k}_rdns", 'reverse_dns')}
+  WHEN {k}_ua IS NOT NULL AND {k}_owner IS NOT NULL THEN {verdict(label, f"'agent ' || {k}_ua || ' in the network of its operator: ' || {k}_owner", 'ip-api')}
+  WHEN {k}_ua IS NOT NULL AND hosting AND reverse_dns <> '' THEN {verdict('bots/impersonators', f"'agent ' || {k}_ua || ' under the host name of another'", 'reverse_dns')}
+  WHEN {k}_ua IS NOT NULL AND hosting THEN {verdict('bots/impersonators', f"'agent ' || {k}_ua || ' in a rented network, not in its operator''s'", 'ip-api')}
+  WHEN {k}_ua IS NOT NULL THEN {verdict(label, f"'agent string: ' || {k}_ua", 'user-agent')}"""
 
 
 def verdict(label: str, why: str, source: str) -> str:
     return f"{{'c': '{label}', 'w': {why}, 's': '{source}'}}"
 
 
-def plural(n: str, noun: str) -> str:
-    return f"{n} || ' {noun}' || CASE WHEN {n} = 1 THEN '' ELSE 's' END"
-
-
 def owners(uas: list[str], ua: str) -> str:
     return "CASE " + " ".join(f"WHEN {ua} = '{u}' THEN {needle('network_owner', N.CRAWLER_OWNERS[u])}" for u in uas) + " END"
 
 
-_WHY = f"""CASE WHEN browser_navigate > 0 THEN 'Sec-Fetch navigation headers on ' || {plural('browser_navigate', 'request')} WHEN js THEN 'Fetched ' || {plural('js_fetch', 'page fragment')} || ' that only our JavaScript requests'
-  ELSE 'Browser-only transport signals across ' || unique_paths || ' distinct pages' END"""
+_SIGNS = """CASE WHEN browser_navigate > 0 THEN 'navigation headers: ' || browser_navigate WHEN js THEN 'fragments that scripts fetch: ' || js_fetch ELSE 'a browser''s transport, pages: ' || unique_paths END"""
 CLASSIFIED_CTE = f"""{EVIDENCE_CTE}, e1 AS (SELECT *, greatest(content_requests, 1) AS content, is_hosting OR ({needle('isp', N.CLOUD_ISPS)}) IS NOT NULL AS hosting, probe_404 / greatest(content_requests, 1) AS err_rate,
   {needle('reverse_dns', N.SEARCH_RDNS)} AS s_rdns, {needle('all_uas_lower', N.SEARCH_UAS)} AS s_ua, {needle('reverse_dns', N.AI_RDNS)} AS a_rdns, {needle('all_uas_lower', N.AI_UAS)} AS a_ua, {needle('reverse_dns', N.RESEARCHER_RDNS)} AS r_rdns,
   {needle('all_uas_lower', N.RESEARCHER_UAS)} AS r_ua, {needle('all_uas_lower', N.TOOL_UAS)} AS t_ua, {needle('all_uas_lower', N.SEO_UAS)} AS seo_ua, {needle('all_uas_lower', N.CLIENT_UAS)} AS c_ua FROM evidence),
   e2 AS (SELECT *, {owners(N.SEARCH_UAS, 's_ua')} AS s_owner, {owners(N.AI_UAS, 'a_ua')} AS a_owner, js_fetch > 0 AND NOT hosting AND bot_device = 0 AS js,
   internal_nav > 0 AND probe_404 = 0 AND unique_paths >= 3 AS person, bot_device > 0 OR protocol_mismatch > 0 OR err_rate >= 0.2 OR bad_requests / content >= 0.2 AS disqualified FROM e1),
   e3 AS (SELECT *, (browser_navigate > 0 OR js OR ((has_zstd > 0 OR http2_visits > 0) AND unique_paths >= 2)) AND NOT disqualified AS browser FROM e2),
-  cl AS (SELECT *, CASE WHEN payload_abuse > 0 THEN {verdict('threats/protocol-abusers', f"{plural('payload_abuse', 'non-HTTP request')} || ' carrying a shell command or dropper payload'", 'behaviour')}
-  WHEN exploit_probes > 0 THEN {verdict('threats/exploit-probers', f"{plural('exploit_probes', 'request')} || ' carrying an exploit pattern (traversal, SQL, script, null byte, dropper)'", 'behaviour')}
-  WHEN scanner_paths > 0 THEN {verdict('bots/vulnerability-probers', f"'Requested ' || {plural('scanner_paths', 'known probe path')} || ' (/.env, /.git/, /wp-admin …)'", 'behaviour')}
-  WHEN content >= 3 AND err_rate > 0.2 THEN {verdict('bots/vulnerability-probers', "CAST(round_even(err_rate * 100, 0) AS BIGINT) || '% of ' || content || ' content requests hit a path that does not exist — probing for what does'", 'behaviour')}
-  WHEN distinct_404_paths >= 3 THEN {verdict('bots/vulnerability-probers', "'Asked for ' || distinct_404_paths || ' distinct paths that do not exist'", 'behaviour')}
-  WHEN r_rdns IS NOT NULL THEN {verdict('bots/security-researchers', "'Reverse DNS belongs to a named scanning organisation (' || r_rdns || ')'", 'reverse_dns')}
-  WHEN r_ua IS NOT NULL THEN {verdict('bots/security-researchers', "'User-Agent of a named scanning organisation (' || r_ua || ')'", 'user-agent')}
-  WHEN t_ua IS NOT NULL THEN {verdict('bots/scanning-tools', "'User-Agent names a generic scanning tool (' || t_ua || ') — operator unknown'", 'user-agent')}
-  {_crawler('s', 'bots/search-crawlers', 'search engine')} {_crawler('a', 'bots/ai-crawlers', 'AI')}
-  WHEN seo_ua IS NOT NULL THEN {verdict('bots/seo-tools', "'Identified as ' || seo_ua || ' by its user-agent'", 'user-agent')}
-  WHEN contains(all_uas_lower, 'screaming') AND contains(all_uas_lower, 'frog') THEN {verdict('bots/seo-tools', "'Identified as Screaming Frog by its user-agent'", 'user-agent')}
-  WHEN browser AND hosting AND NOT person THEN {verdict('automated/headless-browser', f"{_WHY} || ' — but from a datacenter/cloud IP, so a driven browser'", 'ip-api')}
-  WHEN browser AND cross_site_nav > 0 THEN {verdict('humans/browser-referred', f"{_WHY} || ', arriving from an external site'", 'headers')}
-  WHEN browser AND internal_nav > 0 THEN {verdict('humans/browser-internal-nav', f"{_WHY} || ', navigating within the site'", 'headers')}
-  WHEN browser THEN {verdict('humans/browser-direct', f"{_WHY} || ', no internal or external referrer'", 'headers')}
-  WHEN c_ua IS NOT NULL THEN {verdict('automated/http-clients', "'User-Agent is an HTTP client library (' || rtrim(c_ua, '/') || ')'", 'user-agent')}
-  WHEN bot_device > 0 THEN {verdict('bots/generic-bots', "'User-Agent declares itself a bot or crawler'", 'user-agent')}
-  WHEN protocol_mismatch > 0 THEN {verdict('automated/protocol-mismatch', f"{plural('protocol_mismatch', 'request')} || ' that were not HTTP — a TLS handshake on the plain-HTTP port, or an empty request line'", 'behaviour')}
-  WHEN hosting THEN {verdict('automated/datacenter', "'Datacenter/cloud IP with no human or bot evidence'", 'ip-api')}
-  ELSE {verdict('unknown', "'No rule matched — too little evidence to classify'", '—')} END AS v FROM e3)"""
+  cl AS (SELECT *, CASE WHEN payload_abuse > 0 THEN {verdict('threats/protocol-abusers', "'shell payloads sent without HTTP: ' || payload_abuse", 'behaviour')}
+  WHEN exploit_probes > 0 THEN {verdict('threats/exploit-probers', "'requests with an exploit string: ' || exploit_probes", 'behaviour')}
+  WHEN scanner_paths > 0 THEN {verdict('bots/vulnerability-probers', "'requests for paths that scanners try: ' || scanner_paths", 'behaviour')}
+  WHEN content >= 3 AND err_rate > 0.2 THEN {verdict('bots/vulnerability-probers', "'percentage of requests for missing paths: ' || CAST(round_even(err_rate * 100, 0) AS BIGINT) || ', of ' || content", 'behaviour')}
+  WHEN distinct_404_paths >= 3 THEN {verdict('bots/vulnerability-probers', "'different missing paths requested: ' || distinct_404_paths", 'behaviour')}
+  WHEN r_rdns IS NOT NULL THEN {verdict('bots/security-researchers', "'host name of a research scanner: ' || r_rdns", 'reverse_dns')}
+  WHEN r_ua IS NOT NULL THEN {verdict('bots/security-researchers', "'agent string of a research scanner: ' || r_ua", 'user-agent')}
+  WHEN t_ua IS NOT NULL THEN {verdict('bots/scanning-tools', "'agent string of a scan tool: ' || t_ua", 'user-agent')}
+  {_crawler('s', 'bots/search-crawlers', 'search')} {_crawler('a', 'bots/ai-crawlers', 'AI')}
+  WHEN seo_ua IS NOT NULL THEN {verdict('bots/seo-tools', "'agent string: ' || seo_ua", 'user-agent')}
+  WHEN contains(all_uas_lower, 'screaming') AND contains(all_uas_lower, 'frog') THEN {verdict('bots/seo-tools', "'agent string: screaming frog'", 'user-agent')}
+  WHEN browser AND hosting AND NOT person THEN {verdict('automated/headless-browser', f"{_SIGNS} || '; rented network'", 'ip-api')}
+  WHEN browser AND cross_site_nav > 0 THEN {verdict('humans/browser-referred', f"{_SIGNS} || '; from another site'", 'headers')}
+  WHEN browser AND internal_nav > 0 THEN {verdict('humans/browser-internal-nav', f"{_SIGNS} || '; within the site'", 'headers')}
+  WHEN browser THEN {verdict('humans/browser-direct', f"{_SIGNS} || '; referrer: none'", 'headers')}
+  WHEN c_ua IS NOT NULL THEN {verdict('automated/http-clients', "'HTTP library: ' || rtrim(c_ua, '/')", 'user-agent')}
+  WHEN bot_device > 0 THEN {verdict('bots/generic-bots', "'agent string calls itself a bot'", 'user-agent')}
+  WHEN protocol_mismatch > 0 THEN {verdict('automated/protocol-mismatch', "'requests that are not HTTP: ' || protocol_mismatch", 'behaviour')}
+  WHEN hosting THEN {verdict('automated/datacenter', "'rented network, nothing else known'", 'ip-api')}
+  ELSE {verdict('unknown', "'no rule applies'", '—')} END AS v FROM e3)"""
 CLASSIFIED = f"{CLASSIFIED_CTE} SELECT ip, v.c AS visitor_class, v.w AS why, v.s AS source FROM cl"
-_FACTS = [("browser_navigate = 0", "No Sec-Fetch navigation headers", "headers"), ("content_requests = 0", "Every request was the redirect from the plain port", "behaviour"), ("dnsbl_listed", "Listed on a blocklist", "dnsbl"), ("is_hosting", "Hosting network", "ip-api"), ("is_proxy", "Proxy or VPN", "ip-api"), ("is_tor", "Tor exit", "tor"), ("has_tags", "Host scan tags on record", "host-scan")]
+_FACTS = [("browser_navigate = 0", "navigation headers: none", "headers"), ("content_requests = 0", "all requests were redirects to the secure port", "behaviour"), ("dnsbl_listed", "on a blocklist", "dnsbl"), ("is_hosting", "rented network", "ip-api"), ("is_proxy", "proxy", "ip-api"), ("is_tor", "exit of Tor", "tor"), ("has_tags", "tags from host scans", "host-scan")]
 CLASS_EXPLAIN = f"""{CLASSIFIED_CTE}, f AS (SELECT ip, 0 AS n, v.w AS text, v.s AS source, true AS decisive FROM cl {' '.join(f"UNION ALL SELECT ip, {i + 1}, '{text}', '{source}', false FROM cl WHERE {when}" for i, (when, text, source) in enumerate(_FACTS))})
   SELECT ip, CAST(row_number() OVER (PARTITION BY ip ORDER BY n) - 1 AS INT) AS pos, text, source, decisive FROM f"""
 RECLASSIFY = f"""{CLASSIFIED_CTE}, st AS (SELECT i.ip FROM intel i JOIN (SELECT ip, max(id) AS m FROM visits GROUP BY ip) n ON n.ip = i.ip WHERE i.classified_visit_id IS NULL OR n.m > i.classified_visit_id)
@@ -254,21 +249,33 @@ HOURLY_BASELINE = f"{SQL}, {_BASE} SELECT * FROM base"
 
 def served(where: str, benign: int = 2) -> str:
     return f"""ok AS (SELECT visits.* EXCLUDE (path), path AS spelling, {CANONICAL} AS path FROM visits WHERE status BETWEEN 200 AND 299), ben AS (SELECT path, count(DISTINCT ip) AS n FROM ok WHERE ip IN (SELECT ip FROM dim WHERE {BENIGN}) GROUP BY path),
-  sv0 AS (SELECT path, count(DISTINCT ip) AS ips, count(*) AS hits, CAST(min(ts) AS VARCHAR) AS first_seen, CAST(max(ts) AS VARCHAR) AS last_seen, max(bytes_sent) AS bytes_sent, string_agg(DISTINCT spelling, ',' ORDER BY spelling) AS spellings
+  sv0 AS (SELECT path, count(DISTINCT ip) AS ips, count(*) AS hits, CAST(min(ts) AS VARCHAR) AS first_seen, CAST(max(ts) AS VARCHAR) AS last_seen, max(bytes_sent) AS bytes_sent, count(DISTINCT spelling) AS spellings, min(spelling) AS first_spelling, max(spelling) AS last_spelling
   FROM ok WHERE NOT contains(spelling, '?') AND {where} GROUP BY path), sv1 AS (SELECT sv0.*, coalesce(ben.n, 0) AS benign_ips, {like_any('sv0.path', N.CONVENTIONS)} AS is_site FROM sv0 LEFT JOIN ben ON ben.path = sv0.path),
   served AS (SELECT *, NOT is_site AND benign_ips < {benign} AS is_finding FROM sv1)"""
 
 
 SERVED_PATHS = f"{SQL}, {served(WINDOW)} SELECT * FROM served"
 EXPOSURES = f"{SQL}, {served('true', 60)} SELECT * FROM served WHERE is_finding"
-EXPOSURE_DETAIL = f"""{SQL}, {served('true')}, nm AS (SELECT path AS c FROM served WHERE path LIKE '/.%'), al AS (SELECT j.*, {CANONICAL} AS c FROM j), r AS (SELECT * FROM al WHERE c IN (SELECT c FROM nm)), h AS (SELECT * FROM r WHERE status BETWEEN 200 AND 299),
-  cx AS (SELECT f.c AS path, al.c AS other FROM al JOIN (SELECT DISTINCT c, ip FROM h) f ON f.ip = al.ip AND al.c <> f.c)
+EXPOSURE_DETAIL = f"""{SQL}, {served('true', 60)}, al AS (SELECT j.*, {CANONICAL} AS c FROM j), r AS (SELECT * FROM al WHERE c IN (SELECT path FROM served WHERE is_finding)), h AS (SELECT * FROM r WHERE status BETWEEN 200 AND 299),
+  f AS (SELECT DISTINCT c, ip FROM h), cx AS (SELECT f.c, al.c AS other FROM al JOIN f ON f.ip = al.ip AND al.c <> f.c)
   SELECT c AS path, 'answers' AS section, status || ':' || server_port AS key, count(*) AS value FROM r GROUP BY ALL UNION ALL SELECT c, 'classes', coalesce(nullif(visitor_class, ''), 'unknown') AS k, count(DISTINCT ip) FROM h GROUP BY c, k
-  UNION ALL SELECT c, 'clients', coalesce(browser, ''), count(DISTINCT ip) FROM h GROUP BY c, browser UNION ALL SELECT c, 'totals', 'bytes', CAST(sum(bytes_sent) AS BIGINT) FROM h GROUP BY c UNION ALL SELECT c, 'refused', '404', count(*) FROM r WHERE status = 404 GROUP BY c
-  UNION ALL SELECT path, 'context', 'paths', count(DISTINCT other) FROM cx GROUP BY path UNION ALL SELECT path, 'context', 'hits', count(*) FROM cx GROUP BY path"""
+  {' '.join(f"UNION ALL SELECT c, '{name}', coalesce({column}, '') AS k, count(DISTINCT ip) FROM h GROUP BY c, k" for name, column in (('clients', 'browser'), ('countries', 'country'), ('networks', 'asn'), ('organisations', 'org')))}
+  {' '.join(f"UNION ALL SELECT c, 'signals', '{x}', count(DISTINCT ip) FROM h WHERE {x} GROUP BY c" for x in ('is_tor', 'is_proxy', 'is_hosting', 'dnsbl_listed', 'has_tags'))}
+  UNION ALL SELECT c, 'methods', method || ' ' || coalesce(user_agent, ''), count(*) FROM r GROUP BY ALL UNION ALL SELECT c, 'seen', CAST(min(ts) AS VARCHAR) || ' to ' || CAST(max(ts) AS VARCHAR), count(*) FROM h GROUP BY c
+  {' '.join(f"UNION ALL SELECT c, 'totals', '{name}', CAST({value} AS BIGINT) FROM h GROUP BY c" for name, value in (('bytes', 'sum(bytes_sent)'), ('smallest', 'min(bytes_sent)'), ('largest', 'max(bytes_sent)'), ('addresses', 'count(DISTINCT ip)')))}
+  UNION ALL SELECT c, 'refused', 'last ' || CAST(max(ts) AS VARCHAR), count(*) FROM r WHERE status = 404 GROUP BY c
+  UNION ALL SELECT c, 'context', 'paths', count(DISTINCT other) FROM cx GROUP BY c UNION ALL SELECT c, 'context', 'hits', count(*) FROM cx GROUP BY c"""
 PROBE_ECHO = f"""{SQL}, p AS (SELECT path, count(DISTINCT v.ip) AS ips, count(DISTINCT v.ip) FILTER (WHERE {BENIGN}) AS b FROM visits v LEFT JOIN dim ON dim.ip = v.ip WHERE status BETWEEN 200 AND 299 AND contains(path, '?') GROUP BY path)
   SELECT count(*) AS urls, coalesce(CAST(sum(ips) AS BIGINT), 0) AS addresses FROM p WHERE b = 0"""
-EXPOSURE_FAMILIES = f"""{SQL}, {served('true')} SELECT CASE {' '.join(f"WHEN regexp_matches(path, '(?i){p}') THEN '{k}'" for k, p in N.FAMILIES)} ELSE '? ' || path END AS family, count(*) AS paths, max(ips) AS most_ips, CAST(sum(hits) AS BIGINT) AS hits, {st('path')} AS members FROM served GROUP BY 1"""
+
+
+def family_of(names: list[str], starts: list[str], endings: list[str], folders: list[str]) -> str:
+    parts, own = "string_split(lower(path), '/')", "regexp_extract(lower(path), '[^/]*$')"
+    tests = [f"{own} = '{x}'" for x in names] + [f"list_contains({parts}, '{x}')" for x in folders]
+    return " OR ".join(tests + [f"starts_with({own}, '{x}')" for x in starts] + [f"ends_with({own}, '{x}')" for x in endings])
+
+
+EXPOSURE_FAMILIES = f"""{SQL}, {served('true')} SELECT CASE {' '.join(f"WHEN {family_of(*f)} THEN '{k}'" for k, *f in N.FAMILIES)} ELSE '? ' || path END AS family, count(*) AS paths, max(ips) AS most_ips, CAST(sum(hits) AS BIGINT) AS hits, min(path) AS first_path, max(path) AS last_path FROM served GROUP BY 1"""
 KINDS = ["port", "vuln", "tag", "cpe", "hostname"]
 HOST_TABLE = f"""{SQL}, w AS (SELECT ip FROM vals WHERE kind = 'port' AND value = '443' INTERSECT SELECT ip FROM vals WHERE kind = 'tag' AND value = 'scanner')
   SELECT s.*, country_code, org, visitor_class, (SELECT count(*) FROM visits v WHERE v.ip = s.ip) AS visits FROM (SELECT ip, {', '.join(f"coalesce(string_agg(DISTINCT value, ',' ORDER BY value) FILTER (WHERE kind = '{k}'), '') AS {k}s" for k in KINDS)} FROM vals WHERE ip IN (SELECT ip FROM w) GROUP BY ip) s LEFT JOIN dim ON dim.ip = s.ip"""
@@ -305,7 +312,7 @@ MONTH_INVENTORY = f"{SQL} SELECT strftime(ts, '%Y-%m') AS month, count(*) AS vis
 EARLIEST_DAY = f"{SQL} SELECT strftime(min(ts), '%Y-%m-%d') AS day FROM visits"
 RETENTION_PLAN = f"""{SQL} SELECT '2023-' || lpad(CAST(id % 12 + 1 AS VARCHAR), 2, '0') AS month, count(*) AS visits, CASE WHEN month = '2023-03' THEN 'keep' WHEN month < '2023-03' THEN 'expire' WHEN month < '2023-09' THEN 'archive' ELSE 'keep' END AS action FROM visits GROUP BY month"""
 EXPORT_PAGE = f"""{SQL} SELECT id, ip, path, CASE WHEN regexp_matches(r, '^[=+\\-@]') THEN '''' || r ELSE r END AS referer FROM (SELECT *, CASE WHEN id % 3 = 0 THEN '=1+' ELSE '' END || referer AS r FROM visits WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12')"""
-RESTORED_VISITS = f"{SQL} SELECT ip, count(*) AS visits FROM visits WHERE id % 3 <> 0 OR ts < TIMESTAMP '2024-01-15' GROUP BY ip"
+RESTORED_VISITS = f"{SQL} SELECT ip, count(*) AS visits FROM visits WHERE id % 3 <> 0 OR strftime(ts, '%Y-%m') = '2024-01' GROUP BY ip"
 PURGED_INTEL = f"{SQL} SELECT ip, country_code FROM intel WHERE ip IN (SELECT ip FROM visits)"
 DEDUPE_VISITS = f"""{SQL}, k AS (SELECT *, CASE WHEN connection > 0 THEN {day()} || '|' || connection || '|' || connection_requests ELSE 'id' || id END AS identity FROM visits)
   SELECT ip, count(DISTINCT identity) AS visits, count(DISTINCT identity) AS identities FROM k WHERE identity NOT IN (SELECT identity FROM k WHERE ts < TIMESTAMP '2024-01-05') GROUP BY ip"""
@@ -314,9 +321,9 @@ INGEST_QUALITY = f"""{SQL}, q AS (SELECT count(*) AS lines, {n_if('id % 20 = 0')
   SELECT *, {', '.join(f'coalesce(round({c} / nullif(lines, 0), 4), 0.0) AS {c}_share, coalesce(round({c} / nullif(lines, 0), 4), 0.0) >= 0.5 AS {c}_flagged' for c in ('unparseable', 'invalid', 'non_utc'))} FROM q"""
 INGESTED_VISITS = f"""{SQL} SELECT ip, CASE WHEN method = '' THEN 'GET' ELSE method END AS method, status, count(*) AS visits, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent FROM visits
   WHERE id % 20 <> 0 AND id % 13 <> 0 AND NOT regexp_matches(lower({PAGE}), '\\.(css|js|png|jpg|jpeg|gif|svg|ico|woff|woff2|ttf|eot)$') GROUP BY ALL"""
-CLIENT_ENRICHMENT = f"""{SQL} SELECT user_agent, CASE user_id WHEN 0 THEN 'Chrome' WHEN 1 THEN 'Bot' WHEN 2 THEN 'curl' WHEN 3 THEN 'No User-Agent' WHEN 4 THEN 'Safari' WHEN 5 THEN 'Unknown' WHEN 6 THEN 'Bot' ELSE 'Firefox' END AS browser,
-  CASE user_id WHEN 0 THEN 'Windows' WHEN 3 THEN 'No User-Agent' WHEN 4 THEN 'macOS' WHEN 7 THEN 'Linux' ELSE 'Unknown' END AS os, CASE user_id WHEN 1 THEN 'Bot' WHEN 6 THEN 'Bot' WHEN 2 THEN 'Tool' WHEN 3 THEN 'Unknown' ELSE 'Desktop' END AS device, visits
-  FROM (SELECT user_agent, any_value(k) AS user_id, count(*) AS visits FROM (SELECT v.user_agent, e.user_id % 8 AS k FROM visits v JOIN events e ON e.event_id = v.id) GROUP BY user_agent)"""
+CLIENT_ENRICHMENT = f"""{SQL} SELECT user_agent, CASE user_id WHEN 0 THEN 'Chrome' WHEN 1 THEN 'Bot' WHEN 2 THEN 'curl' WHEN 3 THEN 'No User-Agent' WHEN 4 THEN 'Safari' WHEN 5 THEN 'Unknown' WHEN 6 THEN 'Bot' WHEN 7 THEN 'Firefox' WHEN 10 THEN 'Unknown' WHEN 11 THEN 'Unknown' ELSE 'Bot' END AS browser,
+  CASE user_id WHEN 0 THEN 'Windows' WHEN 3 THEN 'No User-Agent' WHEN 4 THEN 'macOS' WHEN 7 THEN 'Linux' ELSE 'Unknown' END AS os, CASE user_id WHEN 1 THEN 'Bot' WHEN 6 THEN 'Bot' WHEN 2 THEN 'Tool' WHEN 3 THEN 'Unknown' WHEN 0 THEN 'Desktop' WHEN 4 THEN 'Desktop' WHEN 5 THEN 'Desktop' WHEN 7 THEN 'Desktop' WHEN 10 THEN 'Desktop' WHEN 11 THEN 'Desktop' ELSE 'Bot' END AS device, visits
+  FROM (SELECT user_agent, any_value(k) AS user_id, count(*) AS visits FROM (SELECT v.user_agent, e.user_id % 13 AS k FROM visits v JOIN events e ON e.event_id = v.id) GROUP BY user_agent)"""
 INTEL_UPSERT = f"""{SQL}, a AS (SELECT ip, CASE WHEN is_tor THEN NULL ELSE lower(country) END AS country, 'new org' AS org FROM intel WHERE is_proxy UNION ALL SELECT DISTINCT ip, 'somewhere', NULL FROM visits WHERE ip NOT IN (SELECT ip FROM intel))
   SELECT coalesce(i.ip, a.ip) AS ip, coalesce(a.country, i.country, '') AS country, coalesce(a.org, i.org, '') AS org, coalesce(i.city, '') AS city, CAST(CASE WHEN a.ip IS NOT NULL THEN TIMESTAMP '2024-02-01' ELSE i.fetched_at END AS VARCHAR) AS fetched_at FROM intel i FULL JOIN a ON a.ip = i.ip"""
 CHILD_REPLACE = f"""{SQL}, a AS (SELECT DISTINCT ip FROM vals WHERE kind = 'port' AND ip LIKE '%.1') SELECT ip, kind, value FROM vals WHERE NOT (kind = 'port' AND ip IN (SELECT ip FROM a)) UNION ALL SELECT ip, 'port', '9999' FROM a WHERE ip LIKE '198.18.1%'"""

@@ -23,7 +23,7 @@ def write_visits(visits: DataFrame, path: str, mode: str = "append") -> None:
 
 def export_rows(visits: DataFrame, columns: list[str], since: str | None = None, until: str | None = None, after: tuple[str, int] | None = None, limit: int | None = None) -> DataFrame:
     """Visits newest first; after is the (time, id) that the last page ended with. Cells can't start a formula."""
-    rows = visits.filter(C.in_window(since, until))
+    rows = C.windowed(visits, since, until)
     if after:
         rows = rows.filter(F.struct("ts", "id") < F.struct(F.lit(after[0]).cast("timestamp_ntz"), F.lit(after[1]).cast("long")))
     rows = rows.orderBy(F.col("ts").desc(), F.col("id").desc())
@@ -48,7 +48,7 @@ def archived_intel(visits: DataFrame, intel: DataFrame, values: DataFrame) -> Da
 
 def archive_month(visits: DataFrame, intel: DataFrame, values: DataFrame, month: str, path: str) -> DataFrame:
     """Write a month's visits, intel and one row of counts under path/month; returns that row. Spark's _SUCCESS file marks each part whole."""
-    rows = visits.filter(F.date_format("ts", "yyyy-MM") == month)
+    rows = visits.filter(C.month_of(visits) == month)
     rows.orderBy("id").write.json(f"{path}/{month}/visits")
     archived_intel(rows, intel, values).write.json(f"{path}/{month}/intel")
     meta = rows.agg(F.lit(month).alias("month"), F.count("*").alias("visits"), F.countDistinct("ip").alias("addresses"), F.min("ts").cast("string").alias("first"), F.max("ts").cast("string").alias("last"))
@@ -77,7 +77,7 @@ def retention_plan(inventory: DataFrame, now: str, keep_months: int = 2, pinned:
 
 
 def delete_months(visits: DataFrame, gone: list[str]) -> DataFrame:
-    return visits.filter(~F.date_format("ts", "yyyy-MM").isin(gone))
+    return visits.filter(~C.month_of(visits).isin(gone))
 
 
 def purge_orphans(intel: DataFrame, visits: DataFrame) -> DataFrame:
