@@ -29,10 +29,13 @@ CAPACITY = 4096
 END_ID = 2
 GROUP = 2048
 TOKEN_BYTES = 4
-#: Words that a worker remembers in each of two generations: about 40 MB in all.
-CACHED_WORDS = 130_000
+#: Words that a worker remembers in each of two generations: about 60 MB in all.
+CACHED_WORDS = 160_000
 #: Letters of Latin scripts that stay one letter in lower case and in composed form.
 LETTER = re.compile("[A-Za-z\u00b5\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
+#: Lines of one word each: letters and what may follow them, or anything else; and what only the whole library encodes.
+FORM = re.compile(rf"(?:((?:{LETTER.pattern})+)([,.]?)|([^\n]+))\n")
+ODD_WORD = re.compile(rf"\x00|{ODD.pattern}")
 PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
 
 
@@ -50,6 +53,9 @@ class Encoder:
         self.mark_id, *more = self._ids(["\x00"])[0]
         if more:
             raise ValueError("the vocabulary has no single token for a zero byte")
+        vocab = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
@@ -61,28 +67,32 @@ class Encoder:
 
         That is so only where the letter still ends the word once it is normalized; the dotted capital I ends in a mark, for one.
         """
-        forms, odd, asked = [], [], {}
-        for w in words:
-            text = w.lower().decode()
-            if "\x00" in text or ODD.search(text):
-                odd.append(w)
-                continue
-            cut = len(text) - 1 if text[-1] in ",." and LETTER.fullmatch(text[-2:-1]) else len(text)
-            forms.append((w, text[:cut], text[cut:]))
-            asked[text[:cut]] = asked[text[cut:]] = b""
-        asked.pop("", None)
+        if not words:
+            return
+        forms = FORM.findall(b"\n".join([*words, b""]).lower().decode())
+        odd = [w for w, (_, _, other) in zip(words, forms, strict=True) if other and ODD_WORD.search(other)]
+        asked = dict.fromkeys(stem for stem, _, _ in forms if stem)
+        # a word of letters is one piece, so its last token is its only one that ends a word; other words need a mark between them
+        self._ask(list(asked), " ", asked)
+        self._ask(list({x for _, tail, other in forms for x in (tail, other) if x and not ODD_WORD.search(x)}), " \x00 ", asked)
+        asked[""] = b""
+        self.known.update((w, asked[stem] + asked[tail] if stem else asked.get(other)) for w, (stem, tail, other) in zip(words, forms, strict=True))
         for w, ids in zip(odd, self._ids([w.decode() for w in odd]), strict=True):
             self.known[w] = np.array(ids, "<u4").tobytes()
-        plain = list(asked)
-        lines = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for line, ids in zip(lines, self._ids([" \x00 ".join(line) for line in lines]), strict=True):
+
+    def _ask(self, words: list[str], between: str, asked: dict) -> None:
+        lines = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for line, ids in zip(lines, self._ids([between.join(line) for line in lines]), strict=True):
             ids = np.array(ids, "<u4")
-            data, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark_id)).tolist()
-            for text, a, b in zip(line, [-4, *cuts], [*cuts, len(data)], strict=True):
-                asked[text] = data[a + 4 : b]
-        asked[""] = b""
-        for w, stem, tail in forms:
-            self.known[w] = asked[stem] + asked[tail] if tail else asked[stem]
+            data = ids.tobytes()
+            if between == " ":
+                ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+                starts = [0, *ends[:-1]]
+            else:
+                marks = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+                starts, ends = [0, *(m + 4 for m in marks)], [*marks, len(data)]
+            for text, a, b in zip(line, starts, ends, strict=True):
+                asked[text] = data[a:b]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
