@@ -1,10 +1,11 @@
 """Finding equal keys across a corpus without sending any key twice from one place.
 
-Documents are dealt into chunks of a few MB by a hash of their id. A chunk sends each of its
+Documents are dealt into chunks of a few MB by a hash of id and text, so rows without an id spread like others. A chunk sends each of its
 *distinct* keys once, packed with the others of the same bucket, and each bucket answers every
 chunk which of its keys are repeated. A key that a third of all documents hold therefore costs
 one entry a chunk, never one a document, and neither side holds more than a chunk or a bucket.
-Chunks follow from ids alone, so a task that is run again makes the same ones.
+Chunks follow from the rows alone, so a task that is run again makes the same ones. The numbers of chunks and of buckets
+follow the bytes of the texts, so either stays a few MB at any size.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, CHUNKS_A_BUCKET = 2 << 20, 4
 SENT = "bucket int, chunk long, keys binary, flags binary, ids binary, places binary"
 ANSWER = "chunk long, kind int, keys binary"
 _ANSWER = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary())])
@@ -27,16 +28,13 @@ DECIDED, OPEN = 0, 1
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64())] + [(c, pa.binary()) for c in ("keys", "flags", "ids", "places")])
 
 
-def chunked(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """(chunk, doc_id, text), and a struct of further columns if there are any: as many chunks as the texts need at CHUNK_BYTES each."""
+def chunked(docs: DataFrame, carry: list[str] = ()) -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text), and a struct of further columns if there are any, in as many chunks as the texts need at CHUNK_BYTES each; and how many buckets serve them."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // CHUNK_BYTES))
     rest = [F.struct(*carry).alias("rest")] if carry else []
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
-
-
-def buckets(docs: DataFrame) -> int:
-    return 4 * partitions(docs.sparkSession)
+    chunks = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
+    return chunks, max(partitions(docs.sparkSession), -(-n // CHUNKS_A_BUCKET))
 
 
 def pack(chunk: int, n_buckets: int, keys: np.ndarray, flags: np.ndarray, ids: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.Table:
@@ -67,11 +65,13 @@ def repeated_anywhere(table: pa.Table) -> pa.Table:
 
 
 def repeated_later(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each chunk, the keys whose first place there isn't the first of all."""
+    """Of one bucket: for each chunk, the keys whose first place there isn't the first of all, nor the same place of a row that shares its id."""
     keys, _, ids, places = _columns(table)
     order = np.lexsort((places, ids, keys))
+    k, i, p = keys[order], ids[order], places[order]
+    head = np.maximum.accumulate(np.where(np.diff(k, prepend=~k[:1]) != 0, np.arange(len(k)), 0)) if len(k) else order
     later = np.empty(len(keys), bool)
-    later[order] = np.diff(keys[order], prepend=~keys[order][:1]) == 0
+    later[order] = (i != i[head]) | (p != p[head])
     return _answer(table, {DECIDED: later})
 
 

@@ -116,8 +116,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     prepare(docs.sparkSession)
-    n = R.buckets(docs)
-    chunks = R.chunked(docs)
+    chunks, n = R.chunked(docs)
     anchors = R.ask(chunks.groupBy("chunk").applyInArrow(_send_anchors(n, window), R.SENT), R.repeated_anywhere)
     windows = R.ask(chunks.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_send_windows(n, window), R.SENT), R.repeated_later)
     return chunks.groupBy("chunk").cogroup(windows.groupBy("chunk")).applyInArrow(_remove(window), RESULT)

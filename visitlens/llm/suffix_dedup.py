@@ -139,8 +139,7 @@ def dedup_suffixes(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     if not 0 < digit <= threshold:
         raise ValueError("a digit is at least one byte and at most the threshold")
     prepare(docs.sparkSession)
-    n = R.buckets(docs)
-    chunks = R.chunked(docs, carry=[c for c in docs.columns if c != "text"] if carry else [])
+    chunks, n = R.chunked(docs, carry=[c for c in docs.columns if c != "text"] if carry else [])
     kind = T.StructType([*T.StructType.fromDDL(RESULT).fields, *chunks.schema.fields[3:]])
     first = R.ask(chunks.groupBy("chunk").applyInArrow(_first_pass(n, threshold, digit), R.SENT), R.split_further)
     last = R.ask(chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(_last_pass(n, threshold, digit), R.SENT), R.repeated_anywhere)
