@@ -50,6 +50,28 @@ def test_order_changes_no_verdict(spark):
     assert all(r.seen > 0 and r.seconds >= 0 for r in stats.values())
 
 
+def test_the_cascade_takes_what_earlier_rules_leave(spark, monkeypatch):
+    base = [f"word{i}" for i in range(80)]
+    shouted, marked = " ".join(base).upper(), " ".join(f"{w}! {w}x!" for w in base).upper()
+    data = [(i, t, None, None, None) for i, t in enumerate([shouted] * 6 + [marked] * 10 + [" ".join(base)] * 10 + ["short"] * 50)]
+    rules = (quality.Rule("exclamations", 0.25), quality.Rule("shouting", 0.5), quality.Rule("symbols", 0.125))
+    docs = corpora.frame(spark, data)
+    stats = {r.rule: (r.rejected, r.seen) for r in quality.estimate(docs, rules).collect()}
+    assert stats == {"exclamations": (10, 26), "shouting": (16, 26), "symbols": (0, 26)}
+    # all that exclaims is shouted: after the better of the two, the other one gains only what is left
+    order = [r.name for r in quality.ordered(docs, rules)]
+    assert order.index("symbols") == 2 if order[0] == "exclamations" else order[0] == "shouting"
+
+
+def test_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    data = [(None, long, None, None, None), (None, None, None, None, None), (1, long, None, None, None), (1, long, None, None, None), (2, "x", None, None, None)]
+    docs = corpora.frame(spark, data).selectExpr("*", "1 as mask", "2 as seen", "true as kept", "'r' as rejected_by", "3 as n_words")
+    rows = sorted((str(r.doc_id), r.n_words, r.kept) for r in quality.judge_quality(docs).collect())
+    assert rows == sorted([("None", 300_000, True), ("None", 0, False), ("1", 300_000, True), ("1", 300_000, True), ("2", 1, False)])
+    assert quality.keep_quality(docs).columns == docs.columns and quality.keep_quality(docs).count() == 3
+
+
 def test_empty_table(spark):
     assert quality.judge_quality(corpora.frame(spark, [])).count() == 0
     assert quality.keep_quality(corpora.frame(spark, [])).columns == corpora.frame(spark, []).columns

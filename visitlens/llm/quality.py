@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost (CPU seconds a document) and selectivity (share rejected) are estimated on a sample
-of about SAMPLE documents; then rules run by rejections per cost, and a document meets no further
-rule after the first that rejects it. The order changes what is computed, never the verdict: a
+Each rule's cost (CPU seconds a document) and which documents it rejects are estimated on a sample of about SAMPLE documents
+that pass the base test. A rule pays only for what it adds: measures that the base test or the result needs anyway are there
+before. The cascade is then built step by step: next comes the rule that rejects most per cost among the sampled
+documents that the rules before it leave. A document meets no further rule after the first that rejects it. The order changes what is computed, never the verdict: a
 document is kept if the base test passes and no rule rejects it.
 
 Rules (thresholds are parameters of RULES): many symbols; half of the lines repeat earlier ones; odd mean word
@@ -98,33 +99,59 @@ class Rule:
 RULES = (Rule("symbols", 0.125), Rule("duplicate_lines", 0.5), Rule("word_length", 3, 10), Rule("shouting", 0.5), Rule("exclamations", 0.25), Rule("letterless", 0.25))
 
 
-def _measured(rules: tuple[Rule, ...]):
+#: Measures that the result holds, whatever the rules ask for.
+REPORTED = ("word_chars", "n_symbols", "lines")
+
+
+def _measured(rules: tuple[Rule, ...], given: tuple[str, ...]):
     def measure(batches):
-        seconds, rejected, seen = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0), 0
+        found: dict[int, list[float]] = {}
         for batch in batches:
             for text in as_bytes(batch.column("text")):
-                seen += 1
-                for rule in rules:
-                    d = Document(text)  # a rule pays for the measures it needs
+                d = Document(text)
+                if d.base_failed:
+                    continue
+                for name in given:
+                    getattr(d, name)
+                mask, seconds = 0, []
+                for i, rule in enumerate(rules):
                     began = time.thread_time()
-                    rejected[rule] += rule.rejects(d)
-                    seconds[rule] += time.thread_time() - began
-        yield pa.RecordBatch.from_pydict({"rule": [r.name for r in rules], "seconds": list(seconds.values()), "rejected": list(rejected.values()), "seen": [seen] * len(rules)})
+                    mask |= rule.rejects(d) << i
+                    seconds.append(time.thread_time() - began)
+                sums = found.setdefault(mask, [0.0] * (len(rules) + 1))
+                for i, x in enumerate([1.0, *seconds]):
+                    sums[i] += x
+        columns = {"mask": list(found), "seen": [int(x[0]) for x in found.values()]} | {f"s{i}": [x[i + 1] for x in found.values()] for i in range(len(rules))}
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if c in ("mask", "seen") else pa.float64()) for c, x in columns.items()], names=list(columns))
 
     return measure
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> DataFrame:
-    """(rule, seconds, rejected, seen) over a sample of about ``sample`` documents."""
+def _masks(docs: DataFrame, rules: tuple[Rule, ...], sample: int, given: tuple[str, ...]) -> DataFrame:
+    """(mask, seen, s0, s1, ...): sampled documents by the set of rules that reject them, and the seconds of each rule; at most 2 ** rules rows."""
     share = min(1.0, sample / max(1, docs.count()))
-    counts = docs.sample(share, seed=7).select("text").mapInArrow(_measured(rules), "rule string, seconds double, rejected long, seen long")
-    return counts.groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"), F.sum("seen").alias("seen"))
+    seconds = [f"s{i}" for i in range(len(rules))]
+    counts = docs.sample(share, seed=7).select("text").mapInArrow(_measured(rules, given), ", ".join(["mask long, seen long", *(f"{c} double" for c in seconds)]))
+    return counts.groupBy("mask").agg(*[F.sum(c).alias(c) for c in ("seen", *seconds)])
+
+
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, given: tuple[str, ...] = ()) -> DataFrame:
+    """(rule, seconds, rejected, seen) over the documents of a sample of about ``sample`` that pass the base test."""
+    per = [F.struct(F.lit(r.name).alias("rule"), F.sum(f"s{i}").alias("seconds"), F.sum(F.when(F.getbit("mask", F.lit(i)) == 1, F.col("seen")).otherwise(0)).alias("rejected"), F.sum("seen").alias("seen")) for i, r in enumerate(rules)]
+    return _masks(docs, rules, sample, given).agg(F.array(*per).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> tuple[Rule, ...]:
-    """The rules by estimated rejections per second, best first."""
-    found = {r["rule"]: (r["rejected"] + 0.5) / (r["seconds"] + 1e-9) for r in estimate(docs, rules, sample).collect()}
-    return tuple(sorted(rules, key=lambda r: (-found.get(r.name, 0.0), r.name)))
+def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, given: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """The rules, each the best by rejections per second among the documents that those before it leave."""
+    rows = _masks(docs, rules, sample, given).collect()
+    cost = [sum(r[f"s{i}"] for r in rows) / max(1, sum(r["seen"] for r in rows)) + 1e-9 for i in range(len(rules))]
+    left, order = list(rows), []
+    while len(order) < len(rules):
+        gain = {i: sum(r["seen"] for r in left if r["mask"] >> i & 1) for i in range(len(rules)) if i not in order}
+        best = min(gain, key=lambda i: (-gain[i] / cost[i], cost[i], rules[i].name))
+        order.append(best)
+        left = [r for r in left if not r["mask"] >> best & 1]
+    return tuple(rules[i] for i in order)
 
 
 def _judged(rules: tuple[Rule, ...]):
@@ -150,7 +177,7 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int
     """One row per document: measures, the verdict, and the rule that rejected it first in this run's order."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_judged(ordered(docs, rules, sample)), RESULT)
+    return docs.mapInArrow(_judged(ordered(docs, rules, sample, REPORTED)), RESULT)
 
 
 def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> DataFrame:

@@ -47,7 +47,7 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 
 
 def merge_all(df: DataFrame, keys: list[str], column: str, k: int = K) -> DataFrame:
-    """One sketch per group of rows: least distinct hashes, cut to k in each partition before anything is shuffled."""
+    """One sketch per group of rows. Equal hashes of a partition fold before the first shuffle, which spreads a group over tasks; the second moves k hashes a task at most."""
     w = Window.partitionBy(*keys).orderBy("_hash")
     hashes = df.select(*keys, F.explode(column).alias("_hash")).groupBy(*keys, "_hash").agg(F.lit(1).alias("_one"))
     least = hashes.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= k)
