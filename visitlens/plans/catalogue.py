@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.operators import baseline, classify, enrich, exposure, grouping, hosts, overview, report, sessions, timeline
+from visitlens.operators import baseline, classify, enrich, exposure, grouping, hosts, overview, pages, report, sessions, timeline
 from visitlens.operators.filters import Filters, Term
 from visitlens.plans import sql
 from visitlens.plans.fixture import HOST, Tables, tables
@@ -75,6 +75,20 @@ def visitors(t):
     return grouping.visitors(rows(t, since=SINCE, until=UNTIL, min_visits=20), t.values)
 
 
+@query()
+def visitor_page(t):
+    """The third page of visitors by network, those without one last."""
+    found = grouping.visitors(rows(t), t.values).select("ip", "asn", "visits", "unique_pages")
+    return pages.page(found, pages.VISITORS, "asn", ["ip"], descending=False, number=3, size=40)
+
+
+@query()
+def request_page(t):
+    """The slowest requests of the address with the least name, between two instants."""
+    found = pages.requests(t.visits, "198.18.0.1", "2024-01-03 12:00:00", "2024-01-25 08:30:00").select("id", "path", "status", "request_time", "user_agent")
+    return pages.page(found, pages.REQUESTS, "request_time", ["id"], size=25)
+
+
 @query()
 def visitor_detail(t):
     return grouping.visitor_detail(rows(t))

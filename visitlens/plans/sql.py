@@ -56,6 +56,10 @@ VISITORS = f"""{SQL} SELECT j.ip, CAST(min(ts) AS VARCHAR) AS first_seen, CAST(m
   {st('device')} AS devices, {st('CAST(server_port AS VARCHAR)')} AS ports, max(country_code) AS country_code, max(asn) AS asn, max(visitor_class) AS visitor_class, coalesce(bool_or(known), false) AS enriched,
   coalesce((SELECT string_agg(DISTINCT value, ',' ORDER BY value) FROM vals t WHERE t.kind = 'tag' AND t.ip = j.ip), '') AS tags
   FROM j WHERE {WINDOW} GROUP BY j.ip HAVING count(*) >= 20"""
+VISITOR_PAGE = f"""{SQL}, g AS (SELECT ip, max(asn) AS asn, count(*) AS visits, count(DISTINCT path) AS unique_pages FROM j GROUP BY ip), o AS (SELECT row_number() OVER (ORDER BY nullif(asn, '') ASC NULLS LAST, ip) AS position, *, CAST(ceil(count(*) OVER () / 40) AS BIGINT) AS pages FROM g)
+  SELECT * FROM o WHERE position BETWEEN 81 AND 120"""
+REQUEST_PAGE = f"""{SQL}, g AS (SELECT id, path, status, request_time, user_agent FROM visits WHERE ip = '198.18.0.1' AND ts BETWEEN TIMESTAMP '2024-01-03 12:00:00' AND TIMESTAMP '2024-01-25 08:30:00'),
+  o AS (SELECT row_number() OVER (ORDER BY request_time DESC NULLS LAST, id) AS position, *, CAST(ceil(count(*) OVER () / 25) AS BIGINT) AS pages FROM g) SELECT * FROM o WHERE position <= 25"""
 VISITOR_DETAIL = f"""{SQL} SELECT ip, count(*) AS visits, CAST(min(ts) AS VARCHAR) AS first_seen, CAST(max(ts) AS VARCHAR) AS last_seen, count(DISTINCT path) AS unique_pages, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent,
   round(avg(request_time), 4) AS avg_request_time, round(avg(request_length), 2) AS avg_request_length, max(request_length) AS max_request_length, {n_if("limit_req_status IN ('DELAYED', 'REJECTED')")} AS rate_limited,
   {n_if('status BETWEEN 400 AND 499')} AS client_errors, round(100.0 * {n_if("sec_fetch_mode <> ''")} / count(*), 1) AS sec_fetch_rate, round(100.0 * {n_if("ssl_protocol <> ''")} / count(*), 1) AS https_rate,
