@@ -65,7 +65,14 @@ def test_the_encoder_forgets_no_word_in_use(monkeypatch):
     for i in range(12):
         text = f"often w{i} x{i} y{i}, often"
         assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == library_ids(text)
-        assert len(encoder.known) <= 5 and len(encoder.before) <= 5 and b"often" in encoder.known
+        assert len(encoder.known.codes) <= 5 and len(encoder.before.codes) <= 5
+
+
+def test_long_texts_are_encoded_by_parts():
+    text = (" \n".join(f"word{i % 700} w{i}," for i in range(60_000)) + "  end ").encode()
+    encoder = packing.encoder(PATH)
+    assert len(text) > packing.SLICE and encoder.encode_whole(text) == encoder.encode([text])[0] == np.array(library_ids(text.decode()), "<u4").tobytes()
+    assert encoder.encode([b"", b" ", b"a", b""]) == [b"", b"", encoder.encode([b"a"])[0], b""] and encoder.encode_whole(b"") == b""
 
 
 def check_packing(rows, texts):

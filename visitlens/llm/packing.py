@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import ODD, default_vocabulary
-from .common import as_bytes, prepare
+from .common import BYTE_CODES, IS_SPACE, Runs, as_bytes, joined, prepare, slices
 
 CAPACITY = 4096
 END_ID = 2
 GROUP = 2048
 TOKEN_BYTES = 4
-#: Words that a worker remembers in each of two generations: about 60 MB in all.
-CACHED_WORDS = 160_000
+#: Words that a worker remembers in each of two generations, some 30 bytes each; and bytes of text that it works on at once.
+CACHED_WORDS, SLICE = 600_000, 1 << 20
 #: Letters of Latin scripts that stay one letter in lower case and in composed form.
 LETTER = re.compile("[A-Za-z\u00b5\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
 #: Lines of one word each: letters and what may follow them, or anything else; and what only the whole library encodes.
@@ -42,8 +42,38 @@ PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_
 # ---- tokens -------------------------------------------------------------------------------
 
 
+class Words:
+    """Ids of words by the 64-bit code of a word: sorted codes, and where each one's ids stand."""
+
+    def __init__(self):
+        self.codes, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def add(self, codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(codes)
+        at = np.searchsorted(self.codes, codes[order])
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.codes, self.starts, self.sizes = (np.insert(x, at, y[order]) for x, y in ((self.codes, codes), (self.starts, starts), (self.sizes, sizes)))
+        self.ids = np.concatenate([self.ids, ids])
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Place of each code, or -1."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, -1)
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of these places has, and all ids in turn."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return sizes, self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
-    """The tokenizers library, not asked for words among the last CACHED_WORDS used (and up to as many before them)."""
+    """The tokenizers library, not asked for words among the last CACHED_WORDS used (and up to as many before them).
+
+    Words are told apart by 64-bit codes: two of a million remembered ones share a code with a probability of about 3e-8.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,19 +86,16 @@ class Encoder:
         vocab = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.known, self.before = Words(), Words()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode words. The normalizer folds case, and a comma or full stop after a letter is a piece of its own: so fewer are asked for.
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words. The normalizer folds case, and a comma or full stop after a letter is a piece of its own: so fewer are asked for.
 
         That is so only where the letter still ends the word once it is normalized; the dotted capital I ends in a mark, for one.
         """
-        if not words:
-            return
         forms = FORM.findall(b"\n".join([*words, b""]).lower().decode())
         odd = [w for w, (_, _, other) in zip(words, forms, strict=True) if other and ODD_WORD.search(other)]
         asked = dict.fromkeys(stem for stem, _, _ in forms if stem)
@@ -76,9 +103,8 @@ class Encoder:
         self._ask(list(asked), " ", asked)
         self._ask(list({x for _, tail, other in forms for x in (tail, other) if x and not ODD_WORD.search(x)}), " \x00 ", asked)
         asked[""] = b""
-        self.known.update((w, asked[stem] + asked[tail] if stem else asked.get(other)) for w, (stem, tail, other) in zip(words, forms, strict=True))
-        for w, ids in zip(odd, self._ids([w.decode() for w in odd]), strict=True):
-            self.known[w] = np.array(ids, "<u4").tobytes()
+        whole = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(odd, self._ids([w.decode() for w in odd]), strict=True)}
+        return [whole[w] if w in whole else asked[stem] + asked[tail] if stem else asked[other] for w, (stem, tail, other) in zip(words, forms, strict=True)]
 
     def _ask(self, words: list[str], between: str, asked: dict) -> None:
         lines = [words[i : i + 256] for i in range(0, len(words), 256)]
@@ -94,18 +120,42 @@ class Encoder:
             for text, a, b in zip(line, starts, ends, strict=True):
                 asked[text] = data[a:b]
 
+    def remember(self, codes: np.ndarray, words) -> None:
+        """Make the distinct codes known; words gives the words of some of them."""
+        new = np.flatnonzero(self.known.find(codes) < 0)
+        if len(self.known.codes) + len(new) > CACHED_WORDS:
+            self.known, self.before = Words(), self.known
+            new = np.arange(len(codes))
+        old = self.before.find(codes[new])
+        self.known.add(codes[new[old >= 0]], *self.before.of(old[old >= 0]))
+        new = new[old < 0]
+        if len(new):
+            found = self.learn(words(new))
+            sizes = np.array([len(x) // 4 for x in found], np.int32)
+            self.known.add(codes[new], sizes, np.frombuffer(b"".join(found), "<u4"))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, self.before = {}, self.known
-            new = words
-        old = new.intersection(self.before)
-        self.known.update((w, self.before[w]) for w in old)
-        self.learn(list(new - old))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        data, starts = joined(texts)
+        edge = np.flatnonzero(np.diff(IS_SPACE[data].view(np.int8), prepend=1))
+        first, last = edge[0::2], edge[1::2]
+        if not len(first):
+            return [b""] * len(texts)
+        codes, where, which = np.unique(Runs(BYTE_CODES[data]).between(first, last), return_index=True, return_inverse=True)
+        self.remember(codes, lambda new: [data[a:b].tobytes() for a, b in zip(first[where[new]].tolist(), last[where[new]].tolist(), strict=True)])
+        sizes, ids = self.known.of(self.known.find(codes)[which])
+        ends = np.r_[0, 4 * np.cumsum(sizes, dtype=np.int64)][np.searchsorted(first, starts)].tolist()
+        out = ids.astype("<u4").tobytes()
+        return [out[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def encode_whole(self, text: bytes) -> bytes:
+        """One text, by parts that end at a space where it is long."""
+        parts, at = [], 0
+        while at < len(text):
+            end = text.find(b" ", at + SLICE)
+            end = len(text) if end < 0 else end
+            parts += self.encode([text[at:end]])
+            at = end
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=2)
@@ -120,9 +170,10 @@ def _cut(path: str, capacity: int, end_id: int):
         e = encoder(path)
         for batch in batches:
             texts, names = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
-            for i in range(0, len(texts), 500):
+            for a, b in slices(texts, SLICE):
                 out = {c: [] for c in ("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens")}
-                for name, ids in zip(names[i : i + 500], e.encode(texts[i : i + 500]), strict=True):
+                found = e.encode(texts[a:b]) if b - a > 1 else [e.encode_whole(texts[a])]
+                for name, ids in zip(names[a:b], found, strict=True):
                     ids += end
                     for at in range(0, len(ids), 4 * capacity):
                         piece = ids[at : at + 4 * capacity]
