@@ -69,7 +69,7 @@ def test_the_encoder_forgets_no_word_in_use(monkeypatch):
 
 
 def test_long_texts_are_encoded_by_parts():
-    text = (" \n".join(f"word{i % 700} w{i}," for i in range(60_000)) + "  end ").encode()
+    text = (" \n".join(f"word{i % 700} w{i}," for i in range(70_000)) + "  end ").encode()
     encoder = packing.encoder(PATH)
     assert len(text) > packing.SLICE and encoder.encode_whole(text) == encoder.encode([text])[0] == np.array(library_ids(text.decode()), "<u4").tobytes()
     assert encoder.encode([b"", b" ", b"a", b""]) == [b"", b"", encoder.encode([b"a"])[0], b""] and encoder.encode_whole(b"") == b""
