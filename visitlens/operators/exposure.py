@@ -33,7 +33,8 @@ def served(visits: DataFrame, dim: DataFrame, since: str | None = None, until: s
     site = C.is_convention(F.col("path"))
     for p in js_prefixes:
         site = site | F.col("path").startswith(p)
-    return found.withColumn("is_site", site).withColumn("is_finding", ~F.col("is_site") & (F.col("benign_ips") < benign))
+    # asked of what was counted, else Spark tests every request with the canonical form written out once for each pattern
+    return found.withColumn("is_site", F.when(F.col("hits") > 0, site)).withColumn("is_finding", ~F.col("is_site") & (F.col("benign_ips") < benign))
 
 
 def exposures(*args, **how) -> DataFrame:
