@@ -26,4 +26,19 @@ CAPTURES = f"""
 WITH x AS (SELECT page_id, coalesce(html, '') AS p FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY p) AS first FROM x)
 SELECT page_id, octet_length(encode(p))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
 """
-ORACLES: dict[str, str] = {"op1_quality_cascade": ORACLE, "op3_warc_transactions": CAPTURES, "op6_substring_dedup": SUBSTRINGS, "op7_circulant_minhash": NEAR}
+COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) x WHERE len(w) >= m)),
+c AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE m = 1 GROUP BY lang),
+found AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM c WHERE m > 1 AND f >= 100),
+held AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS above FROM (SELECT lang, w, a, k, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM found)) GROUP BY ALL),
+cut AS (SELECT lang, phrase, a, w, m, unnest(range(1, m)) AS k FROM found LEFT JOIN held USING (lang, phrase) WHERE above IS NULL OR 100 * above < 100 * a),
+s AS (SELECT cut.lang, cut.phrase, a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score FROM cut JOIN n ON n.lang = cut.lang
+  JOIN c l ON l.lang = cut.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN c r ON r.lang = cut.lang AND r.phrase = array_to_string(w[k + 1:cut.m], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM s),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM b WHERE nth = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM o WHERE rank <= 2000
+"""
+ORACLES: dict[str, str] = {"op1_quality_cascade": ORACLE, "op3_warc_transactions": CAPTURES, "op6_substring_dedup": SUBSTRINGS, "op7_circulant_minhash": NEAR, "op11_collocations": COLLOCATIONS}
