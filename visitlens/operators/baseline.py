@@ -26,15 +26,24 @@ def padded_median(column: str, slots: Column) -> Column:
 
 
 def hourly_baseline(visits: DataFrame, now: str, days: int = DAYS, min_days: int = MIN_DAYS) -> DataFrame:
-    """One row: figures of the last full hour, the median of the hours before it, factors and verdicts.
+    """One row: figures of the last full hour, the median of the hours before it, factors and verdicts."""
+    start, end = _last_hour(now)
+    recent = visits.filter((F.col("ts") < end) & (F.col("ts") >= start - F.expr(f"interval {days} days")))
+    return against_history(hourly(recent), visits.agg(F.min("ts").alias("first")), now, days, min_days)
 
-    The history holds at most 24 * days rows by then, whatever the traffic.
+
+def _last_hour(now: str) -> tuple[Column, Column]:
+    end = F.date_trunc("hour", F.lit(now).cast("timestamp_ntz")).cast("timestamp_ntz")
+    return end - F.expr("interval 1 hour"), end
+
+
+def against_history(hours: DataFrame, first: DataFrame, now: str, days: int = DAYS, min_days: int = MIN_DAYS) -> DataFrame:
+    """The last full hour of (hour, requests, probing_addresses) against those before it; first is one row, the time of the first visit.
+
+    At most 24 * days hours count, whatever the traffic.
     """
-    moment = F.lit(now).cast("timestamp_ntz")
-    end = F.date_trunc("hour", moment).cast("timestamp_ntz")
-    start = end - F.expr("interval 1 hour")
-    hours = hourly(visits.filter((F.col("ts") < end) & (F.col("ts") >= start - F.expr(f"interval {days} days"))))
-    first = visits.agg(F.min("ts").alias("first"))
+    start, end = _last_hour(now)
+    hours = hours.filter((F.col("hour") < end) & (F.col("hour") >= start - F.expr(f"interval {days} days")))
     have = F.greatest(F.timestamp_diff("SECOND", F.col("first"), start) / 86400.0, F.lit(0.0))
     slots = F.floor(F.least(have, F.lit(float(days))) * 24)
     marked = hours.join(first, how="cross").withColumns({"_have": have, "_slots": slots, "_last": F.col("hour") == start})  # first is one row

@@ -14,6 +14,7 @@ from visitlens.plans.fixture import HOST, Tables, tables
 from visitlens.sources import archive, logs
 from visitlens.sources.shared import new_folder
 from visitlens.streaming import jobs
+from visitlens.streaming.state import EvidenceState, HourlyRollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -259,7 +260,7 @@ def judged(t: Tables) -> DataFrame:
 
 @query()
 def evidence(t):
-    return judged(t)
+    return judged(t).drop("agent_mask").join(classify.agent_texts(t.visits), "ip")
 
 
 @query()
@@ -607,3 +608,40 @@ def stream_newcomers(t):
     spark = t.visits.sparkSession
     jobs.each_batch(spark.readStream.schema(later.schema).parquet(source), work, new_folder(spark, "newcomers-state"), {"availableNow": True}).awaitTermination()
     return stamped(spark.read.parquet(sink).select("ip", "first_seen"))
+
+
+def in_batches(frame: DataFrame, name: str, parts: int, work: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over a table in ``parts`` batches, rows dealt by their id."""
+    spark = frame.sparkSession
+    source = new_folder(spark, f"{name}-in")
+    for i in range(parts):
+        frame.filter(F.col("id") % parts == i).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.each_batch(stream, work, new_folder(spark, f"{name}-mark"), {"availableNow": True}).awaitTermination()
+
+
+@query()
+def stream_classified(t):
+    """Classes from evidence that is kept batch by batch: the last verdict on each address."""
+    spark = t.visits.sparkSession
+    sink = new_folder(spark, "judged")
+    state = EvidenceState(spark, new_folder(spark, "evidence"), HOST, ("/pages/cv",), buckets=16)
+    work = jobs.judge_active(state, lambda: t.dim, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{sink}/part={n}"), compact_every=2)
+    in_batches(t.visits, "judged", 3, work)
+    last = spark.read.parquet(sink).groupBy("ip").agg(F.max_by(F.struct("visitor_class", "why", "source"), "batch").alias("v"))
+    return last.select("ip", "v.*")
+
+
+@query()
+def stream_alarm(t):
+    """The alarm of an hour with many probing requests, from hourly totals that are kept batch by batch."""
+    spark = t.visits.sparkSession
+    sink = new_folder(spark, "alarms")
+    odd = F.col("id") % 40 == 0
+    moment = F.expr("timestamp_ntz '2024-01-20 11:00:00' + make_dt_interval(0, 0, 0, id % 3600)")
+    spiked = t.visits.withColumns({"ts": F.when(odd, moment).otherwise(F.col("ts")), "path": F.when(odd, "/.env").otherwise(F.col("path")), "status": F.when(odd, 404).otherwise(F.col("status"))})
+    rollup = HourlyRollup(spark, new_folder(spark, "rollup"))
+    work = jobs.hourly_alarm(rollup, lambda: NOW, lambda df, n: df.write.mode("overwrite").parquet(f"{sink}/part={n}"))
+    in_batches(spiked.select("id", "ip", "ts", "path", "status"), "alarms", 2, work)
+    found = spark.read.parquet(sink)
+    return found.filter(F.col("part") == 1).drop("part")

@@ -247,6 +247,10 @@ _BASE = f"""{_HOURS.format(where="ts < TIMESTAMP '2024-01-20 12:00:00' AND ts >=
   base AS (SELECT *, round(requests / nullif(typical_requests, 0), 1) AS requests_factor, round(probing_addresses / nullif(typical_probing, 0), 1) AS probing_factor, requests >= 10 AND requests >= 3 * typical_requests AND enough_history AS requests_unusual,
   probing_addresses >= 10 AND probing_addresses >= 3 * typical_probing AND enough_history AS probing_unusual FROM b0)"""
 HOURLY_BASELINE = f"{SQL}, {_BASE} SELECT * FROM base"
+STREAM_CLASSIFIED = CLASSIFIED
+#: Every 40th visit falls into one hour and probes.
+STREAM_ALARM = f"""{SQL}, calm AS (SELECT * FROM visits), spiked AS (SELECT * REPLACE (CASE WHEN id % 40 = 0 THEN TIMESTAMP '2024-01-20 11:00:00' + to_seconds(id % 3600) ELSE ts END AS ts,
+  CASE WHEN id % 40 = 0 THEN '/.env' ELSE path END AS path, CASE WHEN id % 40 = 0 THEN 404 ELSE status END AS status) FROM calm), {_BASE.replace('FROM visits', 'FROM spiked')} SELECT * FROM base WHERE requests_unusual OR probing_unusual"""
 
 # ---- exposure, hosts, places ------------------------------------------------------------------------
 

@@ -16,6 +16,7 @@ from visitlens.functions import columns as C
 from visitlens.functions import needles as N
 from visitlens.operators import baseline, classify
 from visitlens.sources import logs
+from visitlens.streaming.state import EvidenceState, HourlyRollup
 
 LATE = "10 minutes"
 
@@ -53,7 +54,7 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkp
 
 
 def reclassify_active(read_visits: Callable[[], DataFrame], read_dim: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], **how) -> Callable[[DataFrame, int], None]:
-    """Per batch: judge the addresses that were active in it anew, on all their visits. A batch that is run again writes the same."""
+    """Per batch: judge the addresses that were active in it anew, on all their stored visits, which are read again: for histories that are short. See ``judge_active``."""
 
     def work(batch: DataFrame, number: int) -> None:
         active = batch.select("ip").distinct()
@@ -64,7 +65,7 @@ def reclassify_active(read_visits: Callable[[], DataFrame], read_dim: Callable[[
 
 
 def alarm(read_visits: Callable[[], DataFrame], now: Callable[[], str], write: Callable[[DataFrame, int], None], **how) -> Callable[[DataFrame, int], None]:
-    """Per batch: the last full hour against the stored history, written where it is unusual."""
+    """Per batch: the last full hour against the stored visits, written where it is unusual. See ``hourly_alarm`` for long histories."""
 
     def work(batch: DataFrame, number: int) -> None:
         write(baseline.hourly_baseline(read_visits(), now(), **how).filter("requests_unusual or probing_unusual"), number)
@@ -72,6 +73,37 @@ def alarm(read_visits: Callable[[], DataFrame], now: Callable[[], str], write: C
     return work
 
 
+def judge_active(state: EvidenceState, read_dim: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], compact_every: int = 50) -> Callable[[DataFrame, int], None]:
+    """Per batch: judge the addresses that were active in it anew, on all their visits so far.
+
+    The visits before aren't read: a batch adds to the state, and what is read of the state are the folders of the batch's
+    addresses. A batch that is run again writes the same.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        state.add(held, number)
+        judged = classify.classify(state.evidence(held, read_dim()))
+        write(judged.select("ip", "visitor_class", "why", "source", "last_id"), number)
+        held.unpersist()
+        if number % compact_every == compact_every - 1:
+            state.compact(number)
+
+    return work
+
+
+def hourly_alarm(rollup: HourlyRollup, now: Callable[[], str], write: Callable[[DataFrame, int], None], **how) -> Callable[[DataFrame, int], None]:
+    """Per batch: add it to the hours, then the last full hour against the hours before it, written where it is unusual."""
+
+    def work(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        rollup.add(held, number)
+        write(rollup.baseline(now(), **how).filter("requests_unusual or probing_unusual"), number)
+        held.unpersist()
+
+    return work
+
+
 def newcomers(read_known: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """Per batch: addresses never seen before, with their first request."""
 
