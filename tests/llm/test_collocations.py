@@ -8,7 +8,7 @@ import pytest
 
 from tests.llm.corpora import ODD, SCHEMA
 from visitlens.llm import collocations
-from visitlens.llm.collocations import mine_collocations
+from visitlens.llm.collocations import best, mine_collocations, score_phrases
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -68,26 +68,12 @@ def test_equals_a_brute_force_count(spark, seed, how):
         assert any(" ".join(re.split(r"[ \t.,;:!?\x0a-\x0d]+", t.translate(UPPER).strip(" \t.,;:!?\n\r\x0b\x0c"))[r.example_word :]).startswith(r.phrase) for t in texts[r.example_doc])
 
 
-def test_fingerprints_that_collide_do_no_harm(spark, monkeypatch):
+@pytest.mark.parametrize("width", [6, 14])
+def test_fingerprints_that_collide_do_no_harm(spark, width):
     data = corpus(4, 60)
-    grams = collocations.Slice.grams
-
-    def coarse(self, n):
-        prints, ok = grams(self, n)
-        return prints & collocations.np.uint64(31), ok
-
-    monkeypatch.setattr(collocations.Slice, "grams", coarse)
-    s = collocations.Slice([(d[1] or "").encode() for d in data], [d[2] or "und" for d in data])
-    for n in (2, 3):
-        prints, ok = s.grams(n)
-        at = collocations.np.flatnonzero(ok)
-        found = Counter()
-        for where, f in s.groups(n, at, prints):
-            for p, c in zip(where.tolist(), f.tolist(), strict=True):
-                key = (s.langs[p], *s.ids[p : p + n].tolist())
-                assert key not in found
-                found[key] = c
-        assert found == Counter((s.langs[p], *s.ids[p : p + n].tolist()) for p in at.tolist())
+    counts = collocations.count_phrases(spark.createDataFrame(data, SCHEMA).repartition(3), 4, bits=1 << 16, width=width)
+    got = best(score_phrases(counts)).collect()
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == brute(data, 4) and len(got) > 40
 
 
 def test_large_counts_stay_exact(spark):

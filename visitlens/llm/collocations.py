@@ -1,26 +1,28 @@
 """Phrase collocations of each language, by Rabin-Karp fingerprints.
 
-Words get polynomial codes from prefix sums, and prefix sums of those give the fingerprint of every n-gram in numpy. What is counted by a
-shuffle are fingerprints, summed within each task first. The texts are read four times:
+Words get polynomial codes from prefix sums over bytes, and prefix sums of those give the fingerprint of every n-gram in numpy. Fingerprints and
+where one occurrence stands are what a shuffle aggregates, summed within each slice of texts and each task first. The texts are read four times:
 
 1. words, with their text, and how many words each language has;
 2. fingerprints of the word pairs whose two words are frequent;
-3. fingerprints of longer n-grams whose pairs are all frequent (an n-gram is no more frequent than its parts);
-4. frequent fingerprints aggregate with an occurrence pointer: within a slice of texts each occurrence is compared word by word with the
-   one that its group points to, other texts of the same fingerprint form groups of their own, the text is read at the pointer, and
-   the groups of all slices are summed by text. So counts are exact, whatever fingerprints collide, and only phrases that
-   pass as frequent are ever written out.
+3. n-grams whose pairs are all frequent (an n-gram is no more frequent than its parts): fingerprint, count, an occurrence pointer (a code of one place in one
+   document), and the least and greatest of a second, independent fingerprint;
+4. the text at the pointers of frequent fingerprints: a phrase is written out once.
 
-"Frequent" travels as a bit for each fingerprint modulo ``FILTER_BITS``, 16 MB whatever the input. A set bit of another fingerprint
+Where the second fingerprint's least and greatest differ, a fingerprint has several texts; another scan counts those by their text, compared word by word
+with what each slice's group points to. So a count is wrong only if two texts agree in 128 bits.
+
+"Frequent" travels as a bit for each fingerprint (or pointer) modulo ``FILTER_BITS``, 16 MB whatever the input. A set bit of another one
 only sends more to the next shuffle; it never changes a count.
 
 Defined results: a null text is empty, a null language is ``und``, and the two share their counts. Repeated rows count as often as they
-stand there. Only doc_id, lang and text are read, further columns are ignored; doc_id (null too) serves the example alone.
+stand there. Only doc_id, lang and text are read, further columns are ignored; doc_id (null too) serves pointers and examples alone.
 Phrases with equal score and count are in UTF-8 byte order. Of an empty table no row is returned. A word may be of any length.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, as_bytes, joined, mixed, partitions, prepare, slices, word_codes, written
+from .common import BYTE_CODES, Runs, as_bytes, joined, mixed, partitions, prepare, slices, word_codes, written
 
 MIN_COUNT = 100
 LONGEST = 5
@@ -38,64 +40,78 @@ FILTER_BITS = 1 << 27
 SLICE = 8 << 20
 SALTS = 64
 UNKNOWN = "und"
+SECOND_CODES = mixed(BYTE_CODES * np.uint64(3))
 #: A-Z as a-z, the ends of pieces as line feeds, tabs as spaces.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
 
 class Slice:
-    """The words of some texts: exact numbers, codes that tell languages apart, pieces."""
-
-    def __init__(self, texts: list[bytes], langs: list[str]):
-        data, starts = joined([t.translate(_FOLD) + b"\n" for t in texts])
-        gap = (data == 0x20) | (data == 0x0A)
-        first = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-        number: dict[bytes, int] = {}
-        found = data.tobytes().split()
-        self.ids = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found))
-        self.words = list(number)
-        self.pieces = np.cumsum(data == 0x0A)[first]
-        self.texts = np.searchsorted(starts, first, side="right") - 1
-        self.first_word = np.searchsorted(first, starts)
-        self.names = sorted(set(langs))
-        place = {x: i for i, x in enumerate(self.names)}
-        of_text = np.fromiter((place[x] for x in langs), np.int64, len(langs))
+    """The words of some texts: codes that tell languages apart, pieces, places."""
+
+    def __init__(self, texts: list[bytes], langs: list[str], width: int = 64):
+        self.data, starts = joined([t.translate(_FOLD) + b"\n" for t in texts])
+        gap = (self.data == 0x20) | (self.data == 0x0A)
+        edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1))
+        self.first, self.last, self.width = edge[0::2], edge[1::2], width
+        runs = Runs(BYTE_CODES[self.data])
+        self.pieces = np.cumsum(self.data == 0x0A)[self.first]
+        self.texts = np.searchsorted(starts, self.first, side="right") - 1
+        self.first_word = np.searchsorted(self.first, starts)
+        self.names, seeds, of_text = _languages(langs)
         self.langs = of_text[self.texts]
-        self.plain = word_codes(self.words)[0]
-        seeds = mixed(word_codes([b"#" + x.encode().hex().encode() for x in self.names])[0])
-        self.codes = mixed(self.plain[self.ids] ^ seeds[self.langs])
+        self.seeds = seeds[self.langs]
+        self.codes = mixed(runs.between(self.first, self.last) ^ self.seeds)
+        self.whole = runs.between(starts[:-1], starts[1:])
 
-    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of one occurrence of each (language, word), and their counts."""
-        _, at, n = np.unique(self.langs * len(self.words) + self.ids, return_index=True, return_counts=True)
-        return at, n, self.codes[at]
+    def second_codes(self) -> np.ndarray:
+        """Word codes of another polynomial."""
+        return mixed(Runs(SECOND_CODES[self.data]).between(self.first, self.last) ^ self.seeds)
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, n: int, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprint of the n-gram at each place, and whether one piece holds it."""
         if len(self.codes) < n:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        if n == 1:
-            return self.codes, np.ones(len(self.codes), bool)
-        return mixed(Runs(self.codes).of(n) + np.uint64(n)), self.pieces[n - 1 :] == self.pieces[: len(self.pieces) - n + 1]
+        one_piece = self.pieces[n - 1 :] == self.pieces[: len(self.pieces) - n + 1]
+        if codes is not None:
+            return mixed(Runs(codes).of(n) + np.uint64(n)), one_piece
+        prints = self.codes if n == 1 else mixed(Runs(self.codes).of(n) + np.uint64(n))
+        return prints & np.uint64((1 << self.width) - 1), one_piece
+
+    def places(self, at: np.ndarray, ids: list) -> np.ndarray:
+        """Codes of places: document, whole text, word."""
+        of_doc = mixed(np.array([0 if x is None else x for x in ids], np.int64).view(np.uint64) + np.uint64(1))
+        doc = self.texts[at]
+        return mixed(mixed(self.whole ^ of_doc)[doc] + (at - self.first_word[doc]).astype(np.uint64))
+
+    def phrase(self, at: int, n: int) -> bytes:
+        return b" ".join([self.data[a:b].tobytes() for a, b in zip(self.first[at : at + n].tolist(), self.last[at : at + n].tolist(), strict=True)])
 
     def groups(self, n: int, at: np.ndarray, prints: np.ndarray):
-        """(pointers, counts) of the different n-grams at these places; those that share a fingerprint with another text come in a later turn."""
+        """(pointers, counts) of the n-grams at these places told apart by their text: each is compared with the one its group points to, the others come in a later turn."""
+        texts = {i: self.phrase(i, n) for i in at.tolist()}
         while len(at):
-            _, pointer, group = np.unique(prints[at], return_index=True, return_inverse=True)
-            same = np.ones(len(at), bool)
-            for j in range(n):
-                same &= self.ids[at + j] == self.ids[at[pointer][group] + j]
-            same &= self.langs[at] == self.langs[at[pointer][group]]
-            yield at[pointer], np.bincount(group[same], minlength=len(pointer))
+            _, pointer, group = np.unique(np.stack([prints[at], self.langs[at].astype(np.uint64)]), axis=1, return_index=True, return_inverse=True)
+            group = group.reshape(-1)
+            pointed = at[pointer]
+            same = np.fromiter((texts[i] == texts[j] for i, j in zip(at.tolist(), pointed[group].tolist(), strict=True)), bool, len(at))
+            yield pointed, np.bincount(group[same], minlength=len(pointer))
             at = at[~same]
 
 
-def _of(batches):
-    """Slices of whole texts with their ids."""
+def _languages(langs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names of the languages, a code of each, and the number of each text's."""
+    names = sorted(set(langs))
+    place = {x: i for i, x in enumerate(names)}
+    return names, mixed(word_codes([b"#" + x.encode().hex().encode() for x in names])[0]), np.fromiter((place[x] for x in langs), np.int64, len(langs))
+
+
+def _texts(batches):
+    """Slices of whole texts with their languages and ids."""
     for batch in batches:
         texts, ids = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
         langs = [UNKNOWN if x is None else x for x in batch.column("lang").to_pylist()]
         for a, b in slices(texts, SLICE):
-            yield Slice(texts[a:b], langs[a:b]), ids[a:b]
+            yield texts[a:b], langs[a:b], ids[a:b]
 
 
 def _table(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -104,13 +120,23 @@ def _table(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 _WORDS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("code", pa.int64()), ("f", pa.int64())])
 _PRINTS = pa.schema([("code", pa.int64()), ("f", pa.int64())])
-_PHRASES = pa.schema([("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.binary()), ("f", pa.int64()), ("doc_id", pa.int64()), ("word", pa.int64())])
+_POINTERS = pa.schema([*_PRINTS, ("place", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+_TEXTS = pa.schema([("code", pa.int64()), ("place", pa.int64()), ("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.binary()), ("f", pa.int64()), ("doc_id", pa.int64()), ("word", pa.int64())])
+_SQL = {pa.string(): "string", pa.binary(): "binary", pa.int64(): "long", pa.int32(): "int"}
+
+
+def _scan(docs: DataFrame, work, schema: pa.Schema) -> DataFrame:
+    return docs.mapInArrow(work, ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema))
 
 
 def _count_words(batches):
-    for s, _ in _of(batches):
-        at, n, codes = s.counted()
-        yield _table(_WORDS, [s.names[i] for i in s.langs[at]], [s.words[i] for i in s.ids[at]], codes.view(np.int64), n)
+    """Words of each language with their text, counted."""
+    for texts, langs, _ in _texts(batches):
+        names, seeds, of_text = _languages(langs)
+        for i, name in enumerate(names):
+            counts = Counter(b"\n".join([texts[j] for j in np.flatnonzero(of_text == i).tolist()]).translate(_FOLD).split())
+            codes = mixed(word_codes(list(counts))[0] ^ seeds[i])
+            yield _table(_WORDS, [name] * len(counts), list(counts), codes.view(np.int64), list(counts.values()))
 
 
 def _bits(packed: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -119,52 +145,87 @@ def _bits(packed: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return (packed[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _count_prints(passing, part: int, sizes: range):
-    """Counts of the fingerprints of these sizes whose parts of size ``part`` all pass."""
+def _count_pairs(words, width: int):
+    """Counts of the pairs whose two words pass."""
+
+    def count(batches):
+        for texts, langs, _ in _texts(batches):
+            s = Slice(texts, langs, width)
+            prints, ok = s.grams(2)
+            frequent = _bits(words.value, s.codes)
+            found, f = np.unique(prints[ok & frequent[1:] & frequent[:-1]] if len(prints) else prints, return_counts=True)
+            yield _table(_PRINTS, found.view(np.int64), f)
+
+    return count
+
+
+def _count_grams(pairs, sizes: range, width: int):
+    """Counts, pointers and second fingerprints of the n-grams whose pairs pass."""
 
     def count(batches):
-        packed = passing.value
-        for s, _ in _of(batches):
-            prints, _ = s.grams(part)
-            ok = _bits(packed, prints) if len(prints) else np.zeros(0, bool)
+        for texts, langs, ids in _texts(batches):
+            s = Slice(texts, langs, width)
+            frequent = _bits(pairs.value, s.grams(2)[0])
+            second = s.second_codes()
             for n in sizes:
-                prints, one_piece = s.grams(n)
-                if not len(prints):
-                    continue
-                for j in range(n - part + 1):
-                    one_piece = one_piece & ok[j : j + len(prints)]
-                found, f = np.unique(prints[one_piece], return_counts=True)
-                if len(found):
-                    yield _table(_PRINTS, found.view(np.int64), f)
+                prints, ok = s.grams(n)
+                for j in range(n - 1):
+                    ok = ok & frequent[j : j + len(prints)]
+                at = np.flatnonzero(ok)
+                if len(at):
+                    at = at[np.argsort(prints[at], kind="stable")]
+                    start = np.flatnonzero(np.diff(prints[at], prepend=~prints[at[:1]]))
+                    other = s.grams(n, second)[0][at].view(np.int64)
+                    least = np.minimum.reduceat
+                    yield _table(_POINTERS, prints[at[start]].view(np.int64), np.diff(start, append=len(at)), least(s.places(at, ids).view(np.int64), start), least(other, start), np.maximum.reduceat(other, start))
 
     return count
 
 
-def _point(passing, sizes: range):
-    """Different n-grams whose fingerprint passes, counted, with their text and the first place in the slice."""
+def _found(s: Slice, n: int, where: np.ndarray, prints: np.ndarray, places: np.ndarray, f: np.ndarray, ids: list) -> pa.RecordBatch:
+    doc = s.texts[where]
+    return _table(_TEXTS, prints[where].view(np.int64), places.view(np.int64), [s.names[i] for i in s.langs[where]], np.full(len(where), n, np.int32), [s.phrase(i, n) for i in where.tolist()], f, [ids[i] for i in doc], where - s.first_word[doc])
+
 
-    def point(batches):
-        packed = passing.value
-        for s, ids in _of(batches):
+def _read_pointers(codes, places, sizes: range, width: int):
+    """Texts at the places that are pointed to."""
+
+    def read(batches):
+        for texts, langs, ids in _texts(batches):
+            s = Slice(texts, langs, width)
             for n in sizes:
-                prints, one_piece = s.grams(n)
-                at = np.flatnonzero(one_piece)
-                at = at[_bits(packed, prints[at])]
-                for where, f in s.groups(n, at, prints):
-                    phrases = [b" ".join([s.words[i] for i in row]) for row in s.ids[where[:, None] + np.arange(n)].tolist()]
-                    doc = s.texts[where]
-                    yield _table(_PHRASES, [s.names[i] for i in s.langs[where]], np.full(len(where), n, np.int32), phrases, f, [ids[i] for i in doc], where - s.first_word[doc])
+                prints, ok = s.grams(n)
+                at = np.flatnonzero(ok)
+                at = at[_bits(codes.value, prints[at])]
+                where = s.places(at, ids)
+                hit = _bits(places.value, where)
+                yield _found(s, n, at[hit], prints, where[hit], np.zeros(hit.sum(), np.int64), ids)
+
+    return read
+
 
-    return point
+def _count_texts(codes, sizes: range, width: int):
+    """Counts by text of the n-grams whose fingerprint passes."""
+
+    def count(batches):
+        for texts, langs, ids in _texts(batches):
+            s = Slice(texts, langs, width)
+            for n in sizes:
+                prints, ok = s.grams(n)
+                at = np.flatnonzero(ok)
+                for where, f in s.groups(n, at[_bits(codes.value, prints[at])], prints):
+                    yield _found(s, n, where, prints, s.places(where, ids), f, ids)
+
+    return count
 
 
-def _filter(prints: DataFrame, bits: int) -> np.ndarray:
-    """One bit a fingerprint, modulo ``bits``: at most bits / 64 rows of 64 bits reach the driver."""
-    place = F.col("code").bitwiseAND(bits - 1)
+def _filter(rows: DataFrame, bits: int, column: str = "code") -> np.ndarray:
+    """One bit a code, modulo ``bits``: at most bits / 64 rows of 64 bits reach the driver."""
+    place = F.col(column).bitwiseAND(bits - 1)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
-    rows = prints.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    found = rows.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).toArrow()
     packed = np.zeros(bits // 64, np.uint64)
-    packed[rows["cell"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    packed[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return packed
 
 
@@ -186,27 +247,34 @@ class Counts:
     totals: DataFrame
 
 
-def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, bits: int = FILTER_BITS) -> Counts:
+def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, bits: int = FILTER_BITS, width: int = 64) -> Counts:
     """Exact counts of all words, and of all phrases of 2 to ``longest`` words with at least ``min_count`` occurrences.
 
-    Phrases are binary (UTF-8, words joined by one space), with the first place (doc_id, word) of the smallest doc_id as an example.
+    Phrases are binary (UTF-8, words joined by one space), with a place (doc_id, word) as an example. ``width`` is that of the first fingerprint; tests make it small.
     """
     spark = prepare(docs.sparkSession)
-    sc = spark.sparkContext
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    words = written(texts.mapInArrow(_count_words, "lang string, phrase binary, code long, f long").groupBy("lang", "phrase", "code").agg(F.sum("f").alias("f")))
-    frequent = lambda df: df.groupBy("code").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
-    scan = lambda passing, part, sizes: frequent(texts.mapInArrow(_count_prints(passing, part, sizes), "code long, f long"))
-    singles = sc.broadcast(_filter(words.filter(F.col("f") >= min_count), bits))
-    pairs = _filter(scan(singles, 1, range(2, 3)), bits)
-    held = sc.broadcast(pairs)
-    longer = _filter(scan(held, 2, range(3, longest + 1)), bits) if longest > 2 else np.zeros_like(pairs)
-    passing = sc.broadcast(pairs | longer)
-    found = texts.mapInArrow(_point(passing, range(2, longest + 1)), "lang string, n_words int, phrase binary, f long, doc_id long, word long")
-    by_text = found.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"), F.min(F.struct("doc_id", "word")).alias("example"))
-    phrases = written(by_text.filter(F.col("f") >= min_count))
-    for held_by_tasks in (singles, held, passing):
-        held_by_tasks.unpersist()
+    sent = []
+
+    def send(rows: DataFrame, column: str = "code"):
+        sent.append(spark.sparkContext.broadcast(_filter(rows, bits, column)))
+        return sent[-1]
+
+    texts, sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), range(2, longest + 1)
+    words = written(_scan(texts, _count_words, _WORDS).groupBy("lang", "phrase", "code").agg(F.sum("f").alias("f")))
+    many = F.col("f") >= min_count
+    pairs = _scan(texts, _count_pairs(send(words.filter(many)), width), _PRINTS).groupBy("code").agg(F.sum("f").alias("f")).filter(many)
+    grams = _scan(texts, _count_grams(send(pairs), sizes, width), _POINTERS).groupBy("code")
+    frequent = written(grams.agg(F.sum("f").alias("f"), F.min("place").alias("place"), F.min("low").alias("low"), F.max("high").alias("high")).filter(many))
+    alone, mixed_up = frequent.filter("low = high"), frequent.filter("low <> high")
+    example = F.struct("doc_id", "word").alias("example")
+    at = _scan(texts, _read_pointers(send(alone), send(alone, "place"), sizes, width), _TEXTS).drop("f")
+    phrases = at.join(alone.select("code", "place", "f"), ["code", "place"]).groupBy("code").agg(F.min(F.struct("lang", "n_words", "phrase", "f", example)).alias("x")).select("x.*")
+    if not mixed_up.isEmpty():
+        by_text = _scan(texts, _count_texts(send(mixed_up), sizes, width), _TEXTS).join(mixed_up.select("code"), "code", "left_semi")
+        phrases = phrases.unionByName(by_text.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"), F.min(example).alias("example")).filter(many))
+    phrases = written(phrases)
+    for filter_ in sent:
+        filter_.unpersist()
     return Counts(words.select("lang", "phrase", "f"), phrases, words.groupBy("lang").agg(F.sum("f").alias("n")))
 
 

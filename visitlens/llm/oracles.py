@@ -41,4 +41,13 @@ b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k)
 o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM b WHERE nth = 1)
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM o WHERE rank <= 2000
 """
-ORACLES: dict[str, str] = {"op1_quality_cascade": ORACLE, "op3_warc_transactions": CAPTURES, "op6_substring_dedup": SUBSTRINGS, "op7_circulant_minhash": NEAR, "op11_collocations": COLLOCATIONS}
+NEGATIVES = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS nth FROM s WHERE same),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM s JOIN p USING (anchor_id) WHERE NOT same AND nth <= 5 AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+ORACLES: dict[str, str] = {"op1_quality_cascade": ORACLE, "op3_warc_transactions": CAPTURES, "op6_substring_dedup": SUBSTRINGS, "op7_circulant_minhash": NEAR, "op11_collocations": COLLOCATIONS, "op13_hard_negatives": NEGATIVES}

@@ -13,8 +13,10 @@ from .common import read
 from .html_text import extract_text
 from .licenses import scan_licenses
 from .minhash import near_duplicates
+from .negatives import mine_negatives
 from .packing import pack_documents
 from .quality import judge_quality
+from .secret_scan import scan_secrets
 from .sketches import fingerprints
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
@@ -68,6 +70,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_collocations(read(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read(spark, sf_dir, "documents")).drop("findings")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_negatives(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,5 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_license_signatures,
         op10_bottom_k,
         op11_collocations,
+        op12_secret_scan,
+        op13_hard_negatives,
     )
 }
