@@ -78,7 +78,7 @@ def test_bounds_spare_scores(monkeypatch):
 def test_edges(spark):
     assert mined(spark, []) == []
     nan, inf = float("nan"), float("inf")
-    odd = [(None, [1.0, 1.0], 1), (None, [0.5, 0.5], 2), (0, [1.0, 1.0], 1), (0, [1.0, 1.0], 1), (100, None, 1), (200, [1.0, None], 1), (300, [nan, 1.0], 1), (400, [inf, 1.0], 1), (1, [0.8, 0.8], 2), (2, [0.5, 0.5], None), (3, [], 2), (500, [], 3), (4, [1.0, 1.0, 1.0], 2), (1, [0.8, 0.8], 2)]
+    odd = [(None, [1.0, 1.0], 2), (None, [0.5, 0.5], 3), (0, [1.0, 1.0], 1), (0, [1.0, 1.0], 1), (100, None, 1), (200, [1.0, None], 1), (300, [nan, 1.0], 1), (400, [inf, 1.0], 1), (1, [0.8, 0.8], 1), (2, [0.5, 0.5], None), (3, [], 2), (500, [], 3), (4, [1.0, 1.0, 1.0], 2), (1, [0.8, 0.8], 1)]
     want = brute(odd)
     assert mined(spark, odd) == want and any(r[1] is None for r in want) and any(r[3] is None for r in want)
     large = [(i, [3e9 * (i % 5 + 1), -2e9, 1.0], i % 3) for i in range(0, 300, 5)]

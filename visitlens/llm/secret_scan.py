@@ -44,7 +44,7 @@ CUES = tuple(x.encode() for x in ("pass", "pwd", "secret", "token", "key", "cred
 _NAMES = r"pass(?:word|wd|phrase|code|wort)?|pwd|secret|token|(?:api|access|private|secret)[ _-]?key|credentials?|auth(?:orization)?|bearer|kennwort|contrase(?:ñ|Ñ|n)a|clave|mot de passe"
 CONTEXT = re.compile(rf"(?<![A-Za-z])(?i:(?:[a-z]{{2,12}}[_-]){{0,3}}(?:{_NAMES}))[\"']?[ \t]{{0,4}}(?:=>|:=|[:=]|(?i:is|ist|est|es)(?=[ \t]))[ \t]{{0,4}}(?:(?i:bearer|basic)[ \t]{{1,4}})?[\"'`]?([^\x00-\x20\"'`<>]+)".encode())
 IN_URL = re.compile(rb"://[^\x00-\x20/:@]+:([^\x00-\x20/@]+)@")
-REFERENCE = re.compile(rb"[(){}\[\]]|\$\w|%\w\b|^\*+$|^[xX.]+$")
+REFERENCE = re.compile(rb"^[$%]\w+%?$|\$\{|\{\{|^[\w.:>-]+[(\[]|^\*+$|^[xX.]+$")
 _TAIL = b",.;:!?|"
 
 
