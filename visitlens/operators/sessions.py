@@ -11,14 +11,35 @@ SESSION_GAP = 1800
 SIGNATURE_PATHS = 5
 INCIDENT_GAP = 86_400
 MIN_ADDRESSES = 3
+#: Seconds of a block of a key's rows.
+BLOCK = 21_600
 
 
-def sessionize(rows: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
+def segmented(rows: DataFrame, key: str, at: str, order: list[str], gap: int, name: str, block: int = BLOCK) -> DataFrame:
+    """Rows with ``name``: runs of a key, numbered from 1, where a gap of more than ``gap`` seconds in column ``at`` starts the next.
+
+    A segmented scan: rows are put in order within (key, block of time), so a key with any number of rows spreads over its blocks; what a block passes on
+    is one row, its ends and how many runs begin inside, and the blocks of a key are stitched at their edges.
+    """
+    gone = lambda a, b: F.timestamp_diff("SECOND", a, b)
+    w = Window.partitionBy(key, "_block").orderBy(*order)
+    before = F.lag(at).over(w)
+    blocked = rows.withColumn("_block", F.floor(gone(F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at)) / block))
+    marked = blocked.withColumn("_new", C.flag(F.lag(F.lit(1)).over(w).isNotNull() & (before.isNull() | F.col(at).isNull() | (gone(before, F.col(at)) > gap))))
+    edges = marked.groupBy(key, "_block").agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.sum("_new").alias("_inside"))
+    b = Window.partitionBy(key).orderBy("_block")
+    apart = gone(F.lag("_last").over(b), F.col("_first"))
+    edges = edges.withColumn("_starts", C.flag(apart.isNull() | (apart > gap)))
+    earlier = F.coalesce(F.sum(F.col("_starts") + F.col("_inside")).over(b.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), (earlier + F.col("_starts")).alias("_offset"))
+    inner = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    both = inner.join(edges, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_at")))
+    return both.withColumn(name, (F.col("_offset") + F.col("_run")).cast("long")).drop("_block", "_new", "_run", "_key", "_at", "_offset")
+
+
+def sessionize(rows: DataFrame, gap: int = SESSION_GAP, block: int = BLOCK) -> DataFrame:
     """session_no per address: a gap of more than ``gap`` seconds starts the next."""
-    w = Window.partitionBy("ip").orderBy("ts", "id")
-    seconds = F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts"))
-    marked = rows.withColumn("_new", C.flag(seconds.isNull() | (seconds > gap)))
-    return marked.withColumn("session_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+    return segmented(rows, "ip", "ts", ["ts", "id"], gap, "session_no", block)
 
 
 def session_facts(rows: DataFrame, gap: int = SESSION_GAP, host: str = "") -> DataFrame:
@@ -73,11 +94,9 @@ def probe_sessions(visits: DataFrame, gap: int = SESSION_GAP, paths: int = SIGNA
     return spans.filter(F.size("first_paths") == paths).withColumn("signature", F.array_join("first_paths", "\n")).drop("first_paths")
 
 
-def chained(spans: DataFrame, gap: int = INCIDENT_GAP) -> DataFrame:
+def chained(spans: DataFrame, gap: int = INCIDENT_GAP, block: int = BLOCK) -> DataFrame:
     """Spans with incident_no: sessions of one signature whose starts are at most ``gap`` seconds apart."""
-    w = Window.partitionBy("signature").orderBy("started", "ip")
-    seconds = F.timestamp_diff("SECOND", F.lag("started").over(w), F.col("started"))
-    return spans.withColumn("_new", C.flag(seconds.isNull() | (seconds > gap))).withColumn("incident_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+    return segmented(spans, "signature", "started", ["started", "ip"], gap, "incident_no", block)
 
 
 def incidents(visits: DataFrame, dim: DataFrame, session_gap: int = SESSION_GAP, paths: int = SIGNATURE_PATHS, incident_gap: int = INCIDENT_GAP, min_addresses: int = MIN_ADDRESSES, limit: int | None = None) -> DataFrame:
