@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import log10
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, prepare
+from .common import as_bytes, prepare, written
 
 MIN_GUESSES = 12.0
 WORDS = 100_000
@@ -222,8 +223,13 @@ def _count(batches):
 
 def learn_words(docs: DataFrame, words: int = WORDS) -> Guesser:
     """Ranks by how often the whole corpus has a word; ``words`` of them, ties by their bytes."""
-    counts = docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    ranked = counts.orderBy(F.col("n").desc(), "word").limit(words).select("word").toArrow()["word"].to_pylist()
+    counts = written(docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # steps of a hundredth of e: some 4,400 for any counts; what is sorted are the words above the step where the first ``words`` end
+    step = F.floor(F.ln("n") * 100)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).toArrow().sort_by([("step", "descending")]).to_pylist()
+    above = list(accumulate(x["n"] for x in sizes))
+    least = next((x["step"] for x, n in zip(sizes, above, strict=True) if n >= words), -1)
+    ranked = counts.filter(step >= least).orderBy(F.col("n").desc(), "word").limit(words).select("word").toArrow()["word"].to_pylist()
     first = [x.encode() for x in COMMON]
     return Guesser({w: i + 1 for i, w in enumerate(dict.fromkeys([*first, *ranked]))})
 
