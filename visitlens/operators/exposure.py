@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from visitlens.functions import columns as C
 from visitlens.functions import needles as N
+from visitlens.sources.shared import written
 
 BENIGN_ADDRESSES = 2
 
@@ -17,24 +18,27 @@ BENIGN_ADDRESSES = 2
 def served(visits: DataFrame, dim: DataFrame, since: str | None = None, until: str | None = None, js_prefixes: tuple[str, ...] = (), benign: int = BENIGN_ADDRESSES) -> DataFrame:
     """Resources answered with 2xx in the window, by decoded path, findings marked.
 
-    Counts are of the window, benign addresses of all time. Every spelling of a resource counts as the resource.
+    Counts are of the window, benign addresses of all time. Every spelling of a resource counts as the resource. The visits are read once: they fold
+    to (spelling, address), spellings are decoded after that, and one grouping by resource counts addresses, benign ones and spellings.
     """
-    ok = visits.filter(C.is_ok()).withColumn("spelling", F.col("path")).withColumn("path", C.canonical_path(F.col("path")))
-    trusted = dim.filter(F.col("visitor_class").isin(N.BENIGN_CLASSES)).select("ip")
-    ever = ok.join(trusted, "ip", "left_semi").groupBy("path").agg(F.countDistinct("ip").alias("benign_ips"))
-    window = C.windowed(ok, since, until).filter(~F.contains("spelling", F.lit("?")))
-    one = window.groupBy("path", "ip").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"), F.max("bytes_sent").alias("bytes_sent"))
+    asked = C.in_window(since, until) & ~F.contains("path", F.lit("?"))
+    inside = lambda c: F.when(asked, c)
+    by_spelling = visits.filter(C.is_ok()).groupBy(F.col("path").alias("spelling"), "ip").agg(
+        F.count(inside(F.lit(1))).alias("n"), F.min(inside(F.col("ts"))).alias("a"), F.max(inside(F.col("ts"))).alias("b"), F.max(inside(F.col("bytes_sent"))).alias("bytes_sent")
+    )
+    trusted = dim.filter(F.col("visitor_class").isin(N.BENIGN_CLASSES)).select("ip").distinct().withColumn("_trusted", F.lit(True))
+    of_path = by_spelling.withColumn("path", C.canonical_path(F.col("spelling"))).join(trusted, "ip", "left")
+    counted = F.col("n") > 0
     # spellings are as many as clients like: their number and two of them, not a list
-    spelt = window.select("path", "spelling").distinct().groupBy("path").agg(F.count("*").alias("spellings"), F.min("spelling").alias("first_spelling"), F.max("spelling").alias("last_spelling"))
-    found = one.groupBy("path").agg(
-        F.count("*").alias("ips"), F.sum("n").cast("long").alias("hits"), F.min("a").cast("string").alias("first_seen"), F.max("b").cast("string").alias("last_seen"), F.max("bytes_sent").alias("bytes_sent"),
-    )
-    found = found.join(spelt, "path").join(ever, "path", "left").withColumn("benign_ips", F.coalesce("benign_ips", F.lit(0)).cast("long"))
+    spelling = F.when(counted, F.col("spelling"))
+    found = of_path.groupBy("path").agg(
+        F.count_distinct(F.when(counted, F.col("ip"))).alias("ips"), F.sum("n").cast("long").alias("hits"), F.min("a").cast("string").alias("first_seen"), F.max("b").cast("string").alias("last_seen"), F.max("bytes_sent").alias("bytes_sent"),
+        F.count_distinct(spelling).alias("spellings"), F.min(spelling).alias("first_spelling"), F.max(spelling).alias("last_spelling"), F.count_distinct(F.when(F.col("_trusted"), F.col("ip"))).alias("benign_ips"),
+    ).filter("hits > 0")
     site = C.is_convention(F.col("path"))
     for p in js_prefixes:
         site = site | F.col("path").startswith(p)
-    # asked of what was counted, else Spark tests every request with the canonical form written out once for each pattern
-    return found.withColumn("is_site", F.when(F.col("hits") > 0, site)).withColumn("is_finding", ~F.col("is_site") & (F.col("benign_ips") < benign))
+    return found.withColumn("is_site", site).withColumn("is_finding", ~F.col("is_site") & (F.col("benign_ips") < benign))
 
 
 def exposures(*args, **how) -> DataFrame:
@@ -44,45 +48,46 @@ def exposures(*args, **how) -> DataFrame:
 def exposure_detail(visits: DataFrame, dim: DataFrame, findings: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
     """(path, section, key, value) for every finding: answers, methods, what the fetching addresses are, totals, what else they asked for.
 
-    Rows fold to (path, address) before anything meets the findings' addresses, so the context joins one row for each path
-    of an address, not its requests.
+    The visits are read once, beside what the findings read: they fold to (path, address, answer), a table in the shared folder. The findings' part of it is
+    another, and all sections come from these two: those that add up in one grouping of (section, key), the context from one row for each path
+    of a fetching address, not from its requests.
     """
     flags = ["is_tor", "is_proxy", "is_hosting", "dnsbl_listed", "has_tags"]
-    all_rows = C.windowed(visits, since, until).withColumn("canonical", C.canonical_path(F.col("path")))
-    named = findings.select(F.col("path").alias("canonical")).distinct()
-    rows, ok = all_rows.join(named, "canonical", "left_semi"), C.is_ok()
-    by_answer = rows.groupBy("canonical", "ip", "status", "server_port", "method", "user_agent", "browser").agg(
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    fold = C.windowed(visits, since, until).groupBy("path", "ip", "status", "server_port", "method", "user_agent", "browser").agg(
         F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"), F.min("bytes_sent").alias("smallest"), F.max("bytes_sent").alias("largest"), F.min("ts").alias("first"), F.max("ts").alias("last")
     )
-    hits = by_answer.filter(ok)
+    by_answer = written(fold.withColumn("canonical", C.canonical_path(F.col("path"))).drop("path"), "answers")
+    rows = written(by_answer.join(findings.select(F.col("path").alias("canonical")).distinct(), "canonical", "left_semi"), "findings")
+    ok = C.is_ok()
     known = dim.select("ip", "visitor_class", "country", "asn", "org", *flags)
-    fetched = hits.groupBy("canonical", "ip").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.min("first").alias("first"), F.max("last").alias("last"))
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    entry = lambda section, key: F.struct(F.lit(section).alias("section"), key.alias("key"))
+    fetched = rows.filter(ok).groupBy("canonical", "ip").agg(
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.min("first").alias("first"), F.max("last").alias("last"), F.collect_set(text("browser")).alias("browsers")
+    )
+    entry = lambda section, key, value=1: F.struct(F.lit(section).alias("section"), key.alias("key"), F.lit(value).cast("long").alias("value") if isinstance(value, int) else value.cast("long").alias("value"))
+    spread = lambda df, entries: df.select("canonical", F.explode(F.array_compact(F.array(*entries))).alias("x")).select("canonical", "x.*")
+    answers = spread(rows, [entry("answers", F.concat_ws(":", F.col("status").cast("string"), F.col("server_port").cast("string")), F.col("n")), entry("methods", F.concat("method", F.lit(" "), text("user_agent")), F.col("n"))])
     about = [entry("classes", F.coalesce(F.nullif("visitor_class", F.lit("")), F.lit("unknown"))), entry("countries", text("country")), entry("networks", text("asn")), entry("organisations", text("org"))]
     about += [F.when(F.col(f), entry("signals", F.lit(f))) for f in flags]
-    origins = fetched.join(known, "ip", "left").select("canonical", F.explode(F.array_compact(F.array(*about))).alias("x")).select("canonical", "x.*")
+    clients = fetched.select("canonical", F.explode("browsers").alias("key")).select("canonical", F.lit("clients").alias("section"), "key", F.lit(1).cast("long").alias("value"))
+    summed = reduce(DataFrame.unionByName, [answers, spread(fetched.join(known, "ip", "left"), about), clients]).groupBy("canonical", "section", "key").agg(F.sum("value").alias("value"))
     per = fetched.groupBy("canonical").agg(
         F.sum("bytes").alias("bytes"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.count("*").alias("addresses"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")
     )
-    valued = lambda section, key, value: F.struct(F.lit(section).alias("section"), key.alias("key"), value.cast("long").alias("value"))
-    totals = [valued("totals", F.lit(k), F.col(k)) for k in ("bytes", "smallest", "largest", "addresses")]
-    seen = valued("seen", F.concat(F.col("first").cast("string"), F.lit(" to "), F.col("last").cast("string")), F.col("n"))
-    refused = by_answer.filter("status = 404").groupBy("canonical").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
+    totals = [entry("totals", F.lit(k), F.col(k)) for k in ("bytes", "smallest", "largest", "addresses")]
+    seen = entry("seen", F.concat(F.col("first").cast("string"), F.lit(" to "), F.col("last").cast("string")), F.col("n"))
+    refused = rows.filter("status = 404").groupBy("canonical").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
     # what the addresses asked for besides: totals of an address less its own part, and its distinct paths
-    asked = all_rows.join(fetched.select("ip").distinct(), "ip", "left_semi").groupBy("ip", F.col("canonical").alias("other")).agg(F.count("*").alias("n"))
+    asked = by_answer.join(fetched.select("ip").distinct(), "ip", "left_semi").groupBy("ip", F.col("canonical").alias("other")).agg(F.sum("n").alias("n"))
     context = fetched.select("canonical", "ip").join(asked, "ip").filter("other <> canonical").groupBy("canonical", "other").agg(F.sum("n").alias("n"))
     context = context.groupBy("canonical").agg(F.count("*").alias("paths"), F.sum("n").alias("hits"))
     parts = [
-        by_answer.groupBy("canonical", F.lit("answers").alias("section"), F.concat_ws(":", F.col("status").cast("string"), F.col("server_port").cast("string")).alias("key")).agg(F.sum("n").alias("value")),
-        by_answer.groupBy("canonical", F.lit("methods").alias("section"), F.concat("method", F.lit(" "), text("user_agent")).alias("key")).agg(F.sum("n").alias("value")),
-        hits.select("canonical", "ip", "browser").distinct().groupBy("canonical", F.lit("clients").alias("section"), text("browser").alias("key")).agg(F.count_distinct("ip").alias("value")),
-        origins.groupBy("canonical", "section", "key").agg(F.count("*").alias("value")),
-        per.select("canonical", F.explode(F.array(*totals, seen)).alias("x")).select("canonical", "x.*"),
-        refused.select("canonical", F.lit("refused").alias("section"), F.concat(F.lit("last "), F.col("last").cast("string")).alias("key"), F.col("n").alias("value")),
-        context.select("canonical", F.explode(F.array(*[valued("context", F.lit(k), F.col(k)) for k in ("paths", "hits")])).alias("x")).select("canonical", "x.*"),
+        summed,
+        spread(per, [*totals, seen]),
+        spread(refused, [entry("refused", F.concat(F.lit("last "), F.col("last").cast("string")), F.col("n"))]),
+        spread(context, [entry("context", F.lit(k), F.col(k)) for k in ("paths", "hits")]),
     ]
-    return reduce(DataFrame.unionByName, parts).select(F.col("canonical").alias("path"), "section", "key", F.col("value").cast("long").alias("value"))
+    return reduce(DataFrame.unionByName, parts).select(F.col("canonical").alias("path"), "section", "key", "value")
 
 
 def probe_echo(visits: DataFrame, dim: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from visitlens.plans.fixture import HOST, Tables, tables
 from visitlens.sources import archive, logs
 from visitlens.sources.shared import new_folder
 from visitlens.streaming import jobs
+from visitlens.streaming import sessions as stream_sessions_state
 from visitlens.streaming.state import EvidenceState, HourlyRollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -645,3 +646,25 @@ def stream_alarm(t):
     in_batches(spiked.select("id", "ip", "ts", "path", "status"), "alarms", 2, work)
     found = spark.read.parquet(sink)
     return found.filter(F.col("part") == 1).drop("part")
+
+
+@query()
+def stream_session_facts(t):
+    """All sessions with facts and behaviour from keyed state: visits in three batches, each out of order with the others, then a moment long after."""
+    spark = t.visits.sparkSession
+    rows = t.visits.select("id", "ip", "ts", "path", "status", "method", "server_port", "referer", "sec_fetch_site")
+    source, sink = new_folder(spark, "keyed-in"), new_folder(spark, "keyed-out")
+    for i in range(3):
+        rows.filter(F.col("id") % 3 == i).coalesce(1).write.mode("append").parquet(source)
+    end = rows.limit(1).withColumns({"ip": F.lit("end"), "ts": F.lit("2024-06-01").cast("timestamp_ntz")})
+    end.coalesce(1).write.mode("append").parquet(source)
+    for name, value in stream_sessions_state.STATE_STORE.items():
+        spark.conf.set(name, value)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        found = stream_sessions_state.session_facts(jobs.clocked(stream), 86_400, HOST, "60 days")
+        jobs.each_batch(found, lambda df, n: df.write.mode("overwrite").parquet(f"{sink}/part={n}"), new_folder(spark, "keyed-mark"), {"availableNow": True}).awaitTermination()
+    finally:
+        for name in stream_sessions_state.STATE_STORE:
+            spark.conf.unset(name)
+    return stamped(spark.read.parquet(sink).filter("ip <> 'end'").drop("part"))

@@ -35,8 +35,9 @@ HOST = "example.org"
 
 
 def case(number: str, values: list[str]) -> str:
-    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
-    return f"CASE ({number}) % {len(values)} {arms} END"
+    """The text at ``number`` modulo the length of the list: an index into one constant, in either engine's words."""
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"{{at}}({{list}}({listed}), CAST(({number}) % {len(values)} + 1 AS INT))"
 
 
 def whole(a: str, b: int) -> str:
@@ -76,8 +77,8 @@ VALUES = [
     ("tag", "scanner", "c_custkey % 10 = 0"), ("tag", "vpn", "c_custkey % 15 = 0"), ("cpe", "cpe:/a:apache:http_server:2.4", "c_custkey % 3 = 1"), ("cpe", "cpe:/o:linux:linux_kernel", "c_custkey % 4 = 1"), ("hostname", "host.example.net", "c_custkey % 6 = 2"),
 ]
 CUSTOMERS = "c_custkey % 10 <> 3"
-SPARK = {"clock": "CAST(date_trunc('second', ts) AS TIMESTAMP_NTZ)", "clock_type": "TIMESTAMP_NTZ"}
-DUCK = {"clock": "date_trunc('second', ts)", "clock_type": "TIMESTAMP"}
+SPARK = {"clock": "CAST(date_trunc('second', ts) AS TIMESTAMP_NTZ)", "clock_type": "TIMESTAMP_NTZ", "at": "element_at", "list": "array"}
+DUCK = {"clock": "date_trunc('second', ts)", "clock_type": "TIMESTAMP", "at": "list_extract", "list": "list_value"}
 
 
 @dataclass(frozen=True)

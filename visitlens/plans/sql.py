@@ -220,6 +220,8 @@ SESSION_LIST = f"{SESSIONS_CTE} SELECT * FROM ses"
 SESSION_BEHAVIOUR = f"""{SESSIONS_CTE} SELECT CASE WHEN greatest(unique_paths, content_requests) < 2 THEN '' WHEN max_path_repeats >= 5 AND (post_requests >= 5 OR refused >= 5) THEN 'brute-force' WHEN unserved >= 8 AND unserved > 0.5 * unique_paths THEN 'enumeration'
   WHEN probe_404 > 0 AND content_requests BETWEEN 1 AND 8 THEN 'recon' WHEN distinct_2xx_paths >= 8 AND internal_nav = 0 THEN 'scraping' WHEN internal_nav > 0 OR ok_requests >= 2 THEN 'browsing' ELSE '' END AS behaviour,
   count(*) AS sessions, CAST(sum(requests) AS BIGINT) AS requests FROM ses GROUP BY 1"""
+_BEHAVIOUR = SESSION_BEHAVIOUR[SESSION_BEHAVIOUR.index("SELECT CASE WHEN greatest") + 7 : SESSION_BEHAVIOUR.index("AS behaviour")]
+STREAM_SESSION_FACTS = f"{SESSIONS_CTE} SELECT *, {_BEHAVIOUR} AS behaviour FROM ses"
 INCIDENTS_CTE = f"""{SQL}, {marked('visits', PROBE)}, h AS (SELECT ip, session_no, path, min(id) AS first_id, count(*) AS hits, min(ts) AS a, max(ts) AS b FROM m GROUP BY ALL),
   k AS (SELECT *, row_number() OVER (PARTITION BY ip, session_no ORDER BY first_id) AS rn FROM h),
   sp AS (SELECT ip, session_no, string_agg(path, chr(10) ORDER BY rn) FILTER (WHERE rn <= 2) AS signature, min(a) AS a, max(b) AS b, CAST(sum(hits) AS BIGINT) AS probe_404 FROM k GROUP BY ip, session_no HAVING count(*) >= 2),
