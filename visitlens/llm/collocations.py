@@ -37,7 +37,8 @@ LONGEST = 5
 SHARE = 100
 TOP = 2000
 FILTER_BITS = 1 << 27
-SLICE = 8 << 20
+#: Bytes of a slice (powers up to this size stay at hand), and how many entries are gathered from slices before they are summed.
+SLICE, GATHERED = 900_000, 1 << 21
 SALTS = 64
 UNKNOWN = "und"
 SECOND_CODES = mixed(BYTE_CODES * np.uint64(3))
@@ -129,14 +130,36 @@ def _scan(docs: DataFrame, work, schema: pa.Schema) -> DataFrame:
     return docs.mapInArrow(work, ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema))
 
 
+def _gathered(parts, limit: int = GATHERED):
+    """Arrays of several slices as one."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= limit:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def _count_words(batches):
     """Words of each language with their text, counted."""
+    counts: dict[str, Counter] = {}
+
+    def flush():
+        for name, found in counts.items():
+            seed = _languages([name])[1][0]
+            yield _table(_WORDS, [name] * len(found), list(found), mixed(word_codes(list(found))[0] ^ seed).view(np.int64), list(found.values()))
+        counts.clear()
+
     for texts, langs, _ in _texts(batches):
-        names, seeds, of_text = _languages(langs)
+        names, _, of_text = _languages(langs)
         for i, name in enumerate(names):
-            counts = Counter(b"\n".join([texts[j] for j in np.flatnonzero(of_text == i).tolist()]).translate(_FOLD).split())
-            codes = mixed(word_codes(list(counts))[0] ^ seeds[i])
-            yield _table(_WORDS, [name] * len(counts), list(counts), codes.view(np.int64), list(counts.values()))
+            counts.setdefault(name, Counter()).update(b"\n".join([texts[j] for j in np.flatnonzero(of_text == i).tolist()]).translate(_FOLD).split())
+        if sum(map(len, counts.values())) > GATHERED // 8:
+            yield from flush()
+    yield from flush()
 
 
 def _bits(packed: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -148,12 +171,16 @@ def _bits(packed: np.ndarray, prints: np.ndarray) -> np.ndarray:
 def _count_pairs(words, width: int):
     """Counts of the pairs whose two words pass."""
 
-    def count(batches):
+    def pairs(batches):
         for texts, langs, _ in _texts(batches):
             s = Slice(texts, langs, width)
             prints, ok = s.grams(2)
             frequent = _bits(words.value, s.codes)
-            found, f = np.unique(prints[ok & frequent[1:] & frequent[:-1]] if len(prints) else prints, return_counts=True)
+            yield (prints[ok & frequent[1:] & frequent[:-1]] if len(prints) else prints,)
+
+    def count(batches):
+        for (prints,) in _gathered(pairs(batches)):
+            found, f = np.unique(prints, return_counts=True)
             yield _table(_PRINTS, found.view(np.int64), f)
 
     return count
@@ -162,22 +189,25 @@ def _count_pairs(words, width: int):
 def _count_grams(pairs, sizes: range, width: int):
     """Counts, pointers and second fingerprints of the n-grams whose pairs pass."""
 
-    def count(batches):
+    def grams(batches):
         for texts, langs, ids in _texts(batches):
             s = Slice(texts, langs, width)
-            frequent = _bits(pairs.value, s.grams(2)[0])
-            second = s.second_codes()
+            frequent, second = _bits(pairs.value, s.grams(2)[0]), s.second_codes()
             for n in sizes:
                 prints, ok = s.grams(n)
                 for j in range(n - 1):
                     ok = ok & frequent[j : j + len(prints)]
                 at = np.flatnonzero(ok)
                 if len(at):
-                    at = at[np.argsort(prints[at], kind="stable")]
-                    start = np.flatnonzero(np.diff(prints[at], prepend=~prints[at[:1]]))
-                    other = s.grams(n, second)[0][at].view(np.int64)
-                    least = np.minimum.reduceat
-                    yield _table(_POINTERS, prints[at[start]].view(np.int64), np.diff(start, append=len(at)), least(s.places(at, ids).view(np.int64), start), least(other, start), np.maximum.reduceat(other, start))
+                    yield prints[at], s.places(at, ids).view(np.int64), s.grams(n, second)[0][at].view(np.int64)
+
+    def count(batches):
+        for prints, places, second in _gathered(grams(batches)):
+            order = np.argsort(prints, kind="stable")
+            prints, places, second = prints[order], places[order], second[order]
+            start = np.flatnonzero(np.diff(prints, prepend=~prints[:1]))
+            least = np.minimum.reduceat
+            yield _table(_POINTERS, prints[start].view(np.int64), np.diff(start, append=len(prints)), least(places, start), least(second, start), np.maximum.reduceat(second, start))
 
     return count
 
