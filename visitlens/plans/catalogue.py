@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.operators import baseline, classify, enrich, exposure, grouping, hosts, overview, pages, report, sessions, timeline
+from visitlens.operators import baseline, classify, enrich, exposure, grouping, hosts, overview, pages, report, search, sessions, timeline
 from visitlens.operators.filters import Filters, Term
 from visitlens.plans import sql
 from visitlens.plans.fixture import HOST, Tables, tables
@@ -122,6 +122,56 @@ def search_paths(t):
     return grouping.paths(rows(t, row_terms=(Term("broad", "admin"),))).select("path", "unique_ips", "visits")
 
 
+def found_visitors(t: Tables, *terms: search.Term) -> DataFrame:
+    return search.search_visitors(t.visits, t.dim, t.values, *terms).groupBy("ip").agg(F.count("*").alias("visits"), F.countDistinct("path").alias("paths"))
+
+
+@query()
+def search_host_values(t):
+    """Addresses with a tag and an open port."""
+    return found_visitors(t, search.Term("Scanner", "tag"), search.Term("22", "port"))
+
+
+@query()
+def search_vulnerable(t):
+    """A part of a CVE's name beside a signal."""
+    return found_visitors(t, search.Term("cve-2021", "vuln"), search.Term("tor", "signal"))
+
+
+@query()
+def search_group(t):
+    """A group of classes, and a part of a country's name."""
+    return found_visitors(t, search.Term("bots", "class"), search.Term("nation_1", "country"))
+
+
+@query()
+def search_country_band(t):
+    """A country's code, and a band of answers."""
+    return found_visitors(t, search.Term("de", "cc"), search.Term("4xx", "status"), search.Term("post", "method"))
+
+
+@query()
+def search_broad(t):
+    """A text that stands in the organisation alone, beside one that may stand anywhere."""
+    return found_visitors(t, search.Term("asia net"), search.Term("chrome"))
+
+
+@query()
+def search_unclassified(t):
+    return found_visitors(t, search.Term("unknown", "class"), search.Term("198.18.1", "ip"))
+
+
+@query()
+def search_networks(t):
+    """Requests of networks whose owner, provider or number holds a text, from hosts with an open port."""
+    return grouping.networks(search.search_rows(rows(t), t.values, "networks", search.Term("ama"), search.Term("443", "port"))).select("asn", "unique_ips", "visits")
+
+
+@query()
+def search_clients(t):
+    return grouping.clients(search.search_rows(rows(t), t.values, "clients", search.Term("fire"), search.Term("2xx", "status"))).select("browser", "os", "device", "unique_ips", "visits")
+
+
 # ---- overview -------------------------------------------------------------------------------
 
 

@@ -73,6 +73,36 @@ NEIGHBOURHOOD = f"""{SQL}, s AS (SELECT DISTINCT ip, grp, asn, regexp_extract(ip
 SEARCH_VISITORS = f"{SQL} SELECT ip, count(*) AS visits, count(DISTINCT path) AS paths FROM j WHERE country_code ILIKE '%u%' AND ip IN (SELECT ip FROM visits WHERE path ILIKE '/.git%') GROUP BY ip"
 SEARCH_PATHS = f"{SQL} SELECT path, count(DISTINCT ip) AS unique_ips, count(*) AS visits FROM j WHERE concat_ws(chr(1), ip, path, user_agent, referer, browser, os) ILIKE '%admin%' GROUP BY path"
 
+
+
+def found(*where: str) -> str:
+    """Addresses that meet each condition: of their intel, their values, or any of their visits."""
+    return f"{SQL} SELECT ip, count(*) AS visits, count(DISTINCT path) AS paths FROM j WHERE {' AND '.join(where)} GROUP BY ip"
+
+
+def valued(kind: str, test: str) -> str:
+    return f"ip IN (SELECT ip FROM vals WHERE kind = '{kind}' AND {test})"
+
+
+def visited(test: str) -> str:
+    return f"ip IN (SELECT ip FROM visits WHERE {test})"
+
+
+def anywhere(text: str) -> str:
+    of_intel = " OR ".join(f"{c} ILIKE '%{text}%'" for c in ("country", "city", "asn", "org", "isp", "reverse_dns"))
+    of_visit = " OR ".join(f"{c} ILIKE '%{text}%'" for c in ("ip", "path", "user_agent", "browser", "os"))
+    return f"(coalesce({of_intel}, false) OR {visited(of_visit)})"
+
+
+SEARCH_HOST_VALUES = found(valued("tag", "lower(value) = 'scanner'"), valued("port", "value = '22'"))
+SEARCH_VULNERABLE = found(valued("vuln", "value ILIKE '%cve-2021%'"), "is_tor")
+SEARCH_GROUP = found("visitor_class LIKE 'bots/%'", "country ILIKE '%nation#_1%' ESCAPE '#'")
+SEARCH_COUNTRY_BAND = found("country_code = 'DE'", visited("status BETWEEN 400 AND 499"), visited("method = 'POST'"))
+SEARCH_BROAD = found(anywhere("asia net"), anywhere("chrome"))
+SEARCH_UNCLASSIFIED = found("coalesce(visitor_class, '') IN ('', 'unknown')", "ip LIKE '198.18.1%'")
+SEARCH_NETWORKS = f"{SQL} SELECT asn, count(DISTINCT ip) AS unique_ips, count(*) AS visits FROM j WHERE asn <> '' AND (org ILIKE '%ama%' OR isp ILIKE '%ama%' OR asn ILIKE '%ama%') AND {valued('port', "value = '443'")} GROUP BY asn"
+SEARCH_CLIENTS = f"{SQL} SELECT browser, os, device, count(DISTINCT ip) AS unique_ips, count(*) AS visits FROM j WHERE (browser ILIKE '%fire%' OR os ILIKE '%fire%' OR device ILIKE '%fire%') AND status BETWEEN 200 AND 299 GROUP BY ALL"
+
 # ---- overview -----------------------------------------------------------------------------------
 
 
