@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from visitlens.operators import baseline, classify, enrich, exposure, grouping,
 from visitlens.operators.filters import Filters, Term
 from visitlens.plans import sql
 from visitlens.plans.fixture import HOST, Tables, tables
-from visitlens.sources import archive, logs
+from visitlens.sources import archive, logs, shared
+from visitlens.sources.months import MonthStore
 from visitlens.sources.shared import new_folder
 from visitlens.streaming import jobs
 from visitlens.streaming import sessions as stream_sessions_state
@@ -491,6 +493,33 @@ def restored_visits(t):
     return back.groupBy("ip").agg(F.count("*").alias("visits"))
 
 
+@query()
+def month_cycle(t):
+    """Live months with visits and addresses, and how many addresses are known, after each step: stored, archived, restored, released, deleted."""
+    spark = t.visits.sparkSession
+    earlier = F.when(F.col("id") % 3 == 0, F.col("ts") - F.expr("interval 31 days")).otherwise(F.col("ts"))
+    columns = "id long, ip string, ts timestamp_ntz, path string, status int"
+    store = MonthStore(spark, new_folder(spark, "months"), new_folder(spark, "archives"), columns, "ip string, country string")
+    store.add(t.visits.withColumn("ts", earlier))
+    store.intel.replace(t.intel)
+    store.values.replace(t.values)
+    seen = []
+
+    def note(step: str) -> None:
+        months = store.visits().groupBy("month").agg(F.count("*").alias("visits"), F.countDistinct("ip").alias("addresses"))
+        known = store.intel.read().agg(F.count("*").alias("known"))
+        seen.append(shared.written(months.join(known, how="cross").withColumn("step", F.lit(step)), "months-seen"))  # one row
+
+    note("stored")
+    for step, work in (("archived", store.archive), ("restored", lambda month: store.restore(month, "2024-06-01")), ("released", store.release)):
+        work("2023-12")
+        note(step)
+    store.restore("2023-12", "2024-06-01")
+    store.delete("2024-01")
+    note("deleted")
+    return reduce(DataFrame.unionByName, seen).select("step", "month", "visits", "addresses", "known")
+
+
 @query()
 def purged_intel(t):
     return archive.purge_orphans(t.intel, t.visits).select("ip", "country_code")

@@ -353,6 +353,11 @@ EARLIEST_DAY = f"{SQL} SELECT strftime(min(ts), '%Y-%m-%d') AS day FROM visits"
 RETENTION_PLAN = f"""{SQL} SELECT '2023-' || lpad(CAST(id % 12 + 1 AS VARCHAR), 2, '0') AS month, count(*) AS visits, CASE WHEN month = '2023-03' THEN 'keep' WHEN month < '2023-03' THEN 'expire' WHEN month < '2023-09' THEN 'archive' ELSE 'keep' END AS action FROM visits GROUP BY month"""
 EXPORT_PAGE = f"""{SQL} SELECT id, ip, path, CASE WHEN regexp_matches(r, '^[=+\\-@]') THEN '''' || r ELSE r END AS referer FROM (SELECT *, CASE WHEN id % 3 = 0 THEN '=1+' ELSE '' END || referer AS r FROM visits WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12')"""
 RESTORED_VISITS = f"{SQL} SELECT ip, count(*) AS visits FROM visits WHERE id % 3 <> 0 OR strftime(ts, '%Y-%m') = '2024-01' GROUP BY ip"
+MONTH_CYCLE = f"""{SQL}, mv AS (SELECT ip, strftime(CASE WHEN id % 3 = 0 THEN ts - INTERVAL 31 DAY ELSE ts END, '%Y-%m') AS month FROM visits), steps(step, gone) AS (VALUES ('stored', ''), ('archived', '2023-12'), ('restored', ''), ('released', '2023-12'), ('deleted', '2024-01')),
+  left_ AS (SELECT step, mv.* FROM mv JOIN steps ON month <> gone),
+  -- with the first archive, addresses of that month alone are forgotten, and they return with it; addresses without any visit are forgotten for good
+  k AS (SELECT step, count(DISTINCT intel.ip) AS known FROM left_ JOIN intel ON intel.ip = left_.ip WHERE step <> 'stored' GROUP BY step UNION ALL SELECT 'stored', count(*) FROM intel)
+  SELECT left_.step, month, count(*) AS visits, count(DISTINCT ip) AS addresses, known FROM left_ JOIN k ON k.step = left_.step GROUP BY left_.step, month, known"""
 PURGED_INTEL = f"{SQL} SELECT ip, country_code FROM intel WHERE ip IN (SELECT ip FROM visits)"
 DEDUPE_VISITS = f"""{SQL}, k AS (SELECT *, CASE WHEN connection > 0 THEN {day()} || '|' || connection || '|' || connection_requests ELSE 'id' || id END AS identity FROM visits)
   SELECT ip, count(DISTINCT identity) AS visits, count(DISTINCT identity) AS identities FROM k WHERE identity NOT IN (SELECT identity FROM k WHERE ts < TIMESTAMP '2024-01-05') GROUP BY ip"""
