@@ -6,11 +6,11 @@ where one occurrence stands are what a shuffle aggregates, summed within each sl
 1. words, with their text, and how many words each language has;
 2. fingerprints of the word pairs whose two words are frequent;
 3. n-grams whose pairs are all frequent (an n-gram is no more frequent than its parts): fingerprint, count, an occurrence pointer (a code of one place in one
-   document), and the least and greatest of a second, independent fingerprint;
+   document), and the least and greatest of a second, independent fingerprint of 32 bits;
 4. the text at the pointers of frequent fingerprints: a phrase is written out once.
 
 Where the second fingerprint's least and greatest differ, a fingerprint has several texts; another scan counts those by their text, compared word by word
-with what each slice's group points to. So a count is wrong only if two texts agree in 128 bits.
+with what each slice's group points to. So a count is wrong only if two texts agree in 96 bits.
 
 "Frequent" travels as a bit for each fingerprint (or pointer) modulo ``FILTER_BITS``, 16 MB whatever the input. A set bit of another one
 only sends more to the next shuffle; it never changes a count.
@@ -79,10 +79,10 @@ class Slice:
         return prints & np.uint64((1 << self.width) - 1), one_piece
 
     def places(self, at: np.ndarray, ids: list) -> np.ndarray:
-        """Codes of places: document, whole text, word."""
+        """Codes of places, 32 bits of document, whole text and word: they have to tell apart the occurrences of one fingerprint."""
         of_doc = mixed(np.array([0 if x is None else x for x in ids], np.int64).view(np.uint64) + np.uint64(1))
         doc = self.texts[at]
-        return mixed(mixed(self.whole ^ of_doc)[doc] + (at - self.first_word[doc]).astype(np.uint64))
+        return mixed(mixed(self.whole ^ of_doc)[doc] + (at - self.first_word[doc]).astype(np.uint64)) >> np.uint64(32)
 
     def phrase(self, at: int, n: int) -> bytes:
         return b" ".join([self.data[a:b].tobytes() for a, b in zip(self.first[at : at + n].tolist(), self.last[at : at + n].tolist(), strict=True)])
@@ -119,7 +119,8 @@ def _table(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_WORDS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("code", pa.int64()), ("f", pa.int64())])
+_WORDS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64())])
+_CODED = pa.schema([*_WORDS, ("code", pa.int64())])
 _PRINTS = pa.schema([("code", pa.int64()), ("f", pa.int64())])
 _POINTERS = pa.schema([*_PRINTS, ("place", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 _TEXTS = pa.schema([("code", pa.int64()), ("place", pa.int64()), ("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.binary()), ("f", pa.int64()), ("doc_id", pa.int64()), ("word", pa.int64())])
@@ -149,8 +150,7 @@ def _count_words(batches):
 
     def flush():
         for name, found in counts.items():
-            seed = _languages([name])[1][0]
-            yield _table(_WORDS, [name] * len(found), list(found), mixed(word_codes(list(found))[0] ^ seed).view(np.int64), list(found.values()))
+            yield _table(_WORDS, [name] * len(found), list(found), list(found.values()))
         counts.clear()
 
     for texts, langs, _ in _texts(batches):
@@ -162,6 +162,14 @@ def _count_words(batches):
     yield from flush()
 
 
+def _code_words(batches):
+    """Counted words with their codes."""
+    for batch in batches:
+        names, seeds, of_row = _languages(batch.column("lang").to_pylist())
+        codes = mixed(word_codes(batch.column("phrase").to_pylist())[0] ^ seeds[of_row])
+        yield _table(_CODED, *[batch.column(c) for c in _WORDS.names], codes.view(np.int64))
+
+
 def _bits(packed: np.ndarray, prints: np.ndarray) -> np.ndarray:
     """Which fingerprints pass a filter."""
     place = prints & np.uint64(len(packed) * 64 - 1)
@@ -199,7 +207,7 @@ def _count_grams(pairs, sizes: range, width: int):
                     ok = ok & frequent[j : j + len(prints)]
                 at = np.flatnonzero(ok)
                 if len(at):
-                    yield prints[at], s.places(at, ids).view(np.int64), s.grams(n, second)[0][at].view(np.int64)
+                    yield prints[at], s.places(at, ids).view(np.int64), (s.grams(n, second)[0][at] >> np.uint64(32)).view(np.int64)
 
     def count(batches):
         for prints, places, second in _gathered(grams(batches)):
@@ -290,7 +298,7 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
         return sent[-1]
 
     texts, sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), range(2, longest + 1)
-    words = written(_scan(texts, _count_words, _WORDS).groupBy("lang", "phrase", "code").agg(F.sum("f").alias("f")))
+    words = written(_scan(_scan(texts, _count_words, _WORDS).groupBy("lang", "phrase").agg(F.sum("f").alias("f")), _code_words, _CODED))
     many = F.col("f") >= min_count
     pairs = _scan(texts, _count_pairs(send(words.filter(many)), width), _PRINTS).groupBy("code").agg(F.sum("f").alias("f")).filter(many)
     grams = _scan(texts, _count_grams(send(pairs), sizes, width), _POINTERS).groupBy("code")
