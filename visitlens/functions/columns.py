@@ -1,15 +1,14 @@
-"""Column expressions that the operators share. All are JVM expressions; the IPv6 network key alone needs Python."""
+"""Column expressions that the operators share, all of them JVM expressions."""
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import needles as N
 
@@ -149,21 +148,61 @@ def v4_in(ip: Column, networks: list[str]) -> Column:
     return F.coalesce(reduce(or_, map(inside, networks)), F.lit(False))
 
 
-@F.pandas_udf(T.StructType([T.StructField("network", T.StringType()), T.StructField("internal", T.BooleanType())]))
-def v6_facts(ip: pd.Series) -> pd.DataFrame:
-    """/64 key and internal flag of IPv6 addresses; null where the text isn't one. Meant for distinct addresses."""
-    import ipaddress
+#: One group of an IPv6 address; an IPv4 address at its end, as four numbers without leading zeros.
+_GROUP = "[0-9a-f]{1,4}"
+_OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_TAIL = rf"^(.*:){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
-    nets = [ipaddress.ip_network(n) for n in N.INTERNAL_V6]
 
-    def facts(x):
-        try:
-            a = ipaddress.IPv6Address(x)
-        except ValueError:
-            return None, None
-        return str(ipaddress.ip_network((a, 64), strict=False)), any(a in n for n in nets)
+def _v6_groups(ip: Column) -> Column:
+    """An IPv6 address as eight groups without leading zeros of fixed width, 32 hex digits in all; null where the text isn't one.
 
-    return pd.DataFrame([facts(x) for x in ip], columns=["network", "internal"])
+    A zone after % is left out, an IPv4 address at the end becomes two groups, and :: the groups that are missing.
+    """
+    text = F.lower(F.regexp_replace(ip, "%[^%/]+$", ""))
+    octet = [F.regexp_extract(text, _TAIL, i).try_cast("int") for i in range(2, 6)]
+    two = F.concat(F.regexp_extract(text, _TAIL, 1), F.hex(octet[0] * 256 + octet[1]), F.lit(":"), F.hex(octet[2] * 256 + octet[3]))
+    plain = F.when(F.contains(text, F.lit(".")), F.lower(two)).otherwise(text)
+    some = F.length(F.regexp_replace(F.regexp_replace(plain, "[0-9a-f]+", "x"), "[^x]", ""))
+    short = plain.rlike(rf"^(?:(?:{_GROUP}:)*{_GROUP})?::(?:(?:{_GROUP}:)*{_GROUP})?$") & (some <= 7)
+    filled = F.trim(F.replace(plain, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.lit(8) - some))), F.lit(":"))
+    whole = F.when(short, filled).when(plain.rlike(rf"^(?:{_GROUP}:){{7}}{_GROUP}$"), plain)
+    return F.concat(*[F.lpad(F.split_part(whole, F.lit(":"), F.lit(i)), 4, "0") for i in range(1, 9)])
+
+
+def v6_numbers(ip: Column) -> Column:
+    """The two halves of an IPv6 address as 64-bit numbers (high, low), or null."""
+    digits = _v6_groups(ip)
+    half = lambda at: F.conv(F.substring(digits, at, 16), 16, -10).cast("long")
+    return F.when(digits.isNotNull(), F.struct(half(1).alias("high"), half(17).alias("low")))
+
+
+def v6_network(high: Column) -> Column:
+    """The /64 of the high half, as it is written: groups without leading zeros, zeros at the end as ::."""
+    digits = F.lpad(F.lower(F.hex(high)), 16, "0")
+    groups = [F.regexp_replace(F.substring(digits, i, 4), "^0{1,3}", "") for i in (1, 5, 9, 13)]
+    text = F.concat(F.regexp_replace(F.concat_ws(":", *groups), "(?:(?:^|:)0)+$", ""), F.lit("::/64"))
+    return F.when(high.isNotNull(), text)
+
+
+def v6_in(high: Column, low: Column, networks: list[str]) -> Column:
+    def inside(network: str) -> Column:
+        base = ipaddress.ip_network(network)
+        start, bits = int(base.network_address), base.prefixlen
+        signed = lambda x: x - 2**64 if x >= 2**63 else x
+        top, rest = start >> 64, start & (2**64 - 1)
+        if bits <= 64:
+            return F.shiftrightunsigned(high, 64 - bits) == (top >> (64 - bits)) if bits else F.lit(True)
+        return (high == signed(top)) & (F.shiftrightunsigned(low, 128 - bits) == signed(rest >> (128 - bits)))
+
+    return reduce(or_, map(inside, networks))
+
+
+def v6_facts(ip: Column | str) -> Column:
+    """(network, internal): /64 and internal flag of an IPv6 address, nulls where the text isn't one. Texts without a colon are passed by."""
+    ip = F.col(ip) if isinstance(ip, str) else ip
+    number = F.when(F.contains(ip, F.lit(":")), v6_numbers(ip))
+    return F.struct(v6_network(number["high"]).alias("network"), v6_in(number["high"], number["low"], N.INTERNAL_V6).alias("internal"))
 
 
 def v4_network(ip: Column) -> Column:

@@ -113,9 +113,7 @@ def neighbourhood(rows: DataFrame, dim: DataFrame, min_peers: int = 5, share: fl
     Peers are counted once per scope value and an address's own group taken off, so no pairs are made.
     """
     seen = rows.select("ip", "grp", "asn").distinct()
-    is_v6 = F.contains("ip", F.lit(":"))
-    v6 = F.when(is_v6, C.v6_facts(F.when(is_v6, F.col("ip")).otherwise("::"))["network"])
-    seen = seen.withColumn("network", F.coalesce(C.v4_network(F.col("ip")), v6))
+    seen = seen.withColumn("network", F.coalesce(C.v4_network(F.col("ip")), C.v6_facts("ip")["network"]))
     scoped = seen.select("ip", "grp", F.expr("stack(2, 'network', network, 'asn', asn) as (scope, value)")).filter("value <> ''")
     per = scoped.groupBy("scope", "value").agg(F.count("*").alias("n"), *[C.count_where(F.col("grp") == g).alias(g) for g in N.GROUPS])
     own = scoped.join(per, ["scope", "value"])

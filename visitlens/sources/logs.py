@@ -33,10 +33,9 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def with_address_facts(entries: DataFrame, column: str = "remote_addr") -> DataFrame:
-    """is_address and is_internal. IPv4 is plain arithmetic; Python sees only the texts that hold a colon."""
+    """is_address and is_internal. Texts with a colon are expanded to two numbers, the others are plain arithmetic."""
     ip = F.col(column)
-    v6 = F.when(F.contains(ip, F.lit(":")), C.v6_facts(F.when(F.contains(ip, F.lit(":")), ip).otherwise("::")))
-    out = entries.withColumn("_v6", v6)
+    out = entries.withColumn("_v6", C.v6_facts(ip))
     return out.withColumns({"is_address": ip.rlike(C.V4) | F.col("_v6.network").isNotNull(), "is_internal": C.v4_in(ip, N.INTERNAL_V4) | F.coalesce("_v6.internal", F.lit(False))}).drop("_v6")
 
 
