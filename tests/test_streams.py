@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_operators import dimension, intel, values
@@ -67,3 +68,42 @@ def test_quality_is_observed(spark, tmp_path):
     q.awaitTermination()
     seen = [p.observedMetrics["ingest_quality"] for p in q.recentProgress if p.numInputRows]
     assert [(r.lines, r.unparseable, r.non_utc) for r in seen] == [(3, 1, 1)]
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path):
+    logs_at, path = tmp_path / "in", str(tmp_path / "out")
+    bare = line("198.51.100.7", 9).replace('"connection": 9', '"connection": 0')
+    put(logs_at, "a.log", line("198.51.100.1", 1), line("198.51.100.1", 1), bare, bare, line("198.51.100.2", 2))
+    store = jobs.once(spark, path)
+    visits = logs.to_visits(spark.read.text(str(logs_at)))
+    count = lambda: spark.read.parquet(path).count()
+    store(visits, 0)
+    assert count() == 4  # a replay goes, requests without a connection stay
+    store(visits, 0)
+    assert count() == 4
+    store(visits, 1)
+    assert count() == 6  # in another batch, those without a connection are requests of their own
+    spark.read.parquet(path).createOrReplaceTempView("stored")
+    assert spark.sql("select count(distinct identity) n from stored").first().n == 6
+
+
+def test_a_crash_between_write_and_commit_adds_nothing(spark, tmp_path):
+    logs_at, path, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    bare = line("198.51.100.7", 9).replace('"connection": 9', '"connection": 0')
+    put(logs_at, "a.log", line("198.51.100.1", 1), bare, bare)
+    store = jobs.once(spark, path)
+
+    def run(work):
+        jobs.each_batch(logs.to_visits(jobs.tail(spark, str(logs_at))), work, mark, ONCE).awaitTermination()
+
+    def dies(batch, number):
+        store(batch, number)
+        raise OSError("the driver is gone")
+
+    with pytest.raises(Exception, match="the driver is gone"):
+        run(dies)
+    assert spark.read.parquet(path).count() == 3
+    run(store)
+    put(logs_at, "b.log", line("198.51.100.1", 1), line("198.51.100.3", 3))
+    run(store)
+    assert spark.read.parquet(path).count() == 4

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -159,22 +160,31 @@ def _v6_groups(ip: Column) -> Column:
 
     A zone after % is left out, an IPv4 address at the end becomes two groups, and :: the groups that are missing.
     """
-    text = F.lower(F.regexp_replace(ip, "%[^%/]+$", ""))
-    octet = [F.regexp_extract(text, _TAIL, i).try_cast("int") for i in range(2, 6)]
-    two = F.concat(F.regexp_extract(text, _TAIL, 1), F.hex(octet[0] * 256 + octet[1]), F.lit(":"), F.hex(octet[2] * 256 + octet[3]))
-    plain = F.when(F.contains(text, F.lit(".")), F.lower(two)).otherwise(text)
-    some = F.length(F.regexp_replace(F.regexp_replace(plain, "[0-9a-f]+", "x"), "[^x]", ""))
-    short = plain.rlike(rf"^(?:(?:{_GROUP}:)*{_GROUP})?::(?:(?:{_GROUP}:)*{_GROUP})?$") & (some <= 7)
-    filled = F.trim(F.replace(plain, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.lit(8) - some))), F.lit(":"))
-    whole = F.when(short, filled).when(plain.rlike(rf"^(?:{_GROUP}:){{7}}{_GROUP}$"), plain)
-    return F.concat(*[F.lpad(F.split_part(whole, F.lit(":"), F.lit(i)), 4, "0") for i in range(1, 9)])
+
+    def two_groups(text: Column) -> Column:
+        octet = [F.regexp_extract(text, _TAIL, i).try_cast("int") for i in range(2, 6)]
+        two = F.concat(F.regexp_extract(text, _TAIL, 1), F.hex(octet[0] * 256 + octet[1]), F.lit(":"), F.hex(octet[2] * 256 + octet[3]))
+        return F.when(F.contains(text, F.lit(".")), F.lower(two)).otherwise(text)
+
+    def whole(plain: Column, some: Column) -> Column:
+        short = plain.rlike(rf"^(?:(?:{_GROUP}:)*{_GROUP})?::(?:(?:{_GROUP}:)*{_GROUP})?$") & (some <= 7)
+        filled = F.trim(F.replace(plain, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.lit(8) - some))), F.lit(":"))
+        return F.when(short, filled).when(plain.rlike(rf"^(?:{_GROUP}:){{7}}{_GROUP}$"), plain)
+
+    some = lambda plain: F.length(F.regexp_replace(F.regexp_replace(plain, "[0-9a-f]+", "x"), "[^x]", ""))
+    digits = lambda text: F.concat(*[F.lpad(F.split_part(text, F.lit(":"), F.lit(i)), 4, "0") for i in range(1, 9)])
+    return let(let(let(F.lower(F.regexp_replace(ip, "%[^%/]+$", "")), two_groups), lambda plain: let(some(plain), lambda n: whole(plain, n))), digits)
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once and stands once in the plan, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def v6_numbers(ip: Column) -> Column:
     """The two halves of an IPv6 address as 64-bit numbers (high, low), or null."""
-    digits = _v6_groups(ip)
-    half = lambda at: F.conv(F.substring(digits, at, 16), 16, -10).cast("long")
-    return F.when(digits.isNotNull(), F.struct(half(1).alias("high"), half(17).alias("low")))
+    half = lambda digits, at: F.conv(F.substring(digits, at, 16), 16, -10).cast("long")
+    return let(_v6_groups(ip), lambda digits: F.when(digits.isNotNull(), F.struct(half(digits, 1).alias("high"), half(digits, 17).alias("low"))))
 
 
 def v6_network(high: Column) -> Column:
@@ -202,7 +212,7 @@ def v6_facts(ip: Column | str) -> Column:
     """(network, internal): /64 and internal flag of an IPv6 address, nulls where the text isn't one. Texts without a colon are passed by."""
     ip = F.col(ip) if isinstance(ip, str) else ip
     number = F.when(F.contains(ip, F.lit(":")), v6_numbers(ip))
-    return F.struct(v6_network(number["high"]).alias("network"), v6_in(number["high"], number["low"], N.INTERNAL_V6).alias("internal"))
+    return let(number, lambda n: F.struct(v6_network(n["high"]).alias("network"), v6_in(n["high"], n["low"], N.INTERNAL_V6).alias("internal")))
 
 
 def v4_network(ip: Column) -> Column:

@@ -747,3 +747,22 @@ def stream_session_facts(t):
         for name in stream_sessions_state.STATE_STORE:
             spark.conf.unset(name)
     return stamped(spark.read.parquet(sink).filter("ip <> 'end'").drop("part"))
+
+
+@query()
+def stream_store_once(t):
+    """Log lines in two batches, of which the second brings lines of the first again, and both batches run twice."""
+    spark = t.visits.sparkSession
+    source, path = new_folder(spark, "once-in"), new_folder(spark, "once")
+    lines = log_lines(t)
+    lines.coalesce(1).write.mode("append").text(source)
+    lines.filter("value like '%\"connection\":%' and value not like '%\"connection\":0,%'").coalesce(1).write.mode("append").text(source)
+    store = jobs.once(spark, path)
+
+    def work(batch: DataFrame, number: int) -> None:
+        store(batch, number)
+        store(batch, number)
+
+    stream = jobs.tail(spark, source, 1)
+    jobs.each_batch(logs.to_visits(stream), work, new_folder(spark, "once-mark"), {"availableNow": True}).awaitTermination()
+    return spark.read.parquet(path).groupBy("ip", "method", "status").agg(F.count("*").alias("visits"), F.sum("bytes_sent").cast("long").alias("bytes_sent"))

@@ -390,5 +390,6 @@ FAILED_ENRICHMENT = f"""{SQL}, f AS (SELECT DISTINCT ip FROM visits WHERE status
 
 STREAM_HOURLY = f"{SQL} SELECT strftime(ts, '%Y-%m-%d %H:00') AS bucket, {GROUP_COUNTS}, count(*) AS total FROM j GROUP BY 1"
 STREAM_SESSIONS = f"{SQL}, {marked('visits')} SELECT ip, CAST(min(ts) AS VARCHAR) AS started, CAST(max(ts) AS VARCHAR) AS ended, count(*) AS requests, {n_if(PROBE)} AS probe_404, {n_if('status BETWEEN 200 AND 299')} AS ok_requests FROM m GROUP BY ip, session_no"
+STREAM_STORE_ONCE = INGESTED_VISITS
 STREAM_INGEST = INGESTED_VISITS.replace("SELECT ip, CASE", "SELECT ip, CASE", 1)
 STREAM_NEWCOMERS = f"{SQL} SELECT ip, CAST(min(ts) AS VARCHAR) AS first_seen FROM visits WHERE ip NOT IN (SELECT ip FROM visits WHERE ts < TIMESTAMP '2024-01-02') GROUP BY ip"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitlens.functions import columns as C
@@ -92,6 +92,17 @@ def with_identity(visits: DataFrame) -> DataFrame:
     return visits.withColumn("identity", F.when(F.col("connection") > 0, same).otherwise(F.expr("uuid()")))
 
 
+def with_repeatable_identity(visits: DataFrame, batch: int) -> DataFrame:
+    """The identity, such that a batch that runs again gives its requests the same: where there is no connection number, the batch, a code of the request, and how many equal ones of the batch came before."""
+    columns = [c for c in visits.columns if c != "identity"]
+    code = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+    known = F.col("connection") > 0
+    own = visits.filter(~F.coalesce(known, F.lit(False))).withColumn("_code", code)
+    nth = F.row_number().over(Window.partitionBy("_code").orderBy("_code"))
+    own = own.withColumn("identity", F.concat_ws("|", F.lit(f"batch {batch}"), F.col("_code").cast("string"), nth.cast("string"))).drop("_code")
+    return visits.filter(known).unionByName(own)
+
+
 def new_visits(visits: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Visits without replays of each other or of stored ones."""
     once = visits.dropDuplicates(["identity"])

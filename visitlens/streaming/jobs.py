@@ -37,6 +37,27 @@ def store(visits: DataFrame, path: str, checkpoint: str, trigger: dict | None =
     return by_month.writeStream.format("parquet").partitionBy("month").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
+def once(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+    """Per batch: append the visits that aren't stored yet, by month. A batch that runs again, whole or after a crash at any point, adds nothing twice.
+
+    What is compared are identities, of the batch's months and span of time alone; requests without a connection number have an identity
+    that is the same when their batch runs again.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        schema = ", ".join(f"{c} {k}" for c, k in batch.drop("event_time").dtypes)
+        rows = logs.with_repeatable_identity(batch.drop("event_time"), number).dropDuplicates(["identity"]).withColumn("month", F.date_format("ts", "yyyy-MM")).persist()
+        ends = rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.collect_set("month").alias("months")).first()  # the months of one batch
+        spark.createDataFrame([], f"{schema}, month string").write.mode("ignore").partitionBy("month").parquet(path)
+        stored = spark.read.schema(f"{schema}, month string").parquet(path).filter(F.col("month").isin(ends.months))
+        if ends.first is not None:
+            stored = stored.filter(F.col("ts").between(F.lit(ends.first), F.lit(ends.last)))
+        rows.join(stored.select("identity"), "identity", "left_anti").select(*batch.drop("event_time").columns, "month").write.mode("append").partitionBy("month").parquet(path)
+        rows.unpersist()
+
+    return work
+
+
 def counts(rows: DataFrame, unit: str = "1 hour", late: str = LATE) -> DataFrame:
     """Requests per tumbling window and group; rows are visits with their group."""
     per = rows.withWatermark("event_time", late).groupBy(F.window("event_time", unit).alias("w"))
