@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,39 @@ def grid(marks: DataFrame, size: float = 5.0) -> DataFrame:
     return counts.join(most, how="cross").withColumn("weight", F.round(F.least(F.lit(1.0), F.ln(F.col("ips") + 1) / F.ln(F.col("_most") + 1)), 4)).drop("_most")  # one row
 
 
+def cell_size(zoom: int) -> float:
+    """Degrees of a cell at a zoom level: 20 up to level 2, then half of it each level, 0.05 at least."""
+    return max(0.05, 20 / 2 ** max(0, zoom - 2))
+
+
+def pyramid(marks: DataFrame, zooms: list[int]) -> DataFrame:
+    """The grids of several zoom levels in one pass, as ``grid`` gives each: zoom, size, cell, counts, dominant group, weight.
+
+    Markers fold to the cells of the finest level whose size is a half of a half of 20 degrees; what is copied for each level are those cells, whose
+    place there is theirs halved as often. Levels of the least size (11 and on) have cells of their own.
+    """
+    halved = sorted({max(2, z) for z in zooms if cell_size(z) > 0.05})
+    least = [z for z in zooms if cell_size(z) <= 0.05]
+    sums = [F.count("*").alias("ips"), F.sum("visits").cast("long").alias("visits"), *[C.count_where(F.col("grp") == g).alias(g) for g in N.GROUPS]]
+    place = lambda c, size: F.floor(F.col(c) / size).cast("long")
+    parts = []
+    if halved:
+        finest = marks.groupBy(place("lat", cell_size(halved[-1])).alias("y"), place("lon", cell_size(halved[-1])).alias("x")).agg(*sums)
+        levels = F.explode(F.array(*[F.struct(F.lit(z).alias("level"), F.shiftright("y", halved[-1] - z).alias("y"), F.shiftright("x", halved[-1] - z).alias("x")) for z in halved]))
+        parts.append(finest.select(levels.alias("at"), "ips", "visits", *N.GROUPS).groupBy("at.level", "at.y", "at.x").agg(*[F.sum(c).cast("long").alias(c) for c in ("ips", "visits", *N.GROUPS)]))
+    if least:
+        parts.append(marks.groupBy(F.lit(11).alias("level"), place("lat", 0.05).alias("y"), place("lon", 0.05).alias("x")).agg(*sums))
+    cells = reduce(DataFrame.unionByName, parts)
+    # levels at which the size doesn't change share their cells
+    asked = F.explode(F.array_compact(F.array(*[F.when(F.col("level") == min(max(2, z), 11), F.lit(z)) for z in zooms])))
+    size = F.element_at(F.create_map(*[F.lit(x) for z in zooms for x in (z, cell_size(z))]), F.col("zoom"))
+    found = cells.select(asked.alias("zoom"), "y", "x", "ips", "visits", *N.GROUPS).withColumn("size", size)
+    top = F.greatest(*N.GROUPS)
+    found = found.withColumns({"lat": F.col("y") * F.col("size"), "lon": F.col("x") * F.col("size"), "dominant": F.coalesce(*[F.when(F.col(g) == top, F.lit(g)) for g in N.GROUPS])}).drop("y", "x")
+    most = found.groupBy("zoom").agg(F.max("ips").alias("_most"))
+    return found.join(most, "zoom").withColumn("weight", F.round(F.least(F.lit(1.0), F.ln(F.col("ips") + 1) / F.ln(F.col("_most") + 1)), 4)).drop("_most")
+
+
 def selection(marks: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
     """Addresses of a viewport by country and group; a viewport may cross the date line."""
     lon = F.col("lon").between(west, east) if west <= east else (F.col("lon") >= west) | (F.col("lon") <= east)

@@ -434,6 +434,11 @@ def geo_grid(t):
     return hosts.grid(hosts.markers(rows(t)), 10.0)
 
 
+@query()
+def geo_pyramid(t):
+    return hosts.pyramid(hosts.markers(rows(t)), [0, 2, 3, 5, 12])
+
+
 @query()
 def geo_selection(t):
     return hosts.selection(hosts.markers(rows(t)), -40.0, -90.0, 50.0, 120.0)

@@ -327,6 +327,10 @@ GEO_MARKERS = f"{MARKERS} SELECT * FROM mk"
 GEO_STATS = f"{MARKERS} SELECT count(*) AS ips, count(DISTINCT country_code) AS countries, {', '.join(f'{n_if(s)} AS {s}' for s in N.SIGNALS)}, {GROUP_COUNTS}, (SELECT count(DISTINCT ip) FROM visits WHERE ip NOT IN (SELECT ip FROM mk)) AS unmapped FROM mk"
 GEO_GRID = f"""{MARKERS}, c AS (SELECT floor(lat / 10) * 10 AS la, floor(lon / 10) * 10 AS lo, count(*) AS ips, CAST(sum(visits) AS BIGINT) AS visits, {GROUP_COUNTS} FROM mk GROUP BY ALL)
   SELECT la AS lat, lo AS lon, c.* EXCLUDE (la, lo), CASE {' '.join(f"WHEN {g} = greatest({', '.join(N.GROUPS)}) THEN '{g}'" for g in N.GROUPS)} END AS dominant, round(least(1.0, ln(ips + 1) / ln((SELECT max(ips) FROM c) + 1)), 4) AS weight FROM c"""
+_LEVELS = [(0, 20.0), (2, 20.0), (3, 10.0), (5, 2.5), (12, 0.05)]
+_CELLS = " UNION ALL ".join(f"SELECT {z} AS zoom, CAST({size} AS DOUBLE) AS size, CAST(floor(lat / CAST({size} AS DOUBLE)) AS BIGINT) * CAST({size} AS DOUBLE) AS lat, CAST(floor(lon / CAST({size} AS DOUBLE)) AS BIGINT) * CAST({size} AS DOUBLE) AS lon, count(*) AS ips, CAST(sum(visits) AS BIGINT) AS visits, {GROUP_COUNTS} FROM mk GROUP BY ALL" for z, size in _LEVELS)
+GEO_PYRAMID = f"""{MARKERS}, c AS ({_CELLS})
+  SELECT c.*, CASE {' '.join(f"WHEN {g} = greatest({', '.join(N.GROUPS)}) THEN '{g}'" for g in N.GROUPS)} END AS dominant, round(least(1.0, ln(ips + 1) / ln(max(ips) OVER (PARTITION BY zoom) + 1)), 4) AS weight FROM c"""
 GEO_SELECTION = f"{MARKERS} SELECT country_code, grp, count(*) AS ips FROM mk WHERE lat BETWEEN -40 AND 50 AND lon BETWEEN -90 AND 120 GROUP BY ALL"
 _DECIDED = f"""{SQL}, d0 AS (SELECT ip, count(*) AS requests, {n_if(PROBE)} AS probes, CAST(min(ts) AS VARCHAR) AS first_seen, CAST(max(ts) AS VARCHAR) AS last_seen FROM visits WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY ip),
   dec AS (SELECT d0.*, visitor_class, asn, country_code, is_tor, is_proxy, is_hosting, dnsbl_listed FROM d0 JOIN dim ON dim.ip = d0.ip WHERE grp = 'threats')"""
