@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_operators import dimension, intel, values, visits
 from visitlens.functions import columns as C
-from visitlens.operators import baseline, classify, sessions
+from visitlens.operators import baseline, classify, pages, sessions
 from visitlens.streaming.state import EvidenceState, HourlyRollup
 
 
@@ -98,3 +98,17 @@ def test_hours_from_batches_equal_hours_of_all(spark, tmp_path):
     now = str(v.agg(F.max("ts")).first()[0])
     for how in ({"min_days": 0}, {"days": 1}):
         assert rollup.baseline(now, **how).collect() == baseline.hourly_baseline(v, now, **how).collect()
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages_by_cursor_hold_every_row_once(spark, descending):
+    r = random.Random(2)
+    df = spark.createDataFrame([(i, r.choice([None, "", "a", "b", "c"]), r.choice([None, 1, 2])) for i in range(23)], "id long, name string, n int")
+    keys = {"name": "name", "n": "n"}
+    for sort in keys:
+        seen, last = [], None
+        while page := pages.after(df, keys, sort, ["id"], last, descending, 4).collect():
+            seen += page
+            last = page[-1]
+        plain = [tuple(x)[1 : 1 + len(df.columns)] for k in range(1, 8) for x in pages.page(df, keys, sort, ["id"], descending, k, 4).collect()]
+        assert [tuple(x) for x in seen] == plain and len(seen) == 23

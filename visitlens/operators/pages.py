@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 #: Sort keys by table: name and column.
@@ -10,6 +10,18 @@ VISITS = {k: k for k in ("ts", "ip", "path", "status", "country_code", "visitor_
 REQUESTS = VISITS | {k: k for k in ("method", "server_port", "bytes_sent", "request_time", "request_length", "referer", "user_agent", "http_version", "browser", "os")}
 VISITORS = {k: k for k in ("ip", "visits", "first_seen", "last_seen", "unique_pages", "browsers", "oses", "devices", "ports", "country_code", "asn", "visitor_class", "tags", "enriched")}
 
+_BREAKDOWN = {k: k for k in ("unique_ips", "visits", "last_seen")}
+NETWORKS = _BREAKDOWN | {k: k for k in ("asn", "org", "isp", "countries")}
+COUNTRIES = _BREAKDOWN | {"country": "country", "country_code": "country_code"}
+CLIENTS = _BREAKDOWN | {k: k for k in ("browser", "os", "device")}
+PATHS = _BREAKDOWN | {k: k for k in ("path", "s2xx", "s3xx", "s4xx", "s5xx")}
+EXPOSURES = {"path": "path", "addresses": "ips", "requests": "hits", "size": "bytes_sent", "first": "first_seen", "last": "last_seen"}
+SERVED = EXPOSURES | {"benign": "benign_ips", "kind": "is_finding"}
+INCIDENTS = {"started": "started", "duration": "duration", "addresses": "addresses", "asns": "asns", "probes": "probe_404", "listed": "blocklisted", "score": "score"}
+INCIDENT_PATHS = {"arrival": "first_id", "path": "path", "addresses": "addresses", "requests": "requests"}
+INCIDENT_SESSIONS = {"started": "started", "ip": "ip", "probes": "probe_404"}
+DECISIONS = {k: k for k in ("ip", "requests", "probes", "first_seen", "last_seen", "visitor_class", "asn", "country_code")}
+
 
 def key_of(df: DataFrame, keys: dict[str, str], name: str) -> Column:
     """A sort key; an empty text has no value."""
@@ -32,6 +44,24 @@ def page(df: DataFrame, keys: dict[str, str], sort: str, ties: list[str], descen
     return listed.select((F.col("at") + first).cast("long").alias("position"), "row.*").join(total, how="cross")  # one row
 
 
+def after(df: DataFrame, keys: dict[str, str], sort: str, ties: list[str], row: Row | None = None, descending: bool = True, size: int = 50) -> DataFrame:
+    """The rows that follow ``row`` (the last one of the page before; the first page without), in the order of ``page``.
+
+    What is sorted are the first ``size`` rows of each task beyond the row, so a page deep in a table costs what the first one does; nothing is counted.
+    """
+    by = key_of(df, keys, sort)
+    if row is not None:
+        tied = F.struct(*ties) > F.struct(*[F.lit(row[t]).cast(dict(df.dtypes)[t]) for t in ties])
+        held = row[keys[sort]]
+        if held in (None, ""):
+            df = df.filter(by.isNull() & tied)
+        else:
+            value = F.lit(held).cast(dict(df.dtypes)[keys[sort]])
+            beyond = by < value if descending else by > value
+            df = df.filter(beyond | by.isNull() | ((by == value) & tied))
+    return df.orderBy(by.desc_nulls_last() if descending else by.asc_nulls_last(), *ties).limit(size)
+
+
 def requests(visits: DataFrame, ip: str, since: str | None = None, until: str | None = None) -> DataFrame:
     """Requests of one address between two instants, both included."""
     found = visits.filter(F.col("ip") == ip)

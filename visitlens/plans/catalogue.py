@@ -86,6 +86,18 @@ def visitor_page(t):
     return pages.page(found, pages.VISITORS, "asn", ["ip"], descending=False, number=3, size=40)
 
 
+@query()
+def visitor_cursor(t):
+    """The third page of visitors by network, each page from the last row of the one before."""
+    found = shared.written(grouping.visitors(rows(t), t.values).select("ip", "asn", "visits", "unique_pages"), "visitors")
+    page, last = found, None
+    for _ in range(3):
+        page = pages.after(found, pages.VISITORS, "asn", ["ip"], last, descending=False, size=5)
+        held = page.collect()  # one page
+        last = held[-1] if held else last
+    return page
+
+
 @query()
 def request_page(t):
     """The slowest requests of the address with the least name, between two instants."""

@@ -70,6 +70,7 @@ NEIGHBOURHOOD = f"""{SQL}, s AS (SELECT DISTINCT ip, grp, asn, regexp_extract(ip
   sc AS (SELECT ip, grp, 'network' AS scope, network AS value FROM s UNION ALL SELECT ip, grp, 'asn', asn FROM s WHERE asn <> ''),
   p AS (SELECT a.ip, a.scope, a.value, count(*) AS peers, {', '.join(f"{n_if(f"b.grp = '{g}'")} AS {g}" for g in N.GROUPS)} FROM sc a JOIN sc b ON a.scope = b.scope AND a.value = b.value AND a.ip <> b.ip GROUP BY ALL)
   SELECT *, CASE WHEN peers >= 5 AND greatest({', '.join(N.GROUPS)}) > 0.5 * peers THEN CASE {' '.join(f"WHEN {g} = greatest({', '.join(N.GROUPS)}) THEN '{g}'" for g in N.GROUPS)} END END AS dominant FROM p"""
+VISITOR_CURSOR = f"{SQL} SELECT ip, max(asn) AS asn, count(*) AS visits, count(DISTINCT path) AS unique_pages FROM j GROUP BY ip ORDER BY nullif(max(asn), '') NULLS LAST, ip LIMIT 5 OFFSET 10"
 SEARCH_VISITORS = f"{SQL} SELECT ip, count(*) AS visits, count(DISTINCT path) AS paths FROM j WHERE country_code ILIKE '%u%' AND ip IN (SELECT ip FROM visits WHERE path ILIKE '/.git%') GROUP BY ip"
 SEARCH_PATHS = f"{SQL} SELECT path, count(DISTINCT ip) AS unique_ips, count(*) AS visits FROM j WHERE concat_ws(chr(1), ip, path, user_agent, referer, browser, os) ILIKE '%admin%' GROUP BY path"
 
