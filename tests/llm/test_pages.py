@@ -73,6 +73,40 @@ def test_archives_of_others(spark, tmp_path):
         warc.read_records(spark, str(tmp_path)).collect()
 
 
+def foreign(records):
+    """Archives as others write them: the bytes of (id, payload) responses, one by one."""
+    return [b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n" % (i, b32encode(sha1(p).digest()), len(p) + 19) + p + b"\r\n\r\n" for i, p in records]
+
+
+def test_any_name_and_plain_archives_of_many_splits(spark, tmp_path):
+    r = random.Random(3)
+    bits = [b"\r\n", b"\r\n\r\n", b"\n", b"\r", b"WARC/1.0\r\n", b"Content-Length: 3", b"a", b"\x00\xff", b"<p>text</p>" * 20, b""]
+    payloads = [b"".join(r.choices(bits, k=r.randint(0, 30))) for _ in range(900)] + [b"x" * 100_000, b"\r\n" * 30_000]
+    records = foreign(enumerate(payloads))
+    (tmp_path / "crawl-1.warc").write_bytes(b"".join(records[:450] + records[900:]))
+    (tmp_path / "other").write_bytes(b"".join(records[450:600]))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, records[600:750])))
+    (tmp_path / "one.gz").write_bytes(gzip.compress(b"".join(records[750:900])))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = warc.read_records(spark, str(tmp_path)).select("id", "intact", "payload_bytes").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.id, r.intact, r.payload_bytes) for r in rows) == sorted((f"<urn:{i}>", True, len(p)) for i, p in enumerate(payloads))
+
+
+def test_folders_without_archives_are_errors(spark, tmp_path):
+    with pytest.raises(ValueError, match="no archives"):
+        warc.read_records(spark, str(tmp_path))
+    (tmp_path / "notes.md").write_text("no archive")
+    with pytest.raises(Exception, match="no WARC record"):
+        warc.read_records(spark, str(tmp_path)).collect()
+    (tmp_path / "notes.md").write_bytes(foreign([(1, b"abc")])[0][:-9])
+    with pytest.raises(Exception, match="cut short"):
+        warc.read_records(spark, str(tmp_path)).collect()
+
+
 def test_empty_tables(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_pages(df, str(tmp_path / "e")).count() == 0

@@ -7,17 +7,21 @@ WARC-Concurrent-To; reading joins the three through that id and emits one nested
 Archives are ordinary files that Spark's text writer makes: a record is a line, and the line
 separator is the two empty lines that end a record. They are read as a stream of what stands between such separators
 and put together by Content-Length, so a payload may hold anything, a task holds one record at a time, and
-a file may be of any size; RECORDS a file only spreads the reading.
+a file may be of any size; RECORDS a file only spreads the reading. Archives of others may have any name: those in gzip, in one member or
+one a record, are read where they lie; plain ones, which Spark may split anywhere, are read as lines, whose ends are the same from any start, and
+each file's lines are put in order again in one task, by a sort that spills.
 
 Defined results: a null html is an empty payload. Among equal payloads (empty ones too) the smallest page_id is
 the response, a null one before all others. Each row is a capture of its own, named by its id, its digest and its
 place in the table: rows that repeat the smallest id are all responses, and revisits refer to the first of them. So pages has
 to be a table or a frame that Spark computes alike each time. Further columns are ignored. On reading, header names count in
-any case, a payload that doesn't match its SHA-1 is not intact but stays, and a file that holds no WARC records is an error.
+any case, a payload that doesn't match its SHA-1 is not intact but stays; a file that holds anything else than WARC records is an error, and so is
+a folder without files. Files whose names begin with a dot or an underscore are not looked at.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pyarrow as pa
@@ -29,6 +33,7 @@ from .common import prepare, shared_dir
 RECORDS = 3000
 SENT_ROWS, SENT_BYTES = 1000, 4 << 20
 END = "\r\n\r\n"
+PACKED = r"\.gz$"
 RECORD = "id string, type string, concurrent_to string, refers_to string, target string, payload_digest string, payload_bytes long, payload string, intact boolean, fields map<string,string>"
 _KIND = pa.schema([(c, pa.string()) for c in ("id", "type", "concurrent_to", "refers_to", "target", "payload_digest")] + [("payload_bytes", pa.int64()), ("payload", pa.string()), ("intact", pa.bool_()), ("fields", pa.map_(pa.string(), pa.string()))])
 
@@ -147,11 +152,64 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(dict(zip(_KIND.names, zip(*rows, strict=True), strict=True)), schema=_KIND)
 
 
+def _parts(batches):
+    """Lines, ended by a single line feed, to the parts between two empty lines."""
+    file, lines, names, parts, size = None, [], [], [], 0
+
+    def sent():
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.binary())], names=["path", "value"])
+
+    def ended(part: bytes):
+        nonlocal size
+        names.append(file)
+        parts.append(part)
+        lines.clear()
+        size += len(part)
+
+    for batch in batches:
+        for name, line in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            if name != file:
+                if lines:
+                    ended(b"\n".join(lines))
+                file = name
+            if line == b"\r" and lines and lines[-1].endswith(b"\r"):
+                ended(b"\n".join(lines)[:-1])
+            else:
+                lines.append(line)
+            if len(parts) >= SENT_ROWS or size >= SENT_BYTES:
+                yield sent()
+                names, parts, size = [], [], 0
+    if lines:
+        ended(b"\n".join(lines))
+    if parts:
+        yield sent()
+
+
+def _parsed_lines(batches):
+    return _parsed(_parts(batches))
+
+
 def read_records(spark, path: str) -> DataFrame:
     """One row per record of the archives under ``path``, as they are or in gzip."""
     prepare(spark)
-    parts = spark.read.option("lineSep", END).option("pathGlobFilter", "*.txt*").text(path)
-    return parts.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value")).mapInArrow(_parsed, RECORD)
+
+    def read(end: str, packed: bool) -> DataFrame:
+        text = spark.read.option("lineSep", end).text(path)
+        name = F.col("_metadata.file_path")
+        return text.filter(name.rlike(PACKED) if packed else ~name.rlike(PACKED)).select(name.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+
+    names = spark.read.text(path).inputFiles()
+    if not names:
+        raise ValueError(f"no archives in {path}")
+    packed = [bool(re.search(PACKED, name)) for name in names]
+    found = []
+    if any(packed):
+        found.append(read(END, True).select("path", "value").mapInArrow(_parsed, RECORD))
+    if not all(packed):
+        lines = read("\n", False).withColumn("place", F.monotonically_increasing_id())
+        in_order = lines.repartition("path").sortWithinPartitions("path", "start", "place")
+        found.append(in_order.select("path", "value").mapInArrow(_parsed_lines, RECORD))
+    return found[0].unionByName(found[1]) if len(found) > 1 else found[0]
 
 
 def transactions(records: DataFrame) -> DataFrame:
