@@ -193,20 +193,22 @@ def read_records(spark, path: str) -> DataFrame:
     """One row per record of the archives under ``path``, as they are or in gzip."""
     prepare(spark)
 
-    def read(end: str, packed: bool) -> DataFrame:
-        text = spark.read.option("lineSep", end).text(path)
-        name = F.col("_metadata.file_path")
-        return text.filter(name.rlike(PACKED) if packed else ~name.rlike(PACKED)).select(name.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
-
     names = spark.read.text(path).inputFiles()
     if not names:
         raise ValueError(f"no archives in {path}")
-    packed = [bool(re.search(PACKED, name)) for name in names]
+    kinds = {bool(re.search(PACKED, name)) for name in names}
+
+    def read(end: str, packed: bool, *more: Column) -> DataFrame:
+        text, name = spark.read.option("lineSep", end).text(path), F.col("_metadata.file_path")
+        if len(kinds) > 1:
+            text = text.filter(name.rlike(PACKED) == F.lit(packed))
+        return text.select(name.alias("path"), F.col("value").cast("binary").alias("value"), *more)
+
     found = []
-    if any(packed):
-        found.append(read(END, True).select("path", "value").mapInArrow(_parsed, RECORD))
-    if not all(packed):
-        lines = read("\n", False).withColumn("place", F.monotonically_increasing_id())
+    if True in kinds:
+        found.append(read(END, True).mapInArrow(_parsed, RECORD))
+    if False in kinds:
+        lines = read("\n", False, F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
         in_order = lines.repartition("path").sortWithinPartitions("path", "start", "place")
         found.append(in_order.select("path", "value").mapInArrow(_parsed_lines, RECORD))
     return found[0].unionByName(found[1]) if len(found) > 1 else found[0]
