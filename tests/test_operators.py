@@ -101,6 +101,11 @@ def test_median_counts_empty_hours(spark):
         assert one(df.agg(baseline.padded_median("v", F.lit(slots)).alias("m"))).m == want
 
 
+def test_a_median_of_more_rows_than_slots_is_that_of_all_rows(spark):
+    df = spark.createDataFrame([(1,), (2,), (9,)], "v long")
+    assert one(df.agg(baseline.padded_median("v", F.lit(2)).alias("m"))).m == 2.0
+
+
 def test_baseline_needs_history_and_a_spike(spark):
     now = "2026-08-30 12:00:00"
     hour = lambda h: int((datetime(2026, 8, 30, 12) - timedelta(hours=h) - T0).total_seconds())

@@ -18,9 +18,9 @@ def hourly(visits: DataFrame) -> DataFrame:
 
 
 def padded_median(column: str, slots: Column) -> Column:
-    """Median of a column over ``slots`` values of which those without a row are zero."""
+    """Median of a column over ``slots`` values of which those without a row are zero; over all rows where there are more, as with a first hour that isn't whole."""
     values = F.array_sort(F.collect_list(column))
-    n = slots.cast("int")
+    n = F.greatest(slots.cast("int"), F.size(values))
     nth = lambda i: F.coalesce(F.get(values, i - (n - F.size(values))), F.lit(0))
     return F.when(n > 0, (nth(F.floor((n - 1) / 2).cast("int")) + nth(F.floor(n / 2).cast("int"))) / 2.0)
 
