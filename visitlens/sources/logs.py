@@ -24,7 +24,7 @@ CAPS = {"path": 2048, "user_agent": 1024, "referer": 2048, "accept_language": 25
 
 def parse(lines: DataFrame) -> DataFrame:
     """Lines (value) to log fields; rejected says why a line is none: unparseable or a required field missing."""
-    parsed = lines.select("value", F.from_json("value", LOG_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}).alias("e")).select("value", "e.*")
+    parsed = C.worked_out(lines.select("value"), "e", F.from_json("value", LOG_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})).select("value", "e.*")
     missing = reduce(or_, [F.col(c).isNull() for c in REQUIRED])
     texts = [f for f in FIELDS if f not in REQUIRED and f not in _NUMBERS]
     found = parsed.withColumn("rejected", F.when(F.col("corrupt").isNotNull(), "unparseable").when(missing, "missing-field"))
@@ -35,7 +35,7 @@ def parse(lines: DataFrame) -> DataFrame:
 def with_address_facts(entries: DataFrame, column: str = "remote_addr") -> DataFrame:
     """is_address and is_internal. Texts with a colon are expanded to two numbers, the others are plain arithmetic."""
     ip = F.col(column)
-    out = entries.withColumn("_v6", C.v6_facts(ip))
+    out = C.worked_out(entries, "_v6", C.v6_facts(ip))
     return out.withColumns({"is_address": ip.rlike(C.V4) | F.col("_v6.network").isNotNull(), "is_internal": C.v4_in(ip, N.INTERNAL_V4) | F.coalesce("_v6.internal", F.lit(False))}).drop("_v6")
 
 
