@@ -1,13 +1,16 @@
 """Stream jobs over files that arrive."""
 
 import json
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_operators import dimension, intel, values
+from visitlens.plans import catalogue
 from visitlens.sources import logs
-from visitlens.streaming import jobs
+from visitlens.streaming import jobs, sessions
 
 
 def line(ip, second, path="/", status=200):
@@ -107,3 +110,56 @@ def test_a_crash_between_write_and_commit_adds_nothing(spark, tmp_path):
     put(logs_at, "b.log", line("198.51.100.1", 1), line("198.51.100.3", 3))
     run(store)
     assert spark.read.parquet(path).count() == 4
+
+
+class Held:
+    """The state of one address, as Spark hands it over."""
+
+    def __init__(self):
+        self.exists, self.get, self.mark, self.timeout = False, None, 0, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def setTimeoutTimestamp(self, at):
+        self.timeout = at
+
+
+def request(second, path="/a", id=1, referer=""):
+    return {"at": second * sessions.SECOND, "path": path, "page": path, "pseudo": False, **dict.fromkeys(sessions._COUNTS, 1), "entry_id": id, "entry_referer": referer}
+
+
+def test_late_rows_join_open_sessions_and_closed_ones_are_numbered():
+    work, state = sessions.open_sessions(10), Held()
+    give = lambda *rows: [tuple(r) for f in work(("198.51.100.1",), iter([pd.DataFrame(list(rows))] if rows else []), state) for r in f.itertuples(index=False)]
+    assert give(request(0, id=5, referer="late"), request(20, "/b", 6)) == [] and state.timeout == 11_000
+    assert give(request(10, id=2, referer="first")) == [] and state.timeout == 31_000
+    assert give(request(40, id=9)) == []
+    state.mark = 31_000
+    (one,) = give()
+    assert one[:6] == ("198.51.100.1", 1, 0, 20 * sessions.SECOND, 3, 2) and one[-3:] == (2, "/a", "first") and state.timeout == 51_000
+    state.mark = 60_000
+    assert [r[1] for r in give()] == [2] and json.loads(state.get[0]) == []
+
+
+def test_an_address_costs_little():
+    """Many addresses of few requests: less than 5 ms each."""
+    work, rows = sessions.open_sessions(10), pd.DataFrame([request(i * 7, f"/{i}", i) for i in range(20)])
+    begun = time.time()
+    for _ in range(1000):
+        list(work(("198.51.100.1",), iter([rows]), Held()))
+    assert time.time() - begun < 5
+
+
+def test_batches_are_written_by_all_tasks(spark):
+    seen = {}
+
+    def work(batch, number):
+        seen[number] = (batch.count(), batch.select(F.input_file_name()).distinct().count())
+
+    catalogue.in_batches(catalogue.dealt(spark.range(0, 30, 1, 3), 2), "many", lambda s: s, work)
+    assert {n: x[0] for n, x in seen.items()} == {0: 15, 1: 15}
+    assert all(files == 3 for _, files in seen.values())
