@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visitlens.sources.archive import retention_plan
-from visitlens.sources.months import MonthStore, NoArchive, NotWhole
+from visitlens.sources.months import MonthStore, NoArchive, NotWhole, Snapshot
 
 VISITS = "id long, ip string, ts timestamp_ntz, path string"
 INTEL = "ip string, country string"
@@ -107,3 +107,15 @@ def test_a_plan_is_settled(store):
     assert store.visits("2024-01").count() == 9  # pinned
     store.settle("2024-03-21", plan.limit(0))
     assert store.visits("2024-01").isEmpty() and store.archived("2024-01")["visits"] == 9
+
+
+def test_dropping_a_month_reads_the_visits_once_for_both_tables(store, monkeypatch):
+    plans, replace = [], Snapshot.replace
+
+    def seen(self, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        replace(self, rows)
+
+    monkeypatch.setattr(Snapshot, "replace", seen)
+    store.delete("2024-01")
+    assert len(plans) == 2 and all("InMemoryTableScan" in p for p in plans)

@@ -108,9 +108,10 @@ class MonthStore:
             folder = f"{month}-{uuid.uuid4()}"
             at = f"{self.archives}/{folder}"
             live.write.json(f"{at}/visits")
-            of_month = live.select("ip").distinct()
+            of_month = live.select("ip").distinct().persist()
             self.intel.read().join(of_month, "ip", "left_semi").write.json(f"{at}/intel")
             self.values.read().join(of_month, "ip", "left_semi").write.json(f"{at}/values")
+            of_month.unpersist()
             self._publish(month, folder, print_)
         self._drop(month)
         return self.archived(month)
@@ -128,11 +129,12 @@ class MonthStore:
         pins = self.pins.read()
         if not pins.filter(F.col("month") == month).isEmpty():
             self.pins.replace(pins.filter(F.col("month") != month))
-        visits = self.visits()
+        seen = self.visits().select("ip").distinct().persist()  # the visits are read once for both tables
         for table in (self.intel, self.values):
             rows = table.read()
-            if not rows.join(visits, "ip", "left_anti").isEmpty():
-                table.replace(purge_orphans(rows, visits))
+            if not rows.join(seen, "ip", "left_anti").isEmpty():
+                table.replace(purge_orphans(rows, seen))
+        seen.unpersist()
 
     def restore(self, month: str, until: str) -> dict:
         """Put an archived month back, original ids, and pin it: nothing that is there is replaced, and a second run adds nothing."""
@@ -143,10 +145,11 @@ class MonthStore:
         back = self.spark.read.schema(self.schema).json(f"{at}/visits")
         if any(self._fingerprint(back)[c] != line[c] for c in _CHECKED):
             raise NotWhole(f"the archive of {month} is not what was written")
-        missing = back.join(self.visits(month).select("id"), "id", "left_anti")
+        missing = back.join(self.visits(month).select("id"), "id", "left_anti").persist()
         added = missing.count()
         if added:
             self.add(missing)
+        missing.unpersist()
         for table, name in ((self.intel, "intel"), (self.values, "values")):
             have = table.read()
             more = self.spark.read.schema(table.schema).json(f"{at}/{name}").join(have.select("ip").distinct(), "ip", "left_anti")
