@@ -76,6 +76,39 @@ def test_fingerprints_that_collide_do_no_harm(spark, width):
     assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == brute(data, 4) and len(got) > 40
 
 
+def counted(spark, monkeypatch, data, parts):
+    """Rows that each scan with pointers hands on, and the result."""
+    made, scan = {}, collocations._scan
+
+    def spy(docs, work, schema):
+        found = scan(docs, work, schema)
+        if schema is collocations._POINTERS:
+            found = collocations.written(found)
+            made[len(made)] = found.count()
+        return found
+
+    monkeypatch.setattr(collocations, "_scan", spy)
+    rows = mine_collocations(spark.createDataFrame(data, SCHEMA).repartition(parts), bits=1 << 20).collect()
+    return made, sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in rows)
+
+
+def test_longer_phrases_are_sought_in_frequent_triples_alone(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(12)]  # every pair is frequent, no triple is
+    data = [(i, " ".join(r.choices(words, k=100)), "en", "s", 0) for i in range(180)]
+    made, got = counted(spark, monkeypatch, data, 3)
+    assert got == brute(data, 100) and len(got) > 100
+    assert sum(made.values()) < 8_000  # pairs and triples; with all lengths at once some 45,000
+
+
+def test_a_frequent_phrase_costs_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 64)
+    data = [(i, "one two three four five six " * 4, "en", "s", 0) for i in range(256)]
+    made, got = counted(spark, monkeypatch, data, 64)
+    assert got == brute(data, 100) and got
+    assert sum(made.values()) <= 24 * collocations.WAVES * spark.sparkContext.defaultParallelism
+
+
 def test_large_counts_stay_exact(spark):
     big = 4 * 10**11
     rows = [("en", b"a b", big - 1, 2, (1, 0))]

@@ -1,13 +1,14 @@
 """Phrase collocations of each language, by Rabin-Karp fingerprints.
 
 Words get polynomial codes from prefix sums over bytes, and prefix sums of those give the fingerprint of every n-gram in numpy. Fingerprints and
-where one occurrence stands are what a shuffle aggregates, summed within each slice of texts and each task first. The texts are read four times:
+where one occurrence stands are what a shuffle aggregates, summed within each slice of texts and each task first. The texts are read five times:
 
 1. words, with their text, and how many words each language has;
 2. fingerprints of the word pairs whose two words are frequent;
-3. n-grams whose pairs are all frequent (an n-gram is no more frequent than its parts): fingerprint, count, an occurrence pointer (a code of one place in one
-   document), and the least and greatest of a second, independent fingerprint of 32 bits;
-4. the text at the pointers of frequent fingerprints: a phrase is written out once.
+3. pairs and triples whose pairs are all frequent (an n-gram is no more frequent than its parts): fingerprint, count, an occurrence pointer (a code of one
+   place in one document), and the least and greatest of a second, independent fingerprint of 32 bits;
+4. likewise four and five words whose triples are all frequent: longer n-grams are looked for where shorter ones were found alone;
+5. the text at the pointers of frequent fingerprints: a phrase is written out once.
 
 Where the second fingerprint's least and greatest differ, a fingerprint has several texts; another scan counts those by their text, compared word by word
 with what each slice's group points to. So a count is wrong only if two texts agree in 96 bits.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,15 @@ from .common import BYTE_CODES, Runs, as_bytes, joined, mixed, partitions, prepa
 
 MIN_COUNT = 100
 LONGEST = 5
+#: How many lengths of n-grams are counted by one reading of the texts.
+STEP = 2
 SHARE = 100
 TOP = 2000
 FILTER_BITS = 1 << 27
 #: Bytes of a slice (powers up to this size stay at hand), and how many entries are gathered from slices before they are summed.
 SLICE, GATHERED = 900_000, 1 << 21
+#: Counted n-grams that a task holds before it hands them on, tasks a core, and how many partitions of the input one such task may read.
+HELD, WAVES, MERGED = 1 << 20, 2, 8
 SALTS = 64
 UNKNOWN = "und"
 SECOND_CODES = mixed(BYTE_CODES * np.uint64(3))
@@ -131,6 +137,12 @@ def _scan(docs: DataFrame, work, schema: pa.Schema) -> DataFrame:
     return docs.mapInArrow(work, ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema))
 
 
+def _merged(texts: DataFrame) -> DataFrame:
+    """The texts in fewer and larger tasks, so that more is summed before the shuffle: a frequent n-gram costs it a row for each task."""
+    least = WAVES * texts.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(max(least, -(-texts.rdd.getNumPartitions() // MERGED)))
+
+
 def _gathered(parts, limit: int = GATHERED):
     """Arrays of several slices as one."""
     held, size = [], 0
@@ -194,28 +206,40 @@ def _count_pairs(words, width: int):
     return count
 
 
-def _count_grams(pairs, sizes: range, width: int):
-    """Counts, pointers and second fingerprints of the n-grams whose pairs pass."""
+def _folded(prints, f, places, low, high) -> list[np.ndarray]:
+    """One entry for each fingerprint: counts added, the least place, the range of second fingerprints."""
+    order = np.argsort(prints, kind="stable")
+    prints = prints[order]
+    start = np.flatnonzero(np.diff(prints, prepend=~prints[:1]))
+    least = np.minimum.reduceat
+    return [prints[start], np.add.reduceat(f[order], start), least(places[order], start), least(low[order], start), np.maximum.reduceat(high[order], start)]
+
+
+def _count_grams(parts, size: int, sizes: range, width: int):
+    """Counts, pointers and second fingerprints of the n-grams whose parts of ``size`` words all pass."""
 
     def grams(batches):
         for texts, langs, ids in _texts(batches):
             s = Slice(texts, langs, width)
-            frequent, second = _bits(pairs.value, s.grams(2)[0]), s.second_codes()
+            frequent, second = _bits(parts.value, s.grams(size)[0]), s.second_codes()
             for n in sizes:
                 prints, ok = s.grams(n)
-                for j in range(n - 1):
+                for j in range(n - size + 1):
                     ok = ok & frequent[j : j + len(prints)]
                 at = np.flatnonzero(ok)
                 if len(at):
                     yield prints[at], s.places(at, ids).view(np.int64), (s.grams(n, second)[0][at] >> np.uint64(32)).view(np.int64)
 
     def count(batches):
-        for prints, places, second in _gathered(grams(batches)):
-            order = np.argsort(prints, kind="stable")
-            prints, places, second = prints[order], places[order], second[order]
-            start = np.flatnonzero(np.diff(prints, prepend=~prints[:1]))
-            least = np.minimum.reduceat
-            yield _table(_POINTERS, prints[start].view(np.int64), np.diff(start, append=len(prints)), least(places, start), least(second, start), np.maximum.reduceat(second, start))
+        held = None
+        for prints, places, second in _gathered(grams(batches), HELD):
+            found = _folded(prints, np.ones(len(prints), np.int64), places, second, second)
+            held = found if held is None else _folded(*[np.concatenate(x) for x in zip(held, found, strict=True)])
+            if len(held[0]) >= HELD:
+                yield _table(_POINTERS, held[0].view(np.int64), *held[1:])
+                held = None
+        if held is not None:
+            yield _table(_POINTERS, held[0].view(np.int64), *held[1:])
 
     return count
 
@@ -301,14 +325,20 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     words = written(_scan(_scan(texts, _count_words, _WORDS).groupBy("lang", "phrase").agg(F.sum("f").alias("f")), _code_words, _CODED))
     many = F.col("f") >= min_count
     pairs = _scan(texts, _count_pairs(send(words.filter(many)), width), _PRINTS).groupBy("code").agg(F.sum("f").alias("f")).filter(many)
-    grams = _scan(texts, _count_grams(send(pairs), sizes, width), _POINTERS).groupBy("code")
-    frequent = written(grams.agg(F.sum("f").alias("f"), F.min("place").alias("place"), F.min("low").alias("low"), F.max("high").alias("high")).filter(many))
+    steps, parts, size = [], pairs, 2
+    for least in sizes[::STEP]:
+        of_step = range(least, min(least + STEP, longest + 1))
+        grams = _scan(_merged(texts), _count_grams(send(parts), size, of_step, width), _POINTERS).groupBy("code")
+        found = written(grams.agg(F.sum("f").alias("f"), F.min("place").alias("place"), F.min("low").alias("low"), F.max("high").alias("high")).filter(many))
+        steps.append(found.withColumn("step", F.lit(len(steps))))
+        parts, size = found, of_step[-1]
+    frequent, step = reduce(DataFrame.unionByName, steps), F.expr(f"(n_words - 2) div {STEP}").cast("int")
     alone, mixed_up = frequent.filter("low = high"), frequent.filter("low <> high")
     example = F.struct("doc_id", "word").alias("example")
-    at = _scan(texts, _read_pointers(send(alone), send(alone, "place"), sizes, width), _TEXTS).drop("f")
-    phrases = at.join(alone.select("code", "place", "f"), ["code", "place"]).groupBy("code").agg(F.min(F.struct("lang", "n_words", "phrase", "f", example)).alias("x")).select("x.*")
+    at = _scan(texts, _read_pointers(send(alone), send(alone, "place"), sizes, width), _TEXTS).drop("f").withColumn("step", step)
+    phrases = at.join(alone.select("code", "step", "place", "f"), ["code", "step", "place"]).groupBy("code", "step").agg(F.min(F.struct("lang", "n_words", "phrase", "f", example)).alias("x")).select("x.*")
     if not mixed_up.isEmpty():
-        by_text = _scan(texts, _count_texts(send(mixed_up), sizes, width), _TEXTS).join(mixed_up.select("code"), "code", "left_semi")
+        by_text = _scan(texts, _count_texts(send(mixed_up), sizes, width), _TEXTS).withColumn("step", step).join(mixed_up.select("code", "step"), ["code", "step"], "left_semi")
         phrases = phrases.unionByName(by_text.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"), F.min(example).alias("example")).filter(many))
     phrases = written(phrases)
     for filter_ in sent:
