@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_operators import dimension, intel, values
+from visitlens.operators import classify
 from visitlens.plans import catalogue
 from visitlens.sources import logs
 from visitlens.streaming import jobs, sessions
@@ -154,6 +155,25 @@ def test_an_address_costs_little():
     assert time.time() - begun < 5
 
 
+def test_a_batch_is_held_without_what_no_rule_reads(spark, tmp_path):
+    logs_at = tmp_path / "in"
+    put(logs_at, "a.log", line("198.51.100.1", 1, "/.env", 404), line("198.51.100.2", 2))
+    batch = logs.with_client(logs.to_visits(spark.read.text(str(logs_at)))).withColumn("id", F.monotonically_increasing_id())
+    judged = []
+
+    class Noted:
+        def add(self, rows, number):
+            self.held = rows
+
+        def evidence(self, rows, dim):
+            return classify.evidence(rows, dim)
+
+    state = Noted()
+    jobs.judge_active(state, lambda: dimension(intel(spark, [{"ip": "198.51.100.2"}]), values(spark)), lambda df, n: judged.extend(df.collect()))(batch, 0)
+    assert {(r.ip, r.visitor_class) for r in judged} == {("198.51.100.1", "bots/vulnerability-probers"), ("198.51.100.2", "automated/http-clients")}
+    assert "request_time" in batch.columns and "request_time" not in state.held.columns and len(state.held.columns) == 14
+
+
 def test_batches_are_written_by_all_tasks(spark):
     seen = {}
 

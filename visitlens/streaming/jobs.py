@@ -98,11 +98,11 @@ def judge_active(state: EvidenceState, read_dim: Callable[[], DataFrame], write:
     """Per batch: judge the addresses that were active in it anew, on all their visits so far.
 
     The visits before aren't read: a batch adds to the state, and what is read of the state are the folders of the batch's
-    addresses. A batch that is run again writes the same.
+    addresses. A batch that is run again writes the same. Of a batch, what the rules read is held alone.
     """
 
     def work(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
+        held = batch.select(*classify.READS).persist()
         state.add(held, number)
         judged = classify.classify(state.evidence(held, read_dim()))
         write(judged.select("ip", "visitor_class", "why", "source", "last_id"), number)
