@@ -2,8 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.corpora import ODD, SCHEMA
@@ -109,6 +113,59 @@ def test_a_frequent_phrase_costs_few_rows(spark, monkeypatch):
     assert sum(made.values()) <= 24 * collocations.WAVES * spark.sparkContext.defaultParallelism
 
 
+def test_a_task_holds_and_hands_on_bounded_batches():
+    every = SimpleNamespace(value=np.full(1, 2**64 - 1, np.uint64))
+    per, docs = 20_000, 50
+
+    def batches():
+        for i in range(docs):
+            yield pa.record_batch({"doc_id": [i], "lang": ["en"], "text": [" ".join(map(str, range(i * per, i * per + per)))]})
+
+    def peak(work):
+        rows = total = most = 0
+        tracemalloc.start()
+        try:
+            for batch in work(batches()):
+                rows, total, most = rows + batch.num_rows, total + sum(batch.column("f").to_pylist()), max(most, batch.num_rows)
+                del batch
+            return rows, total, most, tracemalloc.get_traced_memory()[1] >> 20
+        finally:
+            tracemalloc.stop()
+
+    grams = collocations._count_grams(every, 2, range(2, 4), 64)
+    for work, n in ((collocations._count_words, docs * per), (collocations._count_pairs(every, 64), docs * (per - 1)), (grams, docs * (2 * per - 3))):
+        rows, total, most, mb = peak(work)
+        assert rows == total == n and most <= 1 << 16 and mb < 130, (rows, total, most, mb)
+
+
+def test_entries_merge_as_they_fold_at_once():
+    r = np.random.Generator(np.random.PCG64(1))
+    parts = [(r.integers(0, 300, 200, np.uint64), r.integers(0, 2**32, 200, np.uint32), r.integers(0, 2**32, 200, np.uint32)) for _ in range(6)]
+    held = collocations._folded(*parts[0])
+    for part in parts[1:]:
+        collocations._merge(held, collocations._folded(*part))
+    whole = collocations._folded(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+    assert all(np.array_equal(a, b) for a, b in zip(held, whole, strict=True))
+    assert whole[1].sum() == 1200 and len(whole[0]) > 250
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "BATCH", 1 << 16, raising=False)
+    sizes, scan, name = [], collocations._scan, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def spy(docs, work, schema):
+        if {"text", "lang"} <= set(docs.columns):
+            sizes.extend(x.n for x in docs.mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches), "n long").collect())
+        return scan(docs, work, schema)
+
+    monkeypatch.setattr(collocations, "_scan", spy)
+    before = spark.conf.get(name)
+    data = [(i, "one two three " * 600, "en", "s", 0) for i in range(120)]
+    got = mine_collocations(spark.createDataFrame(data, SCHEMA).repartition(1), bits=1 << 16).collect()
+    assert got and max(sizes) <= 1 << 17 and sum(sizes) > 5 * 8400 * 120
+    assert spark.conf.get(name) == before
+
+
 def test_large_counts_stay_exact(spark):
     big = 4 * 10**11
     rows = [("en", b"a b", big - 1, 2, (1, 0))]

@@ -13,6 +13,9 @@ where one occurrence stands are what a shuffle aggregates, summed within each sl
 Where the second fingerprint's least and greatest differ, a fingerprint has several texts; another scan counts those by their text, compared word by word
 with what each slice's group points to. So a count is wrong only if two texts agree in 96 bits.
 
+What a task holds is bounded, whatever the input: texts come in batches of ``BATCH`` bytes (or one longer text), counted n-grams are merged in place up to
+``HELD``, and rows go back in batches of ``ROWS``, since the JVM takes each batch whole beside its heap.
+
 "Frequent" travels as a bit for each fingerprint (or pointer) modulo ``FILTER_BITS``, 16 MB whatever the input. A set bit of another one
 only sends more to the next shuffle; it never changes a count.
 
@@ -24,12 +27,13 @@ Phrases with equal score and count are in UTF-8 byte order. Of an empty table no
 from __future__ import annotations
 
 from collections import Counter
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BYTE_CODES, Runs, as_bytes, joined, mixed, partitions, prepare, slices, word_codes, written
@@ -45,6 +49,8 @@ FILTER_BITS = 1 << 27
 SLICE, GATHERED = 900_000, 1 << 21
 #: Counted n-grams that a task holds before it hands them on, tasks a core, and how many partitions of the input one such task may read.
 HELD, WAVES, MERGED = 1 << 20, 2, 8
+#: Bytes of a batch of texts that goes to a task, rows of a batch that comes back.
+BATCH, ROWS = 4 << 20, 1 << 16
 SALTS = 64
 UNKNOWN = "und"
 SECOND_CODES = mixed(BYTE_CODES * np.uint64(3))
@@ -125,6 +131,24 @@ def _table(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _tables(schema: pa.Schema, *columns):
+    """Rows in batches of at most ``ROWS``."""
+    for a in range(0, len(columns[0]), ROWS):
+        yield _table(schema, *[c[a : a + ROWS] for c in columns])
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Meanwhile texts go to tasks in batches of about ``BATCH`` bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 _WORDS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64())])
 _CODED = pa.schema([*_WORDS, ("code", pa.int64())])
 _PRINTS = pa.schema([("code", pa.int64()), ("f", pa.int64())])
@@ -144,16 +168,22 @@ def _merged(texts: DataFrame) -> DataFrame:
 
 
 def _gathered(parts, limit: int = GATHERED):
-    """Arrays of several slices as one."""
+    """Arrays of several slices as one, which isn't kept here."""
     held, size = [], 0
+
+    def whole():
+        found = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
+        return found
+
     for part in parts:
         held.append(part)
         size += len(part[0])
         if size >= limit:
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held, size = [], 0
+            size = 0
+            yield whole()
     if size:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield whole()
 
 
 def _count_words(batches):
@@ -161,9 +191,9 @@ def _count_words(batches):
     counts: dict[str, Counter] = {}
 
     def flush():
-        for name, found in counts.items():
-            yield _table(_WORDS, [name] * len(found), list(found), list(found.values()))
-        counts.clear()
+        while counts:
+            name, found = counts.popitem()
+            yield from _tables(_WORDS, [name] * len(found), list(found), list(found.values()))
 
     for texts, langs, _ in _texts(batches):
         names, _, of_text = _languages(langs)
@@ -188,6 +218,13 @@ def _bits(packed: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return (packed[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
+def _starts(prints: np.ndarray) -> np.ndarray:
+    """Where each value of sorted ones stands first."""
+    first = np.ones(len(prints), bool)
+    np.not_equal(prints[1:], prints[:-1], out=first[1:])
+    return np.flatnonzero(first)
+
+
 def _count_pairs(words, width: int):
     """Counts of the pairs whose two words pass."""
 
@@ -200,19 +237,30 @@ def _count_pairs(words, width: int):
 
     def count(batches):
         for (prints,) in _gathered(pairs(batches)):
-            found, f = np.unique(prints, return_counts=True)
-            yield _table(_PRINTS, found.view(np.int64), f)
+            prints.sort()
+            start = _starts(prints)
+            yield from _tables(_PRINTS, prints[start].view(np.int64), np.diff(start, append=len(prints)))
 
     return count
 
 
-def _folded(prints, f, places, low, high) -> list[np.ndarray]:
-    """One entry for each fingerprint: counts added, the least place, the range of second fingerprints."""
+def _folded(prints, places, second) -> list[np.ndarray]:
+    """One entry for each fingerprint, in order: its count, its least place, the range of its second fingerprints."""
     order = np.argsort(prints, kind="stable")
-    prints = prints[order]
-    start = np.flatnonzero(np.diff(prints, prepend=~prints[:1]))
+    prints, places, second = prints[order], places[order], second[order]
+    start = _starts(prints)
     least = np.minimum.reduceat
-    return [prints[start], np.add.reduceat(f[order], start), least(places[order], start), least(low[order], start), np.maximum.reduceat(high[order], start)]
+    return [prints[start], np.diff(start, append=len(prints)), least(places, start), least(second, start), np.maximum.reduceat(second, start)]
+
+
+def _merge(held: list[np.ndarray], found: list[np.ndarray]) -> None:
+    """Other folded entries into the held ones, column by column: only one is there twice at a time."""
+    at = np.searchsorted(held[0], found[0])
+    known = held[0][np.minimum(at, len(held[0]) - 1)] == found[0]
+    for i, fold in enumerate((np.add, np.minimum, np.minimum, np.maximum), 1):
+        held[i][at[known]] = fold(held[i][at[known]], found[i][known])
+    for i, column in enumerate(found):
+        held[i] = np.insert(held[i], at[~known], column[~known])
 
 
 def _count_grams(parts, size: int, sizes: range, width: int):
@@ -228,18 +276,20 @@ def _count_grams(parts, size: int, sizes: range, width: int):
                     ok = ok & frequent[j : j + len(prints)]
                 at = np.flatnonzero(ok)
                 if len(at):
-                    yield prints[at], s.places(at, ids).view(np.int64), (s.grams(n, second)[0][at] >> np.uint64(32)).view(np.int64)
+                    yield prints[at], s.places(at, ids).astype(np.uint32), (s.grams(n, second)[0][at] >> np.uint64(32)).astype(np.uint32)
 
     def count(batches):
-        held = None
-        for prints, places, second in _gathered(grams(batches), HELD):
-            found = _folded(prints, np.ones(len(prints), np.int64), places, second, second)
-            held = found if held is None else _folded(*[np.concatenate(x) for x in zip(held, found, strict=True)])
+        held = []
+        for found in map(lambda x: _folded(*x), _gathered(grams(batches), HELD // 4)):
+            if held:
+                _merge(held, found)
+            else:
+                held = found
             if len(held[0]) >= HELD:
-                yield _table(_POINTERS, held[0].view(np.int64), *held[1:])
-                held = None
-        if held is not None:
-            yield _table(_POINTERS, held[0].view(np.int64), *held[1:])
+                yield from _tables(_POINTERS, held[0].view(np.int64), *held[1:])
+                held = []
+        if held:
+            yield from _tables(_POINTERS, held[0].view(np.int64), *held[1:])
 
     return count
 
@@ -331,6 +381,8 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
         grams = _scan(_merged(texts), _count_grams(send(parts), size, of_step, width), _POINTERS).groupBy("code")
         found = written(grams.agg(F.sum("f").alias("f"), F.min("place").alias("place"), F.min("low").alias("low"), F.max("high").alias("high")).filter(many))
         steps.append(found.withColumn("step", F.lit(len(steps))))
+        while sent:
+            sent.pop().unpersist()
         parts, size = found, of_step[-1]
     frequent, step = reduce(DataFrame.unionByName, steps), F.expr(f"(n_words - 2) div {STEP}").cast("int")
     alone, mixed_up = frequent.filter("low = high"), frequent.filter("low <> high")
@@ -379,4 +431,6 @@ def best(scored: DataFrame, top: int = TOP) -> DataFrame:
 
 def mine_collocations(docs: DataFrame, min_count: int = MIN_COUNT, share: int = SHARE, top: int = TOP, bits: int = FILTER_BITS) -> DataFrame:
     """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score, where the weakest cut is, and an example's place."""
-    return best(score_phrases(count_phrases(docs, min_count, LONGEST, bits), share), top)
+    with _small_batches(docs.sparkSession):
+        counts = count_phrases(docs, min_count, LONGEST, bits)
+    return best(score_phrases(counts, share), top)
