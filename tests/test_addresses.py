@@ -8,6 +8,8 @@ from hypothesis import strategies as st
 
 from visitlens.functions import columns as C
 from visitlens.functions import needles as N
+from visitlens.plans import catalogue
+from visitlens.plans.fixture import tables
 from visitlens.sources import logs
 
 FIXED = [
@@ -69,3 +71,38 @@ def test_no_python_in_the_ingest_plan(spark):
     lines = spark.createDataFrame([("{}",)], "value string")
     plan = logs.to_visits(lines)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_facts_of_lines_are_those_of_the_standard_library(spark):
+    r = random.Random(6)
+    texts = {*FIXED, "10.1.2.3", "172.32.0.1", "192.168.0.1", "256.1.1.1", "1.2.3", "01.2.3.4", "x", "0:0:0:0:0:0:0:1", "::0001", "fe80::", "FDAB::2", "fbff::", "1:2:3:4:5:6:7:8:9", "::1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", "fc00::g"}
+    for _ in range(1500):
+        groups = [r.choice(["0", "0000", "1", "DB8", "%x" % r.randrange(65536), "fe80", "fcff", "12345"]) for _ in range(r.choice([8, 7, 9, 4, 1]))]
+        text = ":".join(groups)
+        i = r.randrange(len(text) + 1)
+        texts.add(r.choice([text, text[:i] + "::" + text[r.randrange(i, len(text) + 1) :], "::" + text, text + "::", text + ":1.2.3.4", text + "%z"]))
+
+    def facts(text):
+        if ":" in text:
+            return (True, want(text)[1]) if want(text) else (False, False)
+        try:
+            a = ipaddress.IPv4Address(text.replace("01.", "1."))  # zeros in front are let pass
+        except ValueError:
+            return False, False
+        return True, any(a in ipaddress.ip_network(n) for n in N.INTERNAL_V4)
+
+    rows = logs.with_address_facts(spark.createDataFrame([(t,) for t in sorted(texts)], "remote_addr string")).collect()
+    assert {r.remote_addr: (r.is_address, r.is_internal) for r in rows} == {t: facts(t) for t in texts}
+
+
+def test_filters_do_not_repeat_what_is_worked_out(spark):
+    """One look at each address and each line of text, whatever is filtered above them."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        visits = plan(logs.to_visits(spark.createDataFrame([("{}",)], "value string")))
+        lines = plan(catalogue.log_lines(tables(spark, "/root/testdata/sf0.001")).filter("value like '%a%' and value not like '%b%'"))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert visits.count("from_json") == 1 and visits.count("{3}") == 1 and visits.count("HTTP/") == 2
+    assert lines.count("StructsToJsonEvaluator") == 1

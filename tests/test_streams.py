@@ -113,6 +113,50 @@ def test_a_crash_between_write_and_commit_adds_nothing(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_a_batch_without_a_clock_adds_nothing_twice(spark, tmp_path):
+    put(tmp_path / "in", "a.log", line("198.51.100.1", 1).replace("2026-08-20T03:12:01+00:00", "yesterday"), line("198.51.100.2", 2))
+    visits, path = logs.to_visits(spark.read.text(str(tmp_path / "in"))), str(tmp_path / "out")
+    store = jobs.once(spark, path)
+    for _ in range(2):
+        store(visits, 0)
+        assert spark.read.parquet(path).count() == 2
+    store(visits.filter("ts is null"), 1)
+    store(visits.filter("false"), 2)
+    assert spark.read.parquet(path).count() == 2
+
+
+@pytest.mark.parametrize("near", [0, 100_000])
+def test_batches_of_new_stored_and_repeated_requests(spark, tmp_path, monkeypatch, near):
+    """Few or many of a batch are new, with identities sent to all tasks or shuffled."""
+    monkeypatch.setattr(jobs, "NEAR", near)
+    path, n = str(tmp_path / "out"), 0
+    store, stored = jobs.once(spark, path), set()
+    bare = line("198.51.100.7", 9).replace('"connection": 9', '"connection": 0')
+    for seconds, others in (([1, 2, 2, 3], 0), ([1, 2, 3, 4, 4], 1), ([4, 5, 6, 7, 8, 8], 2), ([1, 2, 3], 2), ([11, 11], 0)):
+        put(tmp_path / f"in{n}", "a.log", *[line("198.51.100.1", s) for s in seconds], *[bare] * others)
+        before = spark.read.parquet(path).count() if n else 0
+        new = len(set(seconds) - stored) + others
+        stored |= set(seconds)
+        for _ in range(2):
+            store(logs.to_visits(spark.read.text(str(tmp_path / f"in{n}"))), n)
+            assert spark.read.parquet(path).count() == before + new
+        n += 1
+    rows = spark.read.parquet(path)
+    assert sorted(r.connection for r in rows.filter("connection > 0").collect()) == sorted(stored)
+    assert rows.select("identity").distinct().count() == rows.count()
+
+
+def test_only_identities_of_a_new_batch_are_shuffled(spark, tmp_path, monkeypatch):
+    put(tmp_path / "in", "a.log", line("198.51.100.1", 1), line("198.51.100.2", 2))
+    visits, plans = logs.to_visits(spark.read.text(str(tmp_path / "in"))).filter("connection > 0"), []
+    write = jobs.by_month
+    monkeypatch.setattr(jobs, "by_month", lambda rows, path: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, path)))
+    store = jobs.once(spark, str(tmp_path / "out"))
+    store(visits, 0)
+    store(visits, 0)
+    assert len(plans) == 1 and "Join" not in plans[0] and "Aggregate" not in plans[0]
+
+
 class Held:
     """The state of one address, as Spark hands it over."""
 

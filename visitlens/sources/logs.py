@@ -33,10 +33,9 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def with_address_facts(entries: DataFrame, column: str = "remote_addr") -> DataFrame:
-    """is_address and is_internal. Texts with a colon are expanded to two numbers, the others are plain arithmetic."""
-    ip = F.col(column)
-    out = C.worked_out(entries, "_v6", C.v6_facts(ip))
-    return out.withColumns({"is_address": ip.rlike(C.V4) | F.col("_v6.network").isNotNull(), "is_internal": C.v4_in(ip, N.INTERNAL_V4) | F.coalesce("_v6.internal", F.lit(False))}).drop("_v6")
+    """is_address and is_internal, worked out once a row. Texts with a colon are expanded to two numbers, the others are plain arithmetic."""
+    out = C.worked_out(entries, "_a", C.address_facts(F.col(column)))
+    return out.withColumns({"is_address": F.col("_a.valid"), "is_internal": F.coalesce("_a.internal", F.lit(False))}).drop("_a")
 
 
 def request_fields(entries: DataFrame) -> DataFrame:
@@ -46,13 +45,16 @@ def request_fields(entries: DataFrame) -> DataFrame:
     clean = F.trim(F.regexp_replace(F.left(raw, F.lit(80)), r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]", "?"))
     tls = raw.startswith("\x16\x03") | F.left(raw, F.lit(12)).rlike(r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]")
 
-    def pick(have: Column, empty: Column, matched: Column, handshake: str, other: Column) -> Column:
-        return F.when((method != "") & (path != ""), have).when(raw == "", empty).when(raw.rlike(line), matched).when(tls, handshake).otherwise(other)
+    def pick(have: Column, empty: Column, group: int, handshake: str, other: Column) -> Column:
+        matched = F.regexp_extract(raw, line, group)  # no group of the line is empty
+        read = C.let(matched, lambda m: F.when(m != "", m).when(tls, handshake).otherwise(other))
+        return F.when((method != "") & (path != ""), have).when(raw == "", empty).otherwise(read)
 
-    return entries.withColumns({
-        "method": pick(method, F.when(method != "", method).otherwise("UNKNOWN"), F.regexp_extract(raw, line, 1), "TLS", F.lit("NON-HTTP")),
-        "path": pick(path, F.when(path != "", path).otherwise("[empty request]"), F.regexp_extract(raw, line, 2), "[handshake on HTTP port]", F.when(clean == "", "[binary payload]").otherwise(clean)),
-    })
+    found = F.struct(
+        pick(method, F.when(method != "", method).otherwise("UNKNOWN"), 1, "TLS", F.lit("NON-HTTP")).alias("method"),
+        pick(path, F.when(path != "", path).otherwise("[empty request]"), 2, "[handshake on HTTP port]", F.when(clean == "", "[binary payload]").otherwise(clean)).alias("path"),
+    )
+    return C.worked_out(entries, "_r", found).withColumns({"method": F.col("_r.method"), "path": F.col("_r.path")}).drop("_r")
 
 
 def is_static(path: Column, data_prefixes: tuple[str, ...] = ()) -> Column:
@@ -71,7 +73,7 @@ def is_health_check(user_agent: Column) -> Column:
 def with_skip_reason(entries: DataFrame, data_prefixes: tuple[str, ...] = ()) -> DataFrame:
     """skip_reason: the first that holds, or null for a visit."""
     reason = F.when(~F.col("is_address"), "invalid-ip").when(F.col("is_internal"), "internal-ip").when(is_static(F.col("path"), data_prefixes), "static-asset").when(is_health_check(F.col("http_user_agent")), "health-check")
-    return entries.withColumn("skip_reason", reason)
+    return C.worked_out(entries, "skip_reason", reason)
 
 
 def to_visits(lines: DataFrame, data_prefixes: tuple[str, ...] = ()) -> DataFrame:

@@ -7,6 +7,8 @@ rows later than it no longer change derived results, while the raw append keeps
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,23 +43,56 @@ def once(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
     """Per batch: append the visits that aren't stored yet, by month. A batch that runs again, whole or after a crash at any point, adds nothing twice.
 
     What is compared are identities, of the batch's months and span of time alone; requests without a connection number have an identity
-    that is the same when their batch runs again.
+    that is the same when their batch runs again. Identities are shuffled first; rows are only where a part of the batch is stored or repeated.
+    A batch is read for its span, its identities and its new rows: one that is costly to work out is better held.
     """
 
     def work(batch: DataFrame, number: int) -> None:
-        schema = ", ".join(f"{c} {k}" for c, k in batch.drop("event_time").dtypes)
-        rows = logs.with_repeatable_identity(batch.drop("event_time"), number).dropDuplicates(["identity"]).withColumn("month", F.date_format("ts", "yyyy-MM")).persist()
-        ends = rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.collect_set("month").alias("months")).first()  # the months of one batch
-        spark.createDataFrame([], f"{schema}, month string").write.mode("ignore").partitionBy("month").parquet(path)
-        stored = spark.read.schema(f"{schema}, month string").parquet(path).filter(F.col("month").isin(ends.months))
-        if ends.first is not None:
-            stored = stored.filter(F.col("ts").between(F.lit(ends.first), F.lit(ends.last)))
-        rows.join(stored.select("identity"), "identity", "left_anti").select(*batch.drop("event_time").columns, "month").write.mode("append").partitionBy("month").parquet(path)
-        rows.unpersist()
+        visits = batch.drop("event_time")
+        schema = ", ".join(f"{c} {k}" for c, k in visits.dtypes) + ", month string"
+        spark.createDataFrame([], schema).write.mode("ignore").partitionBy("month").parquet(path)
+        text = lambda c: c.cast("string")
+        spans = visits.groupBy(F.trunc("ts", "MM").alias("at")).agg(text(F.min("ts")).alias("first"), text(F.max("ts")).alias("last")).select(F.date_format("at", "yyyy-MM").alias("month"), "first", "last").collect()  # the months of one batch
+        if not spans:
+            return
+        moment = lambda x: F.lit(x).cast("timestamp_ntz")
+        within = [(F.col("month") == s.month) & F.col("ts").between(moment(s.first), moment(s.last)) if s.month else F.col("month").isNull() for s in spans]
+        stored = spark.read.schema(schema).parquet(path).filter(reduce(or_, within))
+        rows = logs.with_repeatable_identity(visits, number)
+        both = rows.select("identity", F.lit(0).alias("old")).unionAll(stored.select("identity", F.lit(1).alias("old")))
+        marks = both.groupBy("identity").agg(F.count_if(F.col("old") == 0).alias("n"), F.max("old").alias("old")).filter("n > 0")
+        fresh, repeated, odd = (marks.filter(w) for w in (FRESH, REPEATED, ODD))
+        found = marks.agg(*[F.count_if(F.expr(w)).alias(k) for k, w in (("fresh", FRESH), ("repeated", REPEATED), ("odd", ODD))]).first()
+        near = lambda ids, n: F.broadcast(ids.select("identity")) if n <= NEAR else ids.select("identity")
+        if not found.fresh:
+            return
+        if found.fresh < found.odd:
+            rows = rows.join(near(fresh, found.fresh), "identity", "left_semi").dropDuplicates(["identity"])
+        elif found.odd:
+            single = rows.join(near(odd, found.odd), "identity", "left_anti")
+            rows = single.unionByName(rows.join(near(repeated, found.repeated), "identity", "left_semi").dropDuplicates(["identity"])) if found.repeated else single
+        by_month(rows.select(*visits.columns, F.date_format("ts", "yyyy-MM").alias("month")), path)
 
     return work
 
 
+#: Of a batch's identities: not stored yet; of these, several times in the batch; those whose rows can't all be written as they are.
+FRESH, REPEATED, ODD = "old = 0", "old = 0 and n > 1", "old = 1 or n > 1"
+#: So many identities are sent to all tasks at most (some 10 MB).
+NEAR = 100_000
+
+
+def by_month(rows: DataFrame, path: str) -> None:
+    """Append rows by their month. A task keeps the files of a few months open at once, so rows of few months aren't sorted by it."""
+    conf, name = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, "3")
+    try:
+        rows.write.mode("append").partitionBy("month").parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 def counts(rows: DataFrame, unit: str = "1 hour", late: str = LATE) -> DataFrame:
     """Requests per tumbling window and group; rows are visits with their group."""
     per = rows.withWatermark("event_time", late).groupBy(F.window("event_time", unit).alias("w"))
